@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,19 @@ def hash_share(id_col: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
 
 
+def filtered(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts (null: empty) ``keep`` says yes to."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            if b.num_rows:
+                yield b.filter(pa.array(keep([t or "" for t in b.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """(ids, texts) of each non-empty Arrow batch of ``id_and_text``."""
     for b in frames:

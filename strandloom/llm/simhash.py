@@ -196,72 +196,70 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, check: str | None = None, same: Callable | None = None) -> DataFrame:
-    """Links (a, b) between values of ``nodes.fp`` (distinct) that connect all within the radius.
+def links(nodes: DataFrame, fps: list[str], radius: int = RADIUS, check: str | None = None, most: int = 0) -> DataFrame:
+    """Links (a, b) between values of ``nodes.node`` (distinct longs) within the radius in any of ``fps``.
 
-    ``check`` names a binary column that goes along, of which ``same(left, right)`` (two
-    lists of its values) may refuse pairs.
+    They connect all that belong together, but aren't all pairs. ``check`` names a binary
+    column of a longer fingerprint, of which linked nodes may differ in at most ``most`` bits.
     """
     spark = nodes.sparkSession
     bands = bands_for(nodes.count(), radius)
     keys = block_keys(bands, radius)
     held = [check] if check else []
-    dealt = nodes.select(
-        "fp", *held, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in keys])).alias("block")
-    ).select("fp", *held, "block.t", "block.key")
+    block = lambda t, fp, m: F.struct(F.lit(t).alias("t"), F.col(fp).alias("fp"), F.col(fp).bitwiseAND(F.lit(signed(m))).alias("key"))
+    blocks = F.array(*[block(k * len(keys) + t, fp, m) for k, fp in enumerate(fps) for t, m in keys])
+    dealt = nodes.select(F.col("node"), *held, F.explode(blocks).alias("block")).select("node", *held, "block.*")
     crowd = dealt.groupBy("t", "key").count().where(F.col("count") > 1).select("t", "key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
     # a crowded block of c slices becomes the c (c + 1) / 2 pairs of its slices
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices")).cast("int")
     cells = (
         dealt.join(crowd, ["t", "key"])
-        .withColumn("own", own)
-        .select("fp", *held, "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-        .select("fp", *held, "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("node", "fp", *held, "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(n, "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
 
-    def compare(t: pa.Table) -> list[tuple[int, int]]:
+    def cuts(t: pa.Table) -> list[int]:
+        """Where a new cell begins."""
+        cols = [t.column(c).to_numpy() for c in ("t", "key", "lo", "hi")]
+        return (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        node, lo, hi, own = (t.column(c).to_numpy() for c in ("node", "lo", "hi", "own"))
+        found: list[tuple[int, int]] = []
         fps = t.column("fp").to_numpy().view(np.uint64)
         dist = distance_table(fps)
-        extra = t.column(check).to_pylist() if check else None
-        cols = [t.column(c).to_numpy() for c in ("t", "key", "lo", "hi")]
-        own = t.column("own").to_numpy()
-        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        out: list[tuple[int, int]] = []
-        refuse = (lambda i, j: np.array(same([extra[x] for x in i], [extra[x] for x in j]), bool)) if check else None
-        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(fps)], strict=True):
+        same = None
+        if check:
+            long = np.frombuffer(b"".join(t.column(check).to_pylist()), np.uint64).reshape(len(fps), -1)
+            same = lambda i, j: np.bitwise_count(long[i] ^ long[j]).sum(1, dtype=np.int64) <= most
+        edge = cuts(t)
+        for s, e in zip([0, *edge], [*edge, len(fps)], strict=True):
             idx = np.arange(s, e)
-            lo, hi = cols[2][s], cols[3][s]
-            found = connect(fps, dist, idx, None, radius, refuse) if lo == hi else connect(fps, dist, idx[own[s:e] == lo], idx[own[s:e] == hi], radius, refuse)
-            out += [(int(fps[i].view(np.int64)), int(fps[j].view(np.int64))) for i, j in found]
-        return out
+            found += connect(fps, dist, idx, None, radius, same) if lo[s] == hi[s] else connect(fps, dist, idx[own[s:e] == lo[s]], idx[own[s:e] == hi[s]], radius, same)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(t: pa.Table) -> pa.RecordBatch:
-            found = compare(t)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        rest: pa.Table | None = None
+        held_back: list[pa.RecordBatch] = []
+        rows = 0
         for b in frames:
             if not b.num_rows:
                 continue
-            now = pa.Table.from_batches([b])
-            now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
-            if now.num_rows < 50_000:
-                rest = now
-                continue
-            # the last block may go on in the next batch
-            cols = [now.column(c).to_numpy() for c in ("t", "key", "lo", "hi")]
-            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            at = int(cut[-1]) if len(cut) else 0
-            rest = now.slice(at)
-            if at:
-                yield give(now.slice(0, at).combine_chunks())
-        if rest is not None and rest.num_rows:
-            yield give(rest.combine_chunks())
+            held_back.append(b)
+            rows += b.num_rows
+            if rows >= 50_000:
+                now = pa.Table.from_batches(held_back).combine_chunks()
+                edge = cuts(now)
+                if edge:  # the last cell may go on in the next batch
+                    yield compare(now.slice(0, edge[-1]).combine_chunks())
+                    rest = now.slice(edge[-1]).combine_chunks()
+                    held_back, rows = rest.to_batches(), rest.num_rows
+        if held_back:
+            yield compare(pa.Table.from_batches(held_back).combine_chunks())
 
-    return cells.drop("other").mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,12 +296,77 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     """
     fps = checkpointed(fingerprints(docs, size))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(nodes, radius))
+    label = components(links(nodes.withColumn("node", F.col("fp")), ["fp"], radius))
     grouped = nodes.join(label, nodes.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = grouped.join(least, "label").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of distinct words that propose pairs, and words of a shingle that confirm them.
+PROPOSING, CONFIRMING = 4, 5
+#: Bits of a confirming fingerprint (four 64-bit words), and how many may differ: shingle sets of similarity 0.8 and more.
+MOST_BITS = 44
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """``k`` independent 64-bit hashes made of each hash."""
+    out = hashes[:, None] + np.arange(1, k + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
+
+
+def wide_fingerprints(text: str) -> tuple[list[int], bytes]:
+    """Proposing fingerprints (of the distinct words) and the confirming one (of the distinct shingles)."""
+    ws = words(text)
+    one = xxhash.xxh64_intdigest
+    single = np.array([one(w, SEED) for w in set(ws)] or [0], np.uint64)
+    shingles = np.unique(shingle_hashes(ws, CONFIRMING)) if ws else np.zeros(1, np.uint64)
+    return majority(mixed(single, PROPOSING)).view("<i8").tolist(), majority(mixed(shingles, PROPOSING)).tobytes()
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any more) without near-duplicates: of each group the row with the least doc_id.
+
+    Two texts are near-duplicates if their sets of five-word shingles are 0.8 similar or
+    more, as the confirming fingerprints tell; groups are what links connect. Pairs are
+    proposed by any of PROPOSING fingerprints of the texts' words within RADIUS bits, by
+    the same blocks and pivot tables as ``near_duplicates``. Null and empty texts are one
+    group; a null id comes before all others; of rows with the kept id and group one
+    stays, that with the least text. All columns are kept.
+    """
+    bounded_batches(docs.sparkSession)
+    names = [f"f{k}" for k in range(PROPOSING)]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in batches(frames):
+            found = [wide_fingerprints(t) for t in texts]
+            each = [pa.array([f[k] for f, _ in found], pa.int64()) for k in range(PROPOSING)]
+            yield pa.RecordBatch.from_arrays([ids, *each, pa.array([w for _, w in found], pa.binary())], names=["doc_id", *names, "long"])
+
+    def fingerprinted(rows: DataFrame) -> DataFrame:
+        found = rows.mapInArrow(run, f"doc_id long, {', '.join(f'{f} long' for f in names)}, long binary")
+        return found.withColumn("node", F.xxhash64(*names, "long"))
+
+    fps = checkpointed(fingerprinted(id_and_text(docs)))
+    nodes = checkpointed(fps.groupBy("node", *names, "long").agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")))
+    label = components(links(nodes, names, RADIUS, "long", MOST_BITS))
+    grouped = checkpointed(nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"), "least", "nulls"))
+    kept = grouped.groupBy("label").agg(F.when(F.sum("nulls") > 0, F.lit(None).cast("long")).otherwise(F.min("least")).alias("kept_id"))
+    mine = docs.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    again = fps.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("again_id"))
+    if again.isEmpty():
+        return mine
+    # rows that share an id: their own groups decide
+    single = mine.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti")
+    several = docs.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi").select(F.struct("*").alias("row"))
+    texts = several.select(F.xxhash64("row").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text")).distinct()
+    of_row = fingerprinted(texts).select(F.col("doc_id").alias("row_hash"), "node").join(grouped.select("node", "label"), "node").join(kept, "label")
+    judged = several.join(of_row, F.xxhash64("row") == F.col("row_hash")).where(F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
+    least = judged.groupBy("label").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+    return single.unionByName(least)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
