@@ -177,8 +177,8 @@ def connect(fps: np.ndarray, dist: np.ndarray, left: np.ndarray, right: np.ndarr
 
 
 def bands_for(n: int, radius: int = RADIUS) -> int:
-    """The fewest bands whose blocks give a row at most CHANCE partners by chance."""
-    for b in range(radius + 1, 2 * radius + 6):
+    """The fewest bands, two more than the radius at least, whose blocks give a row at most CHANCE partners by chance."""
+    for b in range(radius + 2, 2 * radius + 6):
         tables, bits = len(list(combinations(range(b), b - radius))), 64 * (b - radius) / b
         if tables * n / 2**bits <= CHANCE:
             break
