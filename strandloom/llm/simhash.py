@@ -205,17 +205,19 @@ def links(nodes: DataFrame, fps: list[str], radius: int = RADIUS, check: str | N
     spark = nodes.sparkSession
     bands = bands_for(nodes.count(), radius)
     keys = block_keys(bands, radius)
-    held = [check] if check else []
-    block = lambda t, fp, m: F.struct(F.lit(t).alias("t"), F.col(fp).alias("fp"), F.col(fp).bitwiseAND(F.lit(signed(m))).alias("key"))
+    block = lambda t, fp, m: F.struct(F.lit(t).alias("t"), F.col(fp).bitwiseAND(F.lit(signed(m))).alias("key"))
     blocks = F.array(*[block(k * len(keys) + t, fp, m) for k, fp in enumerate(fps) for t, m in keys])
-    dealt = nodes.select(F.col("node"), *held, F.explode(blocks).alias("block")).select("node", *held, "block.*")
+    dealt = nodes.select("node", F.explode(blocks).alias("block")).select("node", "block.*")
     crowd = dealt.groupBy("t", "key").count().where(F.col("count") > 1).select("t", "key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    # only what shares a block goes on, and gets its fingerprints back
+    shared = dealt.join(crowd, ["t", "key"]).join(nodes, "node")
+    fp = F.element_at(F.array(*fps), F.floor(F.col("t") / len(keys)).cast("int") + 1)
+    held = [check] if check else []
     # a crowded block of c slices becomes the c (c + 1) / 2 pairs of its slices
     cells = (
-        dealt.join(crowd, ["t", "key"])
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+        shared.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .select("node", "fp", *held, "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("node", fp.alias("fp"), *held, "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(n, "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
