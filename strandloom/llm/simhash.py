@@ -305,10 +305,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of distinct words that propose pairs, and words of a shingle that confirm them.
-PROPOSING, CONFIRMING = 4, 5
-#: Bits of a confirming fingerprint (four 64-bit words), and how many may differ: shingle sets of similarity 0.8 and more.
-MOST_BITS = 44
+#: Fingerprints of distinct words that propose pairs within a radius; words of a shingle that confirms them.
+PROPOSING, PROPOSING_RADIUS, CONFIRMING = 8, 3, 5
+#: 64-bit words of a confirming fingerprint, and how many bits may differ: shingle sets of similarity 0.8 and more.
+CONFIRMING_WORDS, MOST_BITS = 4, 44
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -325,7 +325,7 @@ def wide_fingerprints(text: str) -> tuple[list[int], bytes]:
     one = xxhash.xxh64_intdigest
     single = np.array([one(w, SEED) for w in set(ws)] or [0], np.uint64)
     shingles = np.unique(shingle_hashes(ws, CONFIRMING)) if ws else np.zeros(1, np.uint64)
-    return majority(mixed(single, PROPOSING)).view("<i8").tolist(), majority(mixed(shingles, PROPOSING)).tobytes()
+    return majority(mixed(single, PROPOSING)).view("<i8").tolist(), majority(mixed(shingles, CONFIRMING_WORDS)).tobytes()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Two texts are near-duplicates if their sets of five-word shingles are 0.8 similar or
     more, as the confirming fingerprints tell; groups are what links connect. Pairs are
-    proposed by any of PROPOSING fingerprints of the texts' words within RADIUS bits, by
+    proposed by any of PROPOSING fingerprints of the texts' words within PROPOSING_RADIUS bits, by
     the same blocks and pivot tables as ``near_duplicates``. Null and empty texts are one
     group; a null id comes before all others; of rows with the kept id and group one
     stays, that with the least text. All columns are kept.
@@ -353,7 +353,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     fps = checkpointed(fingerprinted(id_and_text(docs)))
     nodes = checkpointed(fps.groupBy("node", *names, "long").agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")))
-    label = components(links(nodes, names, RADIUS, "long", MOST_BITS))
+    label = components(links(nodes, names, PROPOSING_RADIUS, "long", MOST_BITS))
     grouped = checkpointed(nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"), "least", "nulls"))
     kept = grouped.groupBy("label").agg(F.when(F.sum("nulls") > 0, F.lit(None).cast("long")).otherwise(F.min("least")).alias("kept_id"))
     mine = docs.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
