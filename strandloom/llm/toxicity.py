@@ -56,11 +56,12 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin([terms(t) for t in texts]), -30, 30)))
 
 
-def train(docs: list[np.ndarray], label: np.ndarray, shares: np.ndarray, rounds: int = 200, telling: float = 2.5, seed: int = 5) -> FactorizationMachine:
+def train(docs: list[np.ndarray], label: np.ndarray, shares: np.ndarray, rounds: int = 200, telling: float = 3.5, least: int = 5, seed: int = 5) -> FactorizationMachine:
     """Fit by Adam on the logistic loss.
 
     Terms whose numbers of documents of each class differ by less than ``telling``
-    standard errors keep weight 0: most are there by chance, and they would be learned by heart.
+    standard errors, and those in fewer than ``least``, keep weight 0: most are there by
+    chance, and they would be learned by heart.
 
     Without both classes the model gives the share of class 1 to every text.
     """
@@ -74,9 +75,11 @@ def train(docs: list[np.ndarray], label: np.ndarray, shares: np.ndarray, rounds:
     held = set(tune)
     rest = [i for i in range(len(docs)) if i not in held]
     whole, docs, label = (docs, label), [docs[i] for i in rest], label[rest]
-    seen = [np.bincount(np.concatenate([d for d, y in zip(docs, label, strict=True) if y == k]), minlength=SPACE) / (label == k).sum() for k in (0, 1)]
-    error = np.sqrt(seen[0] / (label == 0).sum() + seen[1] / (label == 1).sum())
-    kept = np.flatnonzero(np.abs(seen[1] - seen[0]) > telling * error)
+    n0, n1 = np.bincount(label, minlength=2)
+    seen = [np.bincount(np.concatenate([d for d, y in zip(docs, label, strict=True) if y == k]), minlength=SPACE) for k in (0, 1)]
+    pooled = (seen[0] + seen[1]) / (n0 + n1)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
+    kept = np.flatnonzero((np.abs(seen[1] / n1 - seen[0] / n0) > telling * error) & (seen[0] + seen[1] >= least))
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
     rows = [p[p >= 0] for p in (place[d] for d in docs)]
