@@ -80,7 +80,8 @@ def equivalents(missed: DataFrame, wrong: DataFrame, seqs: DataFrame, reach: int
             ok = [x is not None and x == y for x, y in zip(a, c, strict=True)]
             yield f[ok][ALLELE].assign(n_missed=[len(r) for r in f["missed"][ok]])
 
-    return framed.mapInPandas(same, "chrom long, pos long, ref string, alt string, n_missed long")
+    kind = dict(wrong.dtypes)["chrom"]
+    return framed.mapInPandas(same, f"chrom {kind}, pos long, ref string, alt string, n_missed long")
 
 
 def model_overlap(regions: dict[str, DataFrame], common: dict[str, DataFrame]) -> DataFrame:

@@ -329,7 +329,8 @@ def read_records(frags: DataFrame, model: ReadModel, prefix: str = "sim") -> Dat
                     out.append((f"{prefix}-{r.chrom}-{r.win}-{r.ploid}-{r.k}", (2 if s != r.swap else 1) if paired else 1, r.chrom, pos, compact(ops), seq, qual, names + ["unmapped"] * unmapped, 0 if unmapped else 70, mate[0] if mate else None, self_tlen(made, s, model.length) if mate else 0))
             yield pd.DataFrame(out, columns=["name", "mate", "chrom", "pos", "cigar", "seq", "qual", "flags", "mapq", "mate_pos", "tlen"])
 
-    found = rows.mapInPandas(run, "name string, mate int, chrom long, pos long, cigar string, seq string, qual string, flags array<string>, mapq int, mate_pos long, tlen long")
+    kind = dict(frags.dtypes)["chrom"]
+    found = rows.mapInPandas(run, f"name string, mate int, chrom {kind}, pos long, cigar string, seq string, qual string, flags array<string>, mapq int, mate_pos long, tlen long")
     return found.select("name", "mate", "chrom", "pos", "cigar", "seq", "qual", sam_flag(F.col("flags")).alias("flag"), "mapq", "mate_pos", "tlen")
 
 

@@ -62,7 +62,8 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 def mutation_rates(regions: DataFrame) -> DataFrame:
     """BED regions longer than a base whose name has mut_rate=, clamped to 0 .. 0.3: chrom, start, end, rate."""
     rate: Column = F.regexp_extract("name", r"mut_rate=([^;]*)", 1).try_cast("double")
-    return regions.where(F.col("end") - F.col("start") > 1).select("chrom", "start", "end", F.greatest(F.least(rate, F.lit(0.3)), F.lit(0.0)).alias("rate")).where(F.col("rate").isNotNull())
+    kept = regions.where((F.col("end") - F.col("start") > 1) & rate.isNotNull())
+    return kept.select("chrom", "start", "end", F.greatest(F.least(rate, F.lit(0.3)), F.lit(0.0)).alias("rate"))
 
 
 def mappable(regions: DataFrame, least: int) -> DataFrame:
