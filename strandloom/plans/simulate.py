@@ -214,14 +214,18 @@ def slice_cigar(runs: list[tuple[int, str]], off: int, length: int) -> tuple[int
     ref = hap = 0
     begin, out = None, []
     for n, op in runs:
-        for _ in range(n):
-            if op != "D" and off <= hap < off + length:
-                begin = ref if begin is None else begin
-                out.append(op)
-            elif op == "D" and off < hap < off + length:
-                out.append("D")
-            hap += op != "D"
-            ref += op != "I"
+        if op == "D":
+            if off < hap < off + length:
+                out += ["D"] * n
+            ref += n
+            continue
+        first, last = max(off, hap), min(off + length, hap + n)
+        if first < last:
+            if begin is None:
+                begin = ref + (first - hap if op == "M" else 0)
+            out += [op] * (last - first)
+        hap += n
+        ref += n if op == "M" else 0
         if hap >= off + length:
             break
     return (begin if begin is not None else ref), out

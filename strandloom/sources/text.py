@@ -99,7 +99,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read whole, one task each, as their line numbers alone tell a record's parts.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s+$", "").alias("value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s+$", "").alias("value"))
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     part = F.col("at") % 4
     rows = lines.groupBy("file", F.floor(F.col("at") / 4).alias("record")).agg(*[F.max(F.when(part == i, F.col("line"))).alias(n) for i, n in enumerate(("name", "seq", "plus", "qual"))])
