@@ -32,6 +32,8 @@ class MutationModel:
     deletion_lengths: dict[int, float] = field(default_factory=lambda: {n: 1.0 for n in range(1, 6)})
     transition: float = 0.7
     bias: dict[str, float] = field(default_factory=lambda: dict.fromkeys(TRINUCLEOTIDES, 1.0))
+    #: For each trinucleotide the chances of A, C, G and T in its middle; None: ``transition`` for all.
+    substitutions: dict[str, tuple[float, float, float, float]] | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.rate <= 0.3:
@@ -49,6 +51,10 @@ class ReadModel:
     length: int = 100
     coverage: float = 10.0
     fragment: tuple[float, float] | None = None  # mean and standard deviation; None: single reads
+    #: Learned fragment lengths and their weights, in place of the normal ones; shorter than a read are left out.
+    fragment_lengths: tuple[tuple[int, ...], tuple[float, ...]] | None = None
+    #: Learned qualities: chances at the first place, and at each later one by the quality before.
+    chain: tuple[np.ndarray, np.ndarray] | None = field(default=None, compare=False)
     ploidy: int = 2
     qualities: tuple[int, ...] = (2, 11, 25, 37)
     #: Chance of each quality after each other one; the default stays mostly.
@@ -64,12 +70,30 @@ class ReadModel:
         for ok, what in checks:
             if not ok:
                 raise ValueError(f"{what} out of range")
-        if self.fragment and self.fragment[0] <= self.length:
+        if self.paired and self.mean_fragment <= self.length:
             raise ValueError("fragments must be longer than reads")
 
+    @property
+    def paired(self) -> bool:
+        return self.fragment is not None or self.fragment_lengths is not None
+
+    def lengths(self) -> tuple[list[int], list[float]]:
+        """Fragment lengths and weights to draw from."""
+        if self.fragment_lengths is None:
+            return normal_lengths(*self.fragment, least=self.length)
+        kept = [(n, w) for n, w in zip(*self.fragment_lengths, strict=True) if n > self.length]
+        return [n for n, _ in kept], [w for _, w in kept]
+
+    @property
+    def mean_fragment(self) -> float:
+        if self.fragment_lengths is None:
+            return self.fragment[0]
+        values, weights = self.lengths()
+        return sum(n * w for n, w in zip(values, weights, strict=True)) / sum(weights) if values else 0.0
+
     @property
     def span(self) -> int:
-        return int(self.fragment[0]) if self.fragment else self.length
+        return int(self.mean_fragment) if self.paired else self.length
 
 
 def window_plan(regions: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -98,25 +122,37 @@ def poisson_count(u: Column, rate: Column, most: int = 1000) -> Column:
     return F.aggregate(ks, held, step, lambda s: s["k"])
 
 
-def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, ploidy: int, seed: int) -> DataFrame:
+def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, ploidy: int, seed: int, rates: DataFrame | None = None) -> DataFrame:
     """Variants drawn in each window's core: chrom, win, pos, ref, alt, ploids.
 
-    Places come from a Poisson process of the highest rate any trinucleotide has, thinned
-    to each one's own, which gives exactly the biased process.
+    Places come from a Poisson process of the highest rate any place has, thinned to each
+    one's own, which gives exactly the biased process. ``rates`` (chrom, start, end,
+    rate, not overlapping) hold in their intervals, the model's rate elsewhere.
     """
     top = max(model.bias.values()) or 1.0
+    most = model.rate if rates is None else max(model.rate, rates.agg(F.max("rate")).first()[0] or 0.0)
     core = windows.join(seqs.select("chrom", "seq"), "chrom").select("chrom", "win", "start", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("core_end") - F.col("start")).cast("int")).alias("piece"))
     key = lambda what: ("mut", seed, what, F.col("chrom"), F.col("win"), F.col("k"))
     n = F.char_length("piece")
-    count = poisson_count(uniform("mut", seed, "n", F.col("chrom"), F.col("win")), n * F.lit(model.rate * top))
+    count = poisson_count(uniform("mut", seed, "n", F.col("chrom"), F.col("win")), n * F.lit(most * top))
     rows = core.where(n > 2).withColumn("count", count).where(F.col("count") > 0)
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("count")))).withColumn("off", (uniform_int(n - 2, *key("pos")) + 1).cast("int"))
     weight = F.create_map(*[F.lit(x) for t, w in model.bias.items() for x in (t, w / top)])
     tri = F.substring("piece", F.col("off"), F.lit(3))
-    rows = rows.where(uniform(*key("thin")) < F.coalesce(F.try_element_at(weight, tri), F.lit(0.0)))
+    local = F.lit(model.rate / most if most else 0.0)
+    if rates is not None:
+        rows = points_in_intervals(rows.withColumn("pos", F.col("start") + F.col("off")).withColumnRenamed("start", "w_start"), rates.select("chrom", "start", "end", "rate"), "left")
+        rows = rows.drop("start", "end").withColumnRenamed("w_start", "start")
+        local = F.coalesce("rate", F.lit(model.rate)) / F.lit(most or 1.0)
+    rows = rows.where(uniform(*key("thin")) < local * F.coalesce(F.try_element_at(weight, tri), F.lit(0.0)))
     base = F.substring("piece", F.col("off") + 1, F.lit(1))
     other = F.translate(base, "ACGT", "GTAC")
     snp = F.when(uniform(*key("alt")) < model.transition, other).when(uniform(*key("tv")) < 0.5, F.translate(base, "ACGT", "CAAA")).otherwise(F.translate(base, "ACGT", "TGTG"))
+    if model.substitutions is not None:
+        share = {t: [sum(p[:i]) / (sum(p) or 1.0) for i in range(4)] for t, p in model.substitutions.items()}
+        low = F.create_map(*[x for t, c in share.items() for x in (F.lit(t), F.array(*map(F.lit, c)))])
+        drawn = uniform(*key("alt"))
+        snp = F.element_at(F.array(*map(F.lit, BASES)), F.size(F.filter(F.try_element_at(low, tri), lambda c: c <= drawn)))
     inserted = F.concat(base, random_dna(draw(uniform(*key("len")), list(model.insertion_lengths), list(model.insertion_lengths.values())), *key("ins")))
     gone = draw(uniform(*key("len")), list(model.deletion_lengths), list(model.deletion_lengths.values()))
     deleted = F.substring("piece", F.col("off") + 1, gone + 1)
@@ -170,15 +206,15 @@ def fragments(haps: DataFrame, reads: ReadModel, gc_scalars: list[float] | None
     n_tiles = F.greatest(F.floor((F.char_length("seq") - reads.span) / tile), F.lit(0)).cast("int")
     weights = F.transform(F.sequence(F.lit(0), n_tiles), of_tile)
     cum = F.aggregate(weights, F.array(F.lit(0.0)), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w)))
-    bases = reads.length * (2 if reads.fragment else 1)
+    bases = reads.length * (2 if reads.paired else 1)
     n = (F.char_length("seq") * F.lit(reads.coverage / reads.ploidy / bases)).cast("int") + 1
     rows = haps.where(F.char_length("seq") >= reads.span).withColumn("cum", cum).where(F.element_at("cum", -1) > 0).withColumn("k", F.explode(F.sequence(F.lit(1), n)))
     key = lambda what: ("read", reads.seed, what, F.col("chrom"), F.col("win"), F.col("ploid"), F.col("k"))
     u = uniform(*key("tile")) * F.element_at("cum", -1)
     at = F.size(F.filter("cum", lambda c: c <= u)) - 1
     size = F.lit(reads.length)
-    if reads.fragment:
-        values, p = normal_lengths(*reads.fragment, least=reads.length)
+    if reads.paired:
+        values, p = reads.lengths()
         size = draw(uniform(*key("size")), values, p)
     rows = rows.withColumns({"size": F.least(size, F.char_length("seq")).cast("int"), "tile": at})
     off = F.least(F.col("tile") * tile + uniform_int(tile, *key("off")), F.char_length("seq") - F.col("size")).cast("int")
@@ -200,6 +236,16 @@ def quality_chains(keys: np.ndarray, model: ReadModel) -> np.ndarray:
     q = np.array(model.qualities)
     n = len(q)
     u, v = hashed_uniform(keys, 1, model.length), hashed_uniform(keys, 2, model.length)
+    if model.chain is not None:
+        first, moves = model.chain  # (n,), (places, n, n); a read longer than the model is stretched over it
+        out = np.empty((len(keys), model.length), np.int64)
+        state = np.minimum((u[:, :1] >= np.cumsum(first)[None, :]).sum(1), n - 1)
+        for k in range(model.length):
+            if k:
+                at = min(len(moves) - 1, (k - 1) * len(moves) // max(1, model.length - 1))
+                state = np.minimum((u[:, k, None] >= np.cumsum(moves[at], axis=1)[state]).sum(1), n - 1)
+            out[:, k] = q[state]
+        return out
     state = np.full(len(keys), n - 1)
     out = np.empty((len(keys), model.length), np.int64)
     for k in range(model.length):
@@ -289,7 +335,7 @@ def read_records(frags: DataFrame, model: ReadModel, prefix: str = "sim") -> Dat
 
     Per-read chains and errors need Python; reads go through it in Arrow batches, each on its own.
     """
-    paired = model.fragment is not None
+    paired = model.paired
     key = F.xxhash64(F.lit(model.seed), "chrom", "win", "ploid", "k")
     swap = uniform("strand", model.seed, F.col("chrom"), F.col("win"), F.col("ploid"), F.col("k")) < 0.5
     rows = frags.select("*", key.alias("key"), swap.alias("swap"))
@@ -344,30 +390,48 @@ def self_tlen(made: list, side: int, length: int) -> int:
     return size if side == 0 else -size
 
 
-def simulate(seqs: DataFrame, mutations: MutationModel, reads: ReadModel, given: DataFrame | None = None, targets: DataFrame | None = None) -> dict[str, DataFrame]:
+def simulate(
+    seqs: DataFrame,
+    mutations: MutationModel,
+    reads: ReadModel,
+    given: DataFrame | None = None,
+    targets: DataFrame | None = None,
+    off_target: float = 0.0,
+    discard: DataFrame | None = None,
+    rates: DataFrame | None = None,
+    gc_scalars: list[float] | None = None,
+) -> dict[str, DataFrame]:
     """windows, variants, haplotypes and reads of the sequences (chrom, seq); each is computed only if used.
 
     ``given`` variants (chrom, pos, ref, alt, ploids) go before random ones. With
-    ``targets`` (chrom, start, end), only windows that meet one are simulated and reads
-    with no end in one are dropped.
+    ``targets`` (chrom, start, end), reads with no end in one are kept with chance
+    ``off_target``; if that is 0, windows that meet none aren't simulated. Reads that
+    touch a ``discard`` interval are dropped. ``rates`` are local mutation rates and
+    ``gc_scalars`` the coverage by GC count of a tile.
     """
     regions = seqs.select("chrom", F.lit(0).cast("long").alias("start"), F.char_length("seq").cast("long").alias("end"))
     windows = window_plan(regions, 100 * reads.span, reads.span)
-    if targets is not None:
-        t = targets.select("chrom", "start", "end")
+    t = None if targets is None else targets.select("chrom", "start", "end")
+    if t is not None and not off_target:
         windows = overlaps(windows, t).select(windows.columns).distinct()
-    drawn = random_variants(windows, seqs, mutations, reads.ploidy, reads.seed).withColumn("rank", F.lit(1))
+    drawn = random_variants(windows, seqs, mutations, reads.ploidy, reads.seed, rates)
     if given is not None:
-        placed = points_in_intervals(given, windows.select("chrom", "win", "start", F.col("core_end").alias("end"))).select("chrom", "win", "pos", "ref", "alt", "ploids", F.lit(0).alias("rank"))
-        free = overlaps(drawn.select("*", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end")), placed.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end")))
-        drawn = drawn.join(free.select("chrom", "pos", "ref", "alt").distinct(), ["chrom", "pos", "ref", "alt"], "left_anti").select(placed.columns)
-        drawn = placed.unionByName(drawn)
-    variants = without_conflicts(drawn.drop("rank"), ["chrom", "win"])
+        placed = points_in_intervals(given, windows.select("chrom", "win", "start", F.col("core_end").alias("end"))).select("chrom", "win", "pos", "ref", "alt", "ploids")
+        reach = lambda df: df.select("*", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end"))
+        taken = overlaps(reach(drawn), reach(placed).select("chrom", "start", "end")).select("chrom", "pos", "ref", "alt").distinct()
+        drawn = placed.unionByName(drawn.join(taken, ["chrom", "pos", "ref", "alt"], "left_anti").select(placed.columns))
+    variants = without_conflicts(drawn, ["chrom", "win"])
     haps = haplotypes(windows, seqs, variants, reads.ploidy)
-    made = read_records(fragments(haps, reads), reads)
-    if targets is not None:
+    made = read_records(fragments(haps, reads, gc_scalars), reads)
+    if t is not None:
         ends = made.select("name", "mate", "chrom", F.explode(F.array(F.col("pos"), F.col("pos") + reads.length)).alias("pos"))
-        made = made.join(points_in_intervals(ends, t, "left_semi").select("name", "mate").distinct(), ["name", "mate"], "left_semi")
+        hit = points_in_intervals(ends, t, "left_semi").select("name", "mate").distinct().withColumn("hit", F.lit(True))
+        lucky = uniform("off-target", reads.seed, F.col("name"), F.col("mate")) < off_target
+        made = made.join(hit, ["name", "mate"], "left").where(F.col("hit").isNotNull() | lucky).drop("hit")
+    if discard is not None:
+        spans = made.select("name", "mate", "chrom", F.col("pos").alias("start"), (F.col("pos") + reads.length).alias("end"))
+        touched = overlaps(spans, discard.select("chrom", "start", "end")).select("name", "mate").distinct()
+        made = made.join(touched, ["name", "mate"], "left_anti")
     return {"windows": windows, "variants": variants, "haplotypes": haps, "reads": made}
 
 

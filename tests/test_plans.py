@@ -156,6 +156,40 @@ def test_targets_and_given_variants(spark, sequences):
     assert all(r.chrom == 0 and (2900 <= r.pos < 3100 or 2900 <= r.pos + 60 < 3100) for r in made["reads"].collect())
 
 
+def test_learned_models_drive_the_simulator(spark, sequences):
+    seqs, df = sequences
+    from strandloom.plans import models
+
+    made = simulate.simulate(df, simulate.MutationModel(rate=0.02, indel=0.2, transition=1.0), simulate.ReadModel(length=60, coverage=1.0))
+    v = learners.trimmed(made["variants"].select("chrom", "pos", "ref", "alt"))
+    c = learners.snp_contexts(v, df)
+    model = models.mutation_model(learners.rates(v, df), learners.mutation_probabilities(c, df), learners.mutation_spectrum(c), learners.indel_frequencies(v))
+    assert 0.015 < model.rate < 0.022 and 0.15 < model.indel < 0.25 and 0.4 < model.insertion < 0.8
+    q = spark.createDataFrame([([30, 20, 10],), ([30, 20, 20],)], "q array<int>")
+    kinds, chain = models.quality_chain(learners.quality_marginals(q), learners.quality_transitions(q))
+    reads = simulate.ReadModel(length=60, coverage=1.0, fragment_lengths=((50, 150, 160), (5.0, 1.0, 1.0)), qualities=kinds, chain=chain, error_scale=0.0)
+    rates = spark.createDataFrame([(0, 0, 6000, 0.1)], "chrom long, start long, end long, rate double")
+    again = simulate.simulate(df, model, reads, rates=rates, gc_scalars=[1.0] * 51, discard=spark.createDataFrame([(1, 0, 12_000)], "chrom long, start long, end long"))
+    found = again["variants"].collect()
+    dense = sum(x.chrom == 0 and x.pos < 6000 for x in found)
+    assert dense > 2.5 * sum(x.chrom == 1 and x.pos < 6000 for x in found) > 0
+    snps = [x for x in found if len(x.ref) == len(x.alt)]
+    swap = {"A": "G", "G": "A", "C": "T", "T": "C"}
+    assert sum(swap[x.ref] == x.alt for x in snps) > 0.6 * len(snps)  # mostly what was learned
+    got = again["reads"].collect()
+    assert got and {r.chrom for r in got} == {0} and all(r.qual[0] in "?5+" for r in got) and {abs(r.tlen) > 100 for r in got} == {True}
+
+
+def test_ambiguous_bases(spark):
+    from strandloom.operators.ambiguous import callable_parts, filled
+
+    s = spark.createDataFrame([("c", "ANNCNNNNNG"), ("d", "ACGT")], "chrom string, seq string")
+    got = dict(filled(s, 2).collect())
+    assert got["d"] == "ACGT" and got["c"][3:] == "CNNNNNG" and set(got["c"][:3]) <= set("ACGT")
+    assert dict(filled(s, 9, base="T").collect())["c"] == "ATTCTTTTTG"
+    assert sorted(map(tuple, callable_parts(s, 3).collect())) == [("c", 0, 4), ("c", 9, 10), ("d", 0, 4)]
+
+
 def test_model_ranges():
     for bad in ({"length": 5}, {"coverage": 0}, {"ploidy": 101}, {"fragment": (50, 1)}):
         with pytest.raises(ValueError):
