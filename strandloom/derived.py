@@ -20,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chrom, seq, length of every text with LEAST_CONTIG letters or more."""
+    """chrom, seq, length of every text with LEAST_CONTIG letters or more.
+
+    The explode of one value has Spark work out the sequence once a text; else generated
+    code does it again for every row that a join finds for the text.
+    """
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
-    seqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.translate(letters, LETTERS, AS_BASES).alias("seq"))
+    seqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.explode(F.array(F.translate(letters, LETTERS, AS_BASES))).alias("seq"))
     return seqs.withColumn("length", F.char_length("seq").cast("long")).where(F.col("length") >= LEAST_CONTIG)
 
 

@@ -62,7 +62,7 @@ def gap_clusters(points: DataFrame, gap: int, key: str = "chrom", pos: str = "po
     """Runs of points whose neighbours are at most ``gap`` apart: key, first, last, n."""
     order = Window.partitionBy(key).orderBy(pos)
     new = F.when(F.col(pos) - F.lag(pos).over(order) > gap, 1).otherwise(0)
-    marked = points.select(key, pos, new.alias("new")).withColumn("cluster", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    marked = points.select(key, pos, new.alias("new")).withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "cluster").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
