@@ -85,3 +85,16 @@ def runs_of(seqs: DataFrame, pattern: str = "[^ACGTU]+") -> DataFrame:
     held = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     spans = F.aggregate(F.sequence(F.lit(0), F.size("runs") - 1), held, step, lambda s: s["out"])
     return n.select("chrom", F.explode(spans).alias("run")).select("chrom", F.col("run.start").cast("long").alias("start"), F.col("run.end").cast("long").alias("end"))
+
+
+def balanced_parts(regions: DataFrame, parts: int) -> DataFrame:
+    """``regions`` with ``part``: runs of regions with about equal total length.
+
+    The running sum is over the list of regions of a genome, which fits a task; Spark's
+    own partitioning needs no such plan, this serves exports to other tools.
+    """
+    order = Window.orderBy("chrom", "start")
+    before = F.sum(F.col("end") - F.col("start")).over(order) - (F.col("end") - F.col("start"))
+    total = regions.agg(F.sum(F.col("end") - F.col("start")).alias("total"))
+    placed = regions.withColumn("before", before).join(F.broadcast(total))
+    return placed.withColumn("part", F.least(F.floor(F.col("before") * parts / F.col("total")), F.lit(parts - 1))).drop("before", "total")

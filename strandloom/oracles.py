@@ -184,5 +184,12 @@ SELECT generation, member_id, parent_id FROM k, n WHERE r <= 2 * n - round_even(
         "event_tumbling": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
         "event_sessions": """WITH s AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 1800000000 THEN 1 ELSE 0 END AS new FROM events)
 SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS c FROM s) GROUP BY user_id, c""",
+        "substitution_heatmaps": with_(CONTEXTS, "SELECT left(tri_ref, 1) || '_' || right(tri_ref, 1) AS flanks, ref, count(*) FILTER (alt = 'A') AS n_A, count(*) FILTER (alt = 'C') AS n_C, count(*) FILTER (alt = 'G') AS n_G, count(*) FILTER (alt = 'T') AS n_T FROM contexts GROUP BY ALL"),
+        "fn_depth_histogram": with_(f"""{SOLVED}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]},
+f AS (SELECT CAST(coalesce((SELECT sum(o_orderkey % 5 + 1) FROM intervals i WHERE i.chrom = m.chrom AND i.start <= m.pos AND m.pos < i."end"), 0) AS BIGINT) AS depth FROM {MISSED} m)""",
+            "SELECT depth, count(*) AS n FROM f GROUP BY depth"),
+        "human_contigs": with_(CONTIGS_SQL, "SELECT CASE WHEN chrom % 2 = 0 THEN 'chr' ELSE '' END || (chrom % 40) AS chrom, CAST(sum(length) AS BIGINT) AS bases FROM contigs WHERE chrom % 40 BETWEEN 1 AND 29 GROUP BY 1"),
+        "balanced_parts": with_(CONTIGS_SQL, "SELECT chrom, least(CAST(floor((sum(length) OVER (ORDER BY chrom) - length) * 7 / (SELECT sum(length) FROM contigs)) AS BIGINT), 6) AS part FROM contigs"),
+        "conforming_reads": "SELECT event_id AS read_id FROM events WHERE event_id % 3 = 1",
         "phred_bins": "SELECT round(pow(10.0, -(event_id % 41) / 10.0), 9) AS p, CAST(event_id % 41 AS INT) AS q, count(*) AS n FROM events GROUP BY 1, 2",
     }

@@ -221,3 +221,10 @@ def merged_regions(regions: DataFrame) -> DataFrame:
     return folded.select("chrom", "x.start", "x.end", F.col("x.density").alias("rate"))
 
 
+
+
+def substitution_heatmaps(contexts: DataFrame) -> DataFrame:
+    """A row for each flanking pair and base: flanks, ref, and counts n_A, n_C, n_G, n_T of what it turns into."""
+    flanks = F.concat(F.left("tri_ref", F.lit(1)), F.lit("_"), F.right("tri_ref", F.lit(1)))
+    counts = contexts.groupBy(flanks.alias("flanks"), "ref").pivot("alt", list(BASES)).agg(F.count(F.lit(1)))
+    return counts.select("flanks", "ref", *[F.coalesce(b, F.lit(0)).cast("long").alias(f"n_{b}") for b in BASES])

@@ -491,6 +491,36 @@ def phred_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.round("p", 9).alias("p"), error_to_phred(F.col("p")).alias("q")).groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def substitution_heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learners.substitution_heatmaps(contexts(spark, sf_dir))
+
+
+@query
+def fn_depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missed, _ = compare.missed_and_wrong(*d.call_sets(spark, sf_dir))
+    none = d.intervals(spark, sf_dir).select("chrom", "start", "end").limit(0)
+    return compare.attribution(missed, none, depth(spark, sf_dir)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def human_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = d.contigs(spark, sf_dir).select(F.concat(F.when(F.col("chrom") % 2 == 0, "chr").otherwise(""), (F.col("chrom") % 40).cast("string")).alias("chrom"), "length")
+    return learners.human_contigs(named).groupBy("chrom").agg(F.sum("length").alias("bases"))
+
+
+@query
+def balanced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = d.contigs(spark, sf_dir).select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+    return iv.balanced_parts(regions, 7).select("chrom", "part")
+
+
+@query
+def conforming_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = d.qualities(spark, sf_dir).withColumn("q", F.slice("q", F.lit(1), (F.col("read_id") % 3 + 14).cast("int")))
+    return learners.conforming(cut, 15).select("read_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(ALL)
 
