@@ -17,7 +17,11 @@ def chunked(seqs: DataFrame, size: int = 1024, halo: int = 2) -> DataFrame:
 
 def trinucleotide_counts(seqs: DataFrame) -> DataFrame:
     """Overlapping trinucleotides of all sequences: tri, n; all 64 are there, absent ones with 0."""
-    pieces = chunked(seqs, 1024, 2).where(F.char_length("piece") >= 3)
+    # a sign is found by walking a string from its start, so counted pieces are short
+    long = chunked(seqs, 4096, 2).select(F.col("start").alias("chrom"), F.col("piece").alias("seq"), F.lit(4096).alias("own"))
+    begins = F.sequence(F.lit(0), F.least("own", F.char_length("seq")) - 1, F.lit(64))
+    short = F.transform(begins, lambda b: F.substring("seq", b + 1, F.lit(66)))
+    pieces = long.select(F.explode(short).alias("piece")).where(F.char_length("piece") >= 3)
     at = F.sequence(F.lit(1), F.char_length("piece") - 2)
     tri = pieces.select(F.explode(F.transform(at, lambda i: F.substring("piece", i, F.lit(3)))).alias("tri"))
     counted = tri.where(is_trinucleotide(F.col("tri"))).groupBy("tri").agg(F.count(F.lit(1)).alias("n"))
