@@ -187,6 +187,11 @@ def test_one_of_each(spark, odd, nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
+def most_repeated(text):
+    ws = text.split()
+    return max(Counter(zip(ws, ws[1:], strict=False)).values(), default=0)
+
+
 def test_multiset_hash_against_brute_force(spark, small, odd, nothing):
     docs = table(spark, small, "documents")
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r.doc_id)
@@ -198,8 +203,9 @@ def test_multiset_hash_against_brute_force(spark, small, odd, nothing):
         g = got[r.doc_id]
         assert g.n_chars == len(r.text) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
-        if len(r.text) > 2000:  # short ones depend on single words
-            assert (g.near_edited > g.near_next) or len(set(r.text.split())) < 100
+        # a known limit, stated in the README: one word pair that fills either text outweighs all others
+        if len(r.text) > 2000 and most_repeated(r.text) <= 10 and most_repeated(nxt.text) <= 10:
+            assert g.near_edited > g.near_next
     same = {}
     for r in rows:
         same.setdefault(r.text, set()).add(got[r.doc_id].fingerprint)
