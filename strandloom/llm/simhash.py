@@ -305,10 +305,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of distinct words that propose pairs within a radius; words of a shingle that confirms them.
-PROPOSING, PROPOSING_RADIUS, CONFIRMING = 8, 3, 5
-#: 64-bit words of a confirming fingerprint, and how many bits may differ: shingle sets of similarity 0.8 and more.
-CONFIRMING_WORDS, MOST_BITS = 4, 44
+#: Words of a shingle; two sets of shingles are near-duplicates from the likeness (Jaccard) ALIKE / 5 on.
+CONFIRMING, ALIKE = 5, 4
+#: 64-bit words of a wide fingerprint, and the bits above which a pair isn't looked at: at likeness 0.8 about 39
+#: differ (of 5 and 4 shingles 48, deviation 6.2), of unlike texts 128.
+WIDE_WORDS, LOOSE_BITS = 4, 88
+#: Documents whose shingles tell which ones are common, and shingles that count as common; they only order the shingles.
+ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 20_000, 8, 200_000
+#: Members of a block whose pairs are made together with those of other blocks.
+FEW = 64
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -319,41 +324,210 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def wide_fingerprints(text: str) -> tuple[list[int], bytes]:
-    """Proposing fingerprints (of the distinct words) and the confirming one (of the distinct shingles)."""
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct shingles, sorted; of texts without words: zero alone."""
     ws = words(text)
-    one = xxhash.xxh64_intdigest
-    single = np.array([one(w, SEED) for w in set(ws)] or [0], np.uint64)
-    shingles = np.unique(shingle_hashes(ws, CONFIRMING)) if ws else np.zeros(1, np.uint64)
-    return majority(mixed(single, PROPOSING)).view("<i8").tolist(), majority(mixed(shingles, CONFIRMING_WORDS)).tobytes()
+    return np.unique(shingle_hashes(ws, CONFIRMING)) if ws else np.zeros(1, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the wide fingerprints of two sets differ in 44 bits at most."""
+    x, y = (majority(mixed(s, WIDE_WORDS)) for s in (a, b))
+    return int(np.bitwise_count(x ^ y).sum()) <= 44
+
+
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which two sets with the likeness ALIKE / 5 share one.
+
+    Such sets share at least ALIKE / 5 of each, so the first n - ceil(n ALIKE / 5) + 1 of both in any one order meet.
+    """
+    first = len(s) - (len(s) * ALIKE + 4) // 5 + 1
+    if not len(common):
+        return s[:first]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")[:first]]
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many of ORDER_DOCS documents have, and their counts."""
+    total = texts.count()
+    part = texts if total <= ORDER_DOCS else texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(ORDER_DOCS / total * (1 << 30)))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ts in batches(frames):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t) for t in ts]).view(np.int64))], names=["key"])
+
+    counted = part.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= ORDER_LEAST)
+    rows = counted.orderBy(F.desc("count"), "key").limit(ORDER_MOST).toPandas()
+    common, counts = rows["key"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    order = np.argsort(common)
+    return common[order], counts[order]
+
+
+def block_pairs(cell: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, wide: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell that may be alike, of unlike labels; rows are sorted by cell and size.
+
+    ``side`` is -1 in cells that are compared with themselves, else pairs have unlike
+    sides. ``every``: all of them, else each row with the next and with one pivot.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def look(i: np.ndarray, j: np.ndarray, dist: np.ndarray | None = None) -> None:
+        lo, hi = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        ok = (lo * 5 >= hi * ALIKE) & (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        for row in () if dist is None else dist:
+            ok = np.abs(row[i] - row[j]) <= LOOSE_BITS
+            if not ok.all():
+                i, j = i[ok], j[ok]
+        ok = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= LOOSE_BITS
+        found.append((i[ok], j[ok]))
+
+    n = len(cell)
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n else np.empty(0, np.int64)
+    long = np.diff(np.r_[begin, n])
+    first, members = np.repeat(begin, long), np.repeat(long, long)
+    few = np.flatnonzero(members <= FEW) if every else np.arange(n)
+    for d in range(1, FEW if every else 2):
+        i = few[few + d < n]
+        i = i[cell[i] == cell[i + d]]
+        if not len(i):
+            break
+        look(i, i + d)
+    if not every:
+        look(first[first != np.arange(n)], np.flatnonzero(first != np.arange(n)))
+    for s, m in zip(begin[long > FEW].tolist(), long[long > FEW].tolist(), strict=True):
+        rows = np.arange(s, s + m)
+        if not every:  # the member nearest to what most members have
+            bits = np.unpackbits(wide[rows].view(np.uint8), axis=1)
+            centre = s + int((bits != (bits.mean(0) > 0.5)).sum(1).argmin())
+            look(np.full(m - 1, centre), rows[rows != centre])
+            continue
+        # members as references of the pivot table
+        dist = np.zeros((PIVOTS, n), np.int16)
+        for k, pivot in enumerate(rows[np.linspace(0, m - 1, PIVOTS).astype(int)]):
+            dist[k, rows] = np.bitwise_count(wide[rows] ^ wide[pivot]).sum(1, dtype=np.int16)
+        end = np.searchsorted(size[rows] * ALIKE, size[rows] * 5, side="right") + s
+        step = max(1, 1_000_000 // m)
+        for at in range(s, s + m, step):
+            to = min(s + m, at + step)
+            i, j = np.nonzero(label[at:to, None] != label[None, at : end[to - 1 - s]])
+            look(i[j > i] + at, j[j > i] + at, dist)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    return i, j
+
+
+def shared_blocks(nodes: DataFrame) -> DataFrame:
+    """key, node, size, wide, slices of each prefix shingle that several nodes have."""
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    crowd = dealt.groupBy("key").count().where(F.col("count") > 1).select("key", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    return dealt.join(crowd, "key").join(nodes.select("node", "size", "wide"), "node")
+
+
+def proposed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in one block that may be alike; with ``label`` all of unlike labels, else some that may connect most."""
+    every = label is not None
+    labelled = shared.withColumn("label", F.col("node"))
+    if every:
+        labelled = shared.join(label.select(F.col("node"), F.col("label").alias("known")), "node", "left").withColumn("label", F.coalesce("known", "node"))
+    cells = (
+        labelled.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("node", "label", "size", "wide", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    )
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node")
+
+    def edges(t: pa.Table) -> np.ndarray:
+        cols = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
+        return np.any([c[1:] != c[:-1] for c in cols], axis=0)
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        node, label, size, lo, hi, own = (t.column(c).to_numpy() for c in ("node", "label", "size", "lo", "hi", "own"))
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+        i, j = block_pairs(np.r_[0, np.cumsum(edges(t))], np.where(lo == hi, -1, own == lo), label, size.astype(np.int64), wide, every)
+        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in frames:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 50_000:
+                now = pa.Table.from_batches(held).combine_chunks()
+                cut = np.flatnonzero(edges(now))
+                if len(cut):  # the last cell may go on in the next batch
+                    yield compare(now.slice(0, int(cut[-1]) + 1).combine_chunks())
+                    rest = now.slice(int(cut[-1]) + 1).combine_chunks()
+                    held, rows = rest.to_batches(), rest.num_rows
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have the likeness ALIKE / 5 or more."""
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            sets: dict[int, np.ndarray] = {}
+            keep = []
+            for x, y, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                for node, text in ((x, s), (y, t)):
+                    if node not in sets:
+                        sets[node] = shingle_set(text)
+                keep.append(alike(sets[x], sets[y]))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any more) without near-duplicates: of each group the row with the least doc_id.
 
-    Two texts are near-duplicates if their sets of five-word shingles are 0.8 similar or
-    more, as the confirming fingerprints tell; groups are what links connect. Pairs are
-    proposed by any of PROPOSING fingerprints of the texts' words within PROPOSING_RADIUS bits, by
-    the same blocks and pivot tables as ``near_duplicates``. Null and empty texts are one
-    group; a null id comes before all others; of rows with the kept id and group one
-    stays, that with the least text. All columns are kept.
+    Two texts are near-duplicates if their sets of five-word shingles have the Jaccard
+    likeness 0.8 or more, as wide fingerprints tell; groups are what links connect. Pairs are proposed by
+    an exact prefix filter: sets so alike share one of their first shingles, rare ones
+    first. Pairs of one block pass a pivot table and a loose limit on wide fingerprints,
+    and a tighter limit decides; what is connected already isn't compared again. Null
+    and empty texts are one group; a null id comes before all others; of rows with the
+    kept id and group one stays, that with the least text. All columns are kept.
     """
     bounded_batches(docs.sparkSession)
-    names = [f"f{k}" for k in range(PROPOSING)]
+    order = docs.sparkSession.sparkContext.broadcast(common_shingles(id_and_text(docs)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(frames):
-            found = [wide_fingerprints(t) for t in texts]
-            each = [pa.array([f[k] for f, _ in found], pa.int64()) for k in range(PROPOSING)]
-            yield pa.RecordBatch.from_arrays([ids, *each, pa.array([w for _, w in found], pa.binary())], names=["doc_id", *names, "long"])
-
-    def fingerprinted(rows: DataFrame) -> DataFrame:
-        found = rows.mapInArrow(run, f"doc_id long, {', '.join(f'{f} long' for f in names)}, long binary")
-        return found.withColumn("node", F.xxhash64(*names, "long"))
-
-    fps = checkpointed(fingerprinted(id_and_text(docs)))
-    nodes = checkpointed(fps.groupBy("node", *names, "long").agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")))
-    label = components(links(nodes, names, PROPOSING_RADIUS, "long", MOST_BITS))
+            sets = [shingle_set(t) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            wide = [majority(mixed(s, WIDE_WORDS)).tobytes() for s in sets]
+            keys = [prefix(s, *order.value).view(np.int64) for s in sets]
+            ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+            size = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(node), size, pa.array(wide, pa.binary()), keys], names=["doc_id", "node", "size", "wide", "keys"])
+
+    def named(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in batches(frames):
+            node = np.array([xxhash.xxh64_intdigest(shingle_set(t).tobytes(), SEED) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array(texts, pa.string())], names=["doc_id", "node", "text"])
+
+    with_nodes = lambda rows: rows.mapInArrow(named, "doc_id long, node long, text string")
+    fps = checkpointed(id_and_text(docs).mapInArrow(run, "doc_id long, node long, size int, wide binary, keys array<long>"))
+    nodes = fps.groupBy("node", "size", "wide").agg(F.any_value("keys").alias("keys"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"))
+    nodes = checkpointed(nodes)
+    shared = checkpointed(shared_blocks(nodes))
+    texts = checkpointed(with_nodes(id_and_text(docs)).select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    tried = checkpointed(proposed(shared, None))
+    found = checkpointed(confirmed(tried, texts))
+    rest = proposed(shared, components(found)).join(tried, ["a", "b"], "left_anti")
+    label = components(found.unionByName(confirmed(rest, texts)))
     grouped = checkpointed(nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"), "least", "nulls"))
     kept = grouped.groupBy("label").agg(F.when(F.sum("nulls") > 0, F.lit(None).cast("long")).otherwise(F.min("least")).alias("kept_id"))
     mine = docs.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
@@ -364,7 +538,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     single = mine.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti")
     several = docs.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi").select(F.struct("*").alias("row"))
     texts = several.select(F.xxhash64("row").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text")).distinct()
-    of_row = fingerprinted(texts).select(F.col("doc_id").alias("row_hash"), "node").join(grouped.select("node", "label"), "node").join(kept, "label")
+    of_row = with_nodes(texts).select(F.col("doc_id").alias("row_hash"), "node").join(grouped.select("node", "label"), "node").join(kept, "label")
     judged = several.join(of_row, F.xxhash64("row") == F.col("row_hash")).where(F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
     least = judged.groupBy("label").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
     return single.unionByName(least)

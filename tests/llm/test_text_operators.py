@@ -238,3 +238,33 @@ def test_many_id_buckets(spark):
         h = len(t) // 2
         want.append((i, hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()))
     assert got == sorted(want, key=str)
+
+
+def zipf_copies(kind, n, r):
+    """A text of ``n`` words and a cut, extended or substituted copy whose likeness is near 0.8."""
+    draw = lambda k: [f"w{x}" for x in r.zipf(1.3, k) % 5000]
+    ws = draw(n)
+    part = int(n * r.uniform(0.14, 0.36 if kind == "extended" else 0.26))
+    if kind == "cut":
+        return ws, ws[: n - part]
+    if kind == "extended":
+        return ws, ws + draw(part)
+    copy = list(ws)
+    for k in r.choice(n, max(1, int(n * r.uniform(0.01, 0.04))), replace=False):
+        copy[k] = "other"
+    return ws, copy
+
+
+@pytest.mark.parametrize("kind", ["cut", "extended", "substituted"])
+def test_copies_are_proposed(kind):
+    r = np.random.default_rng(4)
+    pairs = [[simhash.shingle_set(" ".join(ws)) for ws in zipf_copies(kind, int(r.integers(20, 1000)), r)] for _ in range(300)]
+    pool, counts = np.unique(np.concatenate([s for p in pairs for s in p]), return_counts=True)
+    pairs = [(a, b) for a, b in pairs if len(np.intersect1d(a, b)) * 5 >= len(np.union1d(a, b)) * 4]
+    for a, b in pairs:
+        assert set(simhash.prefix(a, pool, counts).tolist()) & set(simhash.prefix(b, pool, counts).tolist())
+        wide = [simhash.majority(simhash.mixed(x, simhash.WIDE_WORDS)) for x in (a, b)]
+        assert np.bitwise_count(wide[0] ^ wide[1]).sum() <= simhash.LOOSE_BITS
+    assert len(pairs) > 60
+
+
