@@ -331,9 +331,9 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the wide fingerprints of two sets differ in 44 bits at most."""
-    x, y = (majority(mixed(s, WIDE_WORDS)) for s in (a, b))
-    return int(np.bitwise_count(x ^ y).sum()) <= 44
+    """Whether two sets have the likeness ALIKE / 5 or more; exact."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * 5 >= (len(a) + len(b) - common) * ALIKE
 
 
 def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -471,7 +471,7 @@ def proposed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have the likeness ALIKE / 5 or more."""
+    """The pairs (a, b) whose texts (node, text) have the likeness ALIKE / 5 or more, exactly."""
     of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,10 +492,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any more) without near-duplicates: of each group the row with the least doc_id.
 
     Two texts are near-duplicates if their sets of five-word shingles have the Jaccard
-    likeness 0.8 or more, as wide fingerprints tell; groups are what links connect. Pairs are proposed by
+    likeness 0.8 or more, exactly; groups are what links connect. Pairs are proposed by
     an exact prefix filter: sets so alike share one of their first shingles, rare ones
     first. Pairs of one block pass a pivot table and a loose limit on wide fingerprints,
-    and a tighter limit decides; what is connected already isn't compared again. Null
+    and the sets themselves decide; what is connected already isn't compared again. Null
     and empty texts are one group; a null id comes before all others; of rows with the
     kept id and group one stays, that with the least text. All columns are kept.
     """

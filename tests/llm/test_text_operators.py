@@ -268,3 +268,32 @@ def test_copies_are_proposed(kind):
     assert len(pairs) > 60
 
 
+@pytest.mark.parametrize("kind", ["cut", "extended", "substituted"])
+def test_one_of_each_against_all_pairs(spark, kind):
+    r = np.random.default_rng(3)
+    rows, alike = [], 0
+    for k in range(120):
+        for m, ws in enumerate(zipf_copies(kind, int(r.integers(100, 1000)), r)):
+            rows.append((2 * k + m, " ".join(ws)))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common * 5 >= (len(sets[i]) + len(sets[j]) - common) * 4:
+                label = [label[j] if x == label[i] else x for x in label]
+                alike += 1
+    want = sorted({min(i for i, y in enumerate(label) if y == x) for x in label})
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == want and 30 < alike < 120
+
+
+def test_pairs_below_the_limit_stay(spark):
+    rows = []
+    for k in range(40):
+        base = [f"a{k}x{i}" for i in range(204)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 204 - 41 - k % 20]))]  # 200 shingles, of which the cut text has 159 to 140
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == len(rows)
+    limit = [(1, " ".join(base)), (2, " ".join(base[:164]))]  # 160 of 200: at the limit
+    assert [x.doc_id for x in simhash.one_of_each(spark.createDataFrame(limit, "doc_id long, text string")).collect()] == [1]
