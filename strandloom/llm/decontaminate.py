@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ MASKS = ("11011011", "1101001011", "11100010011")
 WINDOW, AGREE = 13, 0.8
 #: Items shorter than the shortest mask are looked for whole and unchanged.
 WHOLE = min(map(len, MASKS))
+#: Items shorter than this are looked for by masks of their own, which all substitutions that AGREE allows leave a hit.
+LONG = 12
 #: Bytes of benchmark text that are hashed and sent out in one pass over the documents.
 PASS_BYTES = 8_000_000
 DIVIDE = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
@@ -54,9 +57,23 @@ def seeds(tok: np.ndarray, kept: list[int]) -> np.ndarray:
     return out * np.uint64(0x9E3779B97F4A7C15)
 
 
-def layouts(lengths: set[int]) -> list[list[int]]:
-    """Kept places of the masks, and of whole items too short for them."""
-    return [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in sorted(lengths)]
+def substitutions(n: int) -> int:
+    """Tokens of an item of ``n`` tokens that may differ."""
+    return max(k for k in range(n + 1) if n - k >= AGREE * n) if n >= WHOLE else 0
+
+
+def own_masks(n: int) -> list[list[int]]:
+    """Kept places of an item of ``n`` tokens: of two parts more than tokens may differ, each choice of two that stay whole."""
+    wrong = substitutions(n)
+    if not wrong:
+        return [list(range(n))]
+    parts = np.array_split(np.arange(n), wrong + 2)
+    return [np.concatenate(c).tolist() for c in combinations(parts, 2)]
+
+
+def layouts(lengths: set[int]) -> list[tuple[list[int], int | None]]:
+    """(kept places, length of the items they are for) of the masks (None: LONG and more tokens) and of shorter items."""
+    return [([i for i, c in enumerate(m) if c == "1"], None) for m in MASKS] + [(kept, n) for n in sorted(lengths) for kept in own_masks(n)]
 
 
 @dataclass
@@ -73,11 +90,10 @@ class Index:
     @classmethod
     def of(cls, items: list[tuple[int | None, str]]) -> Index:
         known = [(i, tokens(t)) for i, t in items]
-        short = {len(t) for _, t in known if 0 < len(t) < WHOLE}
-        out = cls(known, layouts(short), [], [], [], [])
-        for kept in out.kept:
-            whole = kept == list(range(len(kept)))
-            h = [seeds(t, kept) if whole == (len(t) < WHOLE) and (not whole or len(t) == len(kept)) else np.empty(0, np.uint64) for _, t in known]
+        plan = layouts({len(t) for _, t in known if 0 < len(t) < LONG})
+        out = cls(known, [kept for kept, _ in plan], [], [], [], [])
+        for kept, of in plan:
+            h = [seeds(t, kept)[: 1 if of else None] if (len(t) >= LONG if of is None else len(t) == of) else np.empty(0, np.uint64) for _, t in known]
             size = np.array([len(x) for x in h], np.int64)
             hashes = np.concatenate(h) if h else np.empty(0, np.uint64)
             order = np.argsort(hashes, kind="stable")

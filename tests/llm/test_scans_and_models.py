@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -184,6 +185,20 @@ def test_contamination(spark, small, odd, nothing):
     assert {x for x in got if x[0] in short} == want and want
 
 
+@pytest.mark.parametrize("n", range(8, 17))
+def test_every_allowed_substitution_is_found(n):
+    item = [f"w{i}" for i in range(n)]
+    index = decontaminate.Index.of([(1, " ".join(item))])
+    width = min(n, decontaminate.WINDOW)
+    for wrong in range(width // 5 + 1):
+        for places in combinations(range(width), wrong):
+            for before, after in ((0, 0), (3, 2)):
+                text = ["x"] * before + ["other" if i in places else w for i, w in enumerate(item[:width])] + ["x"] * after
+                assert [o[0] for o in index.overlaps(" ".join(text))] == [1], places
+    over = ["other" if i <= width // 5 else w for i, w in enumerate(item)]
+    assert not index.overlaps(" ".join(over[:width]))
+
+
 def test_passes_give_the_same(spark, small, monkeypatch):
     d, b = table(spark, small, "documents"), table(spark, small, "benchmark")
     one = sorted(map(tuple, decontaminate.contamination(d, b).collect()))
