@@ -311,9 +311,11 @@ CONFIRMING, ALIKE = 5, 4
 #: differ (of 5 and 4 shingles 48, deviation 6.2), of unlike texts 128.
 WIDE_WORDS, LOOSE_BITS = 4, 88
 #: Documents whose shingles tell which ones are common, and shingles that count as common; they only order the shingles.
-ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 20_000, 8, 200_000
+ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 5_000, 3, 200_000
 #: Members of a block whose pairs are made together with those of other blocks.
 FEW = 64
+#: Slots of the sieve that spares most texts a shuffle; a full one only spares none.
+SIEVE = 1 << 21
 
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -470,8 +472,26 @@ def proposed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have the likeness ALIKE / 5 or more, exactly."""
+def with_nodes(rows: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
+    """doc_id, node, text of each row, or of those in the sieve."""
+
+    def named(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in batches(frames):
+            node = np.array([xxhash.xxh64_intdigest(shingle_set(t).tobytes(), SEED) for t in texts], np.uint64).view(np.int64)
+            out = pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array(texts, pa.string())], names=["doc_id", "node", "text"])
+            yield out if sieve is None else out.filter(pa.array(held.value[node % SIEVE]))
+
+    held = None if sieve is None else rows.sparkSession.sparkContext.broadcast(sieve)
+    return rows.mapInArrow(named, "doc_id long, node long, text string")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts in ``docs`` have the likeness ALIKE / 5 or more, exactly."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    slots = nodes.select(F.pmod("node", F.lit(SIEVE)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # bounded by SIEVE
+    sieve = np.zeros(SIEVE, bool)
+    sieve[slots] = True
+    texts = checkpointed(with_nodes(id_and_text(docs), sieve).select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,27 +527,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             wide = [majority(mixed(s, WIDE_WORDS)).tobytes() for s in sets]
-            keys = [prefix(s, *order.value).view(np.int64) for s in sets]
+            # half of each hash: by chance equal ones only make pairs that are discarded
+            keys = [(prefix(s, *order.value) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             size = pa.array([len(s) for s in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array(node), size, pa.array(wide, pa.binary()), keys], names=["doc_id", "node", "size", "wide", "keys"])
 
-    def named(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(frames):
-            node = np.array([xxhash.xxh64_intdigest(shingle_set(t).tobytes(), SEED) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array(texts, pa.string())], names=["doc_id", "node", "text"])
-
-    with_nodes = lambda rows: rows.mapInArrow(named, "doc_id long, node long, text string")
-    fps = checkpointed(id_and_text(docs).mapInArrow(run, "doc_id long, node long, size int, wide binary, keys array<long>"))
+    fps = checkpointed(id_and_text(docs).mapInArrow(run, "doc_id long, node long, size int, wide binary, keys array<int>"))
     nodes = fps.groupBy("node", "size", "wide").agg(F.any_value("keys").alias("keys"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"))
     nodes = checkpointed(nodes)
     shared = checkpointed(shared_blocks(nodes))
-    texts = checkpointed(with_nodes(id_and_text(docs)).select("node", "text").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     tried = checkpointed(proposed(shared, None))
-    found = checkpointed(confirmed(tried, texts))
-    rest = proposed(shared, components(found)).join(tried, ["a", "b"], "left_anti")
-    label = components(found.unionByName(confirmed(rest, texts)))
+    found = checkpointed(confirmed(tried, docs))
+    rest = checkpointed(proposed(shared, components(found)).join(tried, ["a", "b"], "left_anti"))
+    label = components(found.unionByName(confirmed(rest, docs)))
     grouped = checkpointed(nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"), "least", "nulls"))
     kept = grouped.groupBy("label").agg(F.when(F.sum("nulls") > 0, F.lit(None).cast("long")).otherwise(F.min("least")).alias("kept_id"))
     mine = docs.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
