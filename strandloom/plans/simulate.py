@@ -110,10 +110,14 @@ def window_plan(regions: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.select("chrom", "win", begin.alias("start"), core.alias("core_end"), F.least(core + overlap, F.col("e")).alias("end"))
 
 
-def poisson_count(u: Column, rate: Column, most: int = 1000) -> Column:
-    """Inverse distribution function of a Poisson count whose rate is a column."""
+#: Greatest rate that one Poisson draw has.
+POISSON_RATE = 300
+
+
+def poisson_count(u: Column, rate: Column) -> Column:
+    """Inverse distribution function of a Poisson count whose rate is a column, POISSON_RATE at most."""
     held = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.lit(0).alias("k"))
-    ks = F.sequence(F.lit(1), F.least(F.ceil(rate * 3 + 20), F.lit(most)).cast("int"))
+    ks = F.sequence(F.lit(1), F.ceil(rate * 3 + 20).cast("int"))
 
     def step(s: Column, k: Column) -> Column:
         p = s["p"] * rate / k
@@ -122,6 +126,13 @@ def poisson_count(u: Column, rate: Column, most: int = 1000) -> Column:
     return F.aggregate(ks, held, step, lambda s: s["k"])
 
 
+def poisson_sum(rate: Column, *key: object) -> Column:
+    """A Poisson count of any rate: the sum of independent ones of POISSON_RATE at most, drawn by ``key``."""
+    parts = F.ceil(rate / POISSON_RATE).cast("int")
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, part: n + poisson_count(uniform(*key, part), rate / parts))
+    return F.when(parts <= 1, poisson_count(uniform(*key), rate)).otherwise(many)
+
+
 def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, ploidy: int, seed: int, rates: DataFrame | None = None) -> DataFrame:
     """Variants drawn in each window's core: chrom, win, pos, ref, alt, ploids.
 
@@ -134,7 +145,7 @@ def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, p
     core = windows.join(seqs.select("chrom", "seq"), "chrom").select("chrom", "win", "start", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("core_end") - F.col("start")).cast("int")).alias("piece"))
     key = lambda what: ("mut", seed, what, F.col("chrom"), F.col("win"), F.col("k"))
     n = F.char_length("piece")
-    count = poisson_count(uniform("mut", seed, "n", F.col("chrom"), F.col("win")), n * F.lit(most * top))
+    count = poisson_sum(n * F.lit(most * top), "mut", seed, "n", F.col("chrom"), F.col("win"))
     rows = core.where(n > 2).withColumn("count", count).where(F.col("count") > 0)
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("count")))).withColumn("off", (uniform_int(n - 2, *key("pos")) + 1).cast("int"))
     weight = F.create_map(*[F.lit(x) for t, w in model.bias.items() for x in (t, w / top)])

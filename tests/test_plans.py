@@ -250,3 +250,11 @@ def test_sinks(spark, sequences, tmp_path):
     assert text.fasta(spark, str(tmp_path / "fa")).count() == made["reads"].count()
     sinks.write_model({"v": made["variants"]}, str(tmp_path / "model"))
     assert sinks.read_model(spark, str(tmp_path / "model"), ["v"])["v"].count() == made["variants"].count()
+
+
+def test_poisson_counts_of_any_rate(spark):
+    from strandloom.plans.simulate import poisson_sum
+
+    for rate in (0.5, 250.0, 800.0, 3000.0, 10000.0):
+        got = spark.range(400).select(poisson_sum(F.lit(rate), "n", 1, F.col("id")).alias("n")).agg(F.avg("n"), F.variance("n")).first()
+        assert abs(got[0] - rate) < 5 * (rate / 400) ** 0.5 and 0.7 < got[1] / rate < 1.4
