@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Records per Arrow batch: bounds a worker's memory when single texts are long.
 ARROW_RECORDS = 512
+#: Bytes of the longest text that a model learns from (all texts are scored): bounds what a sample brings to the driver.
+LEARN_BYTES = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +30,16 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs in one process (tests) a temporary folder takes its place.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -51,9 +56,34 @@ def fold(modulus: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def hash_share(id_col: str, seed: int) -> Column:
-    """A uniform number in [0, 1) that depends on the id and the seed only."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+def hash_share(seed: int, *cols: str) -> Column:
+    """A uniform number in [0, 1) that depends on the columns and the seed only."""
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+
+
+def learnable() -> Column:
+    """Whether a text is short enough to learn from."""
+    return F.octet_length("text") <= LEARN_BYTES
+
+
+def sampled_texts(docs: DataFrame, expected: int, seed: int, where: Column | None = None) -> DataFrame:
+    """The distinct texts of about ``expected`` rows, of at most LEARN_BYTES each, as column ``text``.
+
+    Rows are chosen by a hash of id and text, so neither the input's layout nor its order
+    matters; a text that many rows share is there once.
+    """
+    rows = id_and_text(docs).where(learnable())
+    rows = rows if where is None else rows.where(where)
+    n = max(1, rows.count())
+    return rows.where(hash_share(seed, "doc_id", "text") < F.lit(expected / n)).groupBy(F.xxhash64("text").alias("of")).agg(F.min("text").alias("text")).select("text")
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as no column of ``taken`` has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def filtered(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches, bounded_batches, fold, hash_share, id_and_text
+from strandloom.llm.common import batches, bounded_batches, fold, hash_share, id_and_text, learnable
 
 SAMPLE_SEED = 2024
 
@@ -20,22 +20,24 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, modulus: i
     Only labels whose id's crc32 modulo ``modulus`` is not ``held`` are read. A row is
     in the sample if a hash of its id is below the share that gives ``each`` rows of its
     class, so the sample doesn't depend on the input's layout and its size on no table's.
-    Without labels the sample is empty and the shares are equal.
+    Of rows that share an id the least text counts, texts over LEARN_BYTES don't. Without
+    labels the sample is empty and the shares are equal.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(modulus) != held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(each / max(1, n.get(1, 0)))).otherwise(F.lit(each / max(1, n.get(0, 0))))
-    sample = known.where(hash_share("doc_id", SAMPLE_SEED) < share).withColumnRenamed("doc_id", "sample_id")
+    sample = known.where(hash_share(SAMPLE_SEED, "doc_id") < share).withColumnRenamed("doc_id", "sample_id")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             found = [features(t).astype("<f4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(found, pa.binary())], names=["label", "features"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["label", "features"])
 
     # the sample is bounded by ``each``, so it may be sent to all executors
-    texts = id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "label")
+    texts = id_and_text(docs).where(learnable()).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id"))
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     rows = texts.mapInArrow(run, "label int, features binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))  # the order of tasks must not matter
     total = max(1, sum(n.values()))
