@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.char_tagger import Tagger, encode
-from strandloom.llm.common import batches, bounded_batches, hash_share, id_and_text, table
+from strandloom.llm.common import batches, bounded_batches, id_and_text, sampled_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -32,8 +34,8 @@ DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 #: Width of a window, and the distance from one to the next.
 WIDTH, STEP = 80, 40
-#: Documents (expected number) and windows to learn from; least mean confidence of a span.
-SAMPLE, WINDOWS = 3000, 600
+#: Documents with a trigger (expected number) and windows to learn from; least mean confidence of a span.
+SAMPLE, WINDOWS = 1000, 600
 SURE = 0.9
 
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -130,14 +132,31 @@ def plausible(kind: int, s: str) -> bool:
 def reconcile(spans: list[tuple[int, int, int, float]]) -> list[Span]:
     """The non-overlapping spans with the greatest total confidence; ties: fewer, earlier ones."""
     spans = sorted(set(spans), key=lambda s: (s[1], s[0], s[2]))
-    best: list[tuple[float, list[Span]]] = [(0.0, [])]
-    ends: list[int] = []
-    for s, e, k, sure in spans:
-        before = int(np.searchsorted(ends, s, side="right"))
-        total = best[before][0] + sure
-        ends.append(e)
-        best.append((total, [*best[before][1], (s, e, k)]) if total > best[-1][0] else best[-1])
-    return best[-1][1]
+    ends = [s[1] for s in spans]
+    total = [0.0]  # the most confidence of the first so many spans
+    taken: list[int] = [-1]  # with this one as the last
+    for n, (s, _, _, sure) in enumerate(spans):
+        here = total[bisect_right(ends, s, 0, n)] + sure
+        total.append(max(here, total[-1]))
+        taken.append(n if here > total[n] else taken[-1])
+    out, at = [], len(spans)
+    while taken[at] >= 0:
+        s, e, k, _ = spans[taken[at]]
+        out.append((s, e, k))
+        at = bisect_right(ends, s, 0, taken[at])
+    return out[::-1]
+
+
+def apart(spans: list[Span], known: list[Span]) -> list[Span]:
+    """Those of ``spans`` that overlap none of ``known``."""
+    begin = sorted(known)
+    starts, reach = [s for s, *_ in begin], list(accumulate((e for _, e, _ in begin), max))
+    out = []
+    for s, e, k in spans:
+        before = bisect_left(starts, e)  # known spans that begin before this one ends
+        if not before or reach[before - 1] <= s:
+            out.append((s, e, k))
+    return out
 
 
 def made_windows(contexts: list[str], n: int, seed: int = 4) -> list[tuple[str, list[Span]]]:
@@ -177,17 +196,19 @@ def made_windows(contexts: list[str], n: int, seed: int = 4) -> list[tuple[str,
 
 
 def train(texts: list[str], n: int = WINDOWS, rounds: int = 9) -> Tagger:
-    """From windows of ``texts``, labelled by the base patterns, and as many made ones."""
-    real = []
+    """From windows of ``texts``, labelled by the base patterns, and as many made ones.
+
+    Every text gives a window before any gives its second one.
+    """
+    turns: list[list[tuple[str, list[Span]]]] = []
     for t in texts:
-        if not TRIGGER.search(t):
-            continue
         spans = base_spans(t)
-        for w in windows(t):
-            real.append((t[w : w + WIDTH], [(s - w, e - w, k) for s, e, k in spans if s >= w and e <= w + WIDTH]))
-        if len(real) >= n:
-            break
-    rows = real[:n] + made_windows(texts[:50], 2 * n - min(n, len(real)))
+        for turn, w in enumerate(windows(t)[:n]):
+            if turn == len(turns):
+                turns.append([])
+            turns[turn].append((t[w : w + WIDTH], [(s - w, e - w, k) for s, e, k in spans if s >= w and e <= w + WIDTH]))
+    real = [x for turn in turns for x in turn][:n]
+    rows = real + made_windows(texts[:50], 2 * n - len(real))
     codes = np.stack([encode(t, WIDTH) for t, _ in rows])
     tags = np.stack([tags_of(s, 0, WIDTH) for _, s in rows])
     model = Tagger.new(1 + 2 * len(KINDS))
@@ -211,8 +232,7 @@ def found_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
                     more.setdefault(i, []).append((w + s, w + e, kind, c))
     for i, spans in more.items():
         known = base[i]
-        new = [s for s in reconcile(spans) if not any(a < s[1] and s[0] < b for a, b, _ in known)]
-        base[i] = sorted(known + new, key=lambda x: (x[2], x[0], x[1]))
+        base[i] = sorted(known + apart(reconcile(spans), known), key=lambda x: (x[2], x[0], x[1]))
     return base
 
 
@@ -221,11 +241,9 @@ def as_text(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """Learn from about ``sample`` documents, chosen by a hash of their ids."""
-    rows = id_and_text(docs)
-    n = max(1, rows.count())
-    chosen = rows.where((hash_share("doc_id", 31) < F.lit(sample / n)) & F.col("text").rlike("[0-9@]"))
-    return train(sorted(r[0] for r in chosen.select("text").collect()))
+    """Learn from the distinct texts with a trigger of about ``sample`` documents, in the order of their hashes."""
+    rows = sampled_texts(docs, sample, 31, F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text", F.lit(31)).alias("place"))
+    return train([r[0] for r in sorted(rows.collect(), key=lambda r: (r[1], r[0]))])
 
 
 def personal_data(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
