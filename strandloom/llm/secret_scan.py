@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches, bounded_batches, hash_share, id_and_text, table
+from strandloom.llm.common import batches, bounded_batches, id_and_text, sampled_texts, table
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -26,12 +26,12 @@ HEX = re.compile(r"[0-9a-f]+")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 KINDS = ("assign", "access", "hex", "markov")
-#: A candidate for the models: a run of key signs with a digit.
+#: A candidate for the models: a run of key signs of LEAST or more.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST = 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Documents (expected number) whose tokens serve as labelled samples, and the mean ratio for a secret.
-SAMPLE, RATIO = 400, 0.35
+#: Documents (expected number) whose tokens serve as labelled samples, and the mean ratio for a secret, with a digit and without.
+SAMPLE, RATIO, PLAIN_RATIO = 400, 0.35, 0.8
 #: Parts of ordinary identifiers, for labelled samples.
 PARTS = "get set user name file path index count value list map config error test data time line node type input output request response client server handler version build update delete create parse format".split()
 
@@ -105,18 +105,35 @@ def train(texts: Iterable[str]) -> PairModel:
     return PairModel.of(random, ordinary)
 
 
+def uncovered(begin: int, end: int, covers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What ``covers`` (sorted, apart) leave of a stretch."""
+    for s, e in covers[bisect_left(covers, begin, key=lambda c: c[1]) :]:
+        if s >= end:
+            break
+        if s > begin:
+            yield begin, s
+        begin = max(begin, e)
+    if begin < end:
+        yield begin, end
+
+
 def all_spans(text: str, model: PairModel) -> list[Span]:
-    """Base spans and, where none of them lies, the runs that the models take for secrets."""
+    """Base spans and, of runs of key signs outside them, the parts of LEAST and more that the models take for secrets."""
     base = base_spans(text)
     if max(map(len, text.split()), default=0) < LEAST:
         return base
+    covers: list[tuple[int, int]] = []
+    for s, e, _ in base:
+        if covers and s <= covers[-1][1]:
+            covers[-1] = (covers[-1][0], max(e, covers[-1][1]))
+        else:
+            covers.append((s, e))
     more = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b, _ in base) or not any(c.isdigit() for c in m[0]):
-            continue
-        if model.mean(m[0]) > RATIO:
-            more.append((s, e, 3))
+        for s, e in uncovered(*m.span(), covers):
+            run = text[s:e]
+            if e - s >= LEAST and model.mean(run) > (RATIO if any(map(str.isdigit, run)) else PLAIN_RATIO):
+                more.append((s, e, 3))
     return sorted(base + more, key=lambda x: (x[0], x[2], x[1])) if more else base
 
 
@@ -125,11 +142,8 @@ def as_text(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> PairModel:
-    """Learn from about ``sample`` documents, chosen by a hash of their ids."""
-    rows = id_and_text(docs)
-    n = max(1, rows.count())
-    texts = [r[0] for r in rows.where(hash_share("doc_id", 23) < F.lit(sample / n)).select("text").collect()]
-    return train(sorted(texts))
+    """Learn from the distinct texts of about ``sample`` documents, none of over LEARN_BYTES."""
+    return train(sorted(r[0] for r in sampled_texts(docs, sample, 23).collect()))
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -143,7 +157,12 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, model: PairModel | None = None) -> DataFrame:
-    """``docs`` (text, n_chars and any more) with secrets replaced by [secret] and n_chars to match."""
+    """``docs`` (text, n_chars and any more) with secrets replaced by [secret] and n_chars to match.
+
+    Null and empty texts stay as they are, repeated rows change alike, null ids and
+    columns of any name stay; n_chars changes only where the text does; an empty table
+    gives nothing.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model or fit(docs))  # a 68 x 68 table
