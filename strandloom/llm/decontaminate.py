@@ -143,38 +143,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     or items overlap nothing; items of fewer than WHOLE tokens must stand whole and
     unchanged in the text. Repeated documents and repeated items give repeated rows;
     null ids stay null; without documents or items there are no rows. Other columns are
-    ignored. The benchmark goes out in passes of PASS_BYTES, so any size of it fits.
+    ignored. The distinct items go out in passes of PASS_BYTES, so any size of the
+    benchmark fits; a join gives each its ids.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    items = keyed_items(benchmark)
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(items):
         shared = spark.sparkContext.broadcast(index)
 
         def run(frames: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for ids, texts in batches(frames):
                 found = [(doc, *o) for doc, t in zip(ids.to_pylist(), texts, strict=True) for o in shared.value.overlaps(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(5)], names=["doc_id", "item_id", "first_token", "n_tokens", "n_agree"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(5)], names=["doc_id", "item", "first_token", "n_tokens", "n_agree"])
 
-        now = id_and_text(docs).mapInArrow(run, "doc_id long, item_id long, first_token long, n_tokens long, n_agree long")
+        now = id_and_text(docs).mapInArrow(run, "doc_id long, item long, first_token long, n_tokens long, n_agree long")
         out = now if out is None else out.unionByName(now)
-    return out
+    return out.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "first_token", "n_tokens", "n_agree")
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark's items, each of about PASS_BYTES of text at most."""
+def keyed_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and ``item``, a hash of the text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = size // PASS_BYTES + 1
+    return items.withColumn("item", F.xxhash64("text"))
+
+
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes of the distinct items (``keyed_items``), each of about PASS_BYTES of text."""
+    distinct = items.groupBy("item").agg(F.min("text").alias("text"))
+    passes = (distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES + 1
     for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        rows = sorted(part.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # bounded by PASS_BYTES
-        yield Index.of([(r[0], r[1]) for r in rows])
+        part = distinct if passes == 1 else distinct.where(F.pmod("item", F.lit(passes)) == k)
+        yield Index.of(sorted((r["item"], r["text"]) for r in part.collect()))  # bounded by PASS_BYTES, as no item is there twice
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose texts overlap no test item."""
-    for index in indexes(benchmark):
+    """The rows of ``docs``, all columns, whose texts overlap no test item.
+
+    Null and empty texts stay, repeated rows go or stay together, null ids and columns
+    of any name stay; an empty table gives nothing, an empty benchmark takes nothing.
+    """
+    for index in indexes(keyed_items(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         docs = filtered(docs, lambda texts, shared=shared: [not shared.value.overlaps(t) for t in texts])
     return docs
