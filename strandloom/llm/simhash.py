@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches, bounded_batches, checkpointed, id_and_text, table
+from strandloom.llm.common import batches, bounded_batches, checkpointed, id_and_text, table, unused
 
 SHINGLE = 4
 RADIUS = 4
@@ -31,6 +31,8 @@ PIVOTS = 16
 SLICE = 4096
 #: Partners by chance that a row may have before more bands are used.
 CHANCE = 100
+#: Tasks that one component's fingerprints are spread over when they get its least id.
+SALTS = 16
 #: A-Z to a-z and nothing else; the signs between words.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -299,9 +301,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     fps = checkpointed(fingerprints(docs, size))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(nodes.withColumn("node", F.col("fp")), ["fp"], radius))
-    grouped = nodes.join(label, nodes.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = grouped.join(least, "label").select("fp", "component_id")
+    linked = checkpointed(label.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least"))
+    # a component may hold most fingerprints, so its least id goes to SALTS tasks; fingerprints without links need none
+    least = linked.groupBy("label").agg(F.min("least").alias("found")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.select("fp", "label", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = salted.join(least, ["label", "salt"]).select(F.col("fp").alias("of"), "found", F.lit(True).alias("is_linked"))
+    of_fp = nodes.join(known, F.col("fp") == F.col("of"), "left").select("fp", F.when(F.col("is_linked"), F.col("found")).otherwise(F.col("least")).alias("component_id"))
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -544,13 +549,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     label = components(found.unionByName(confirmed(rest, docs)))
     grouped = checkpointed(nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"), "least", "nulls"))
     kept = grouped.groupBy("label").agg(F.when(F.sum("nulls") > 0, F.lit(None).cast("long")).otherwise(F.min("least")).alias("kept_id"))
-    mine = docs.join(kept.select("kept_id").distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    again = fps.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("again_id"))
+    # ``docs`` may have any column names
+    of = unused("of_id", docs.columns)
+    mine = docs.join(kept.select(F.col("kept_id").alias(of)).distinct(), F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
+    again = checkpointed(fps.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias(of)))
     if again.isEmpty():
         return mine
     # rows that share an id: their own groups decide
-    single = mine.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_anti")
-    several = docs.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi").select(F.struct("*").alias("row"))
+    single = mine.join(again, F.col("doc_id").eqNullSafe(F.col(of)), "left_anti")
+    several = docs.join(again, F.col("doc_id").eqNullSafe(F.col(of)), "left_semi").select(F.struct("*").alias("row"))
     texts = several.select(F.xxhash64("row").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text")).distinct()
     of_row = with_nodes(texts).select(F.col("doc_id").alias("row_hash"), "node").join(grouped.select("node", "label"), "node").join(kept, "label")
     judged = several.join(of_row, F.xxhash64("row") == F.col("row_hash")).where(F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
