@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches, bounded_batches, id_and_text, table
+from strandloom.llm.common import bounded_batches, table
 from strandloom.llm.token_counts import byte_symbols
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,20 +96,24 @@ def encoder(path: str) -> Encoder:
 
 @dataclass
 class Piece:
-    """Tokens [start, start + length) of an example, of which ``loss`` bear loss."""
+    """Tokens [start, start + length) of an example, of which the last ``loss`` bear loss."""
 
     example: int
     start: int
     length: int
     loss: int
 
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        """The first ``n`` tokens and the rest, each with its own loss-bearing tokens."""
+        first = max(0, n - (self.length - self.loss))
+        return Piece(self.example, self.start, n, first), Piece(self.example, self.start + n, self.length - n, self.loss - first)
+
 
 def place(pieces: Iterable[Piece], capacity: tuple[int, int, int]) -> Iterator[list[Piece]]:
     """Sequences as lists of pieces, in order; each within the capacity, only the last ones not full.
 
-    Cutting spreads a piece's loss-bearing tokens over its parts in proportion. A piece
-    that alone exceeds a limit is cut to it. What is left in the last sequence goes out
-    as sequences of powers of two, which need no padding.
+    A piece that alone exceeds a limit is cut to it. What is left in the last sequence
+    goes out as sequences of powers of two, which need no padding.
     """
     most = np.array(capacity, float)
     shelf: dict[tuple[int, int], list[Piece]] = {}
@@ -150,18 +155,15 @@ def place(pieces: Iterable[Piece], capacity: tuple[int, int, int]) -> Iterator[l
         else:
             i = int(np.where(there, gain, -1.0).argmax())
             p = take(i)
-            n = min(p.length, int(left[0]))
-            if p.loss:
-                n = min(n, int(left[2]) * p.length // p.loss)
+            n = min(p.length, int(left[0]), p.length - p.loss + int(left[2]))
             if n <= 0:  # no room for loss-bearing tokens: this sequence is complete
                 put_back(p)
                 yield bin_
                 left, bin_ = most.copy(), []
                 continue
             if n < p.length:
-                loss = min(p.loss * n // p.length, int(left[2]))
-                put_back(Piece(p.example, p.start + n, p.length - n, p.loss - loss))
-                p = Piece(p.example, p.start, n, loss)
+                p, rest = p.cut(n)
+                put_back(rest)
         bin_.append(p)
         left -= (p.length, 1, p.loss)
         if left[0] <= 0 or left[1] <= 0:
@@ -175,14 +177,13 @@ def ladder(pieces: list[Piece], limit: int) -> Iterator[list[Piece]]:
     room, out = 0, []
     rest = sum(p.length for p in pieces)
     for p in pieces:
-        start, length, loss = p.start, p.length, p.loss
-        while length:
+        while p.length:
             if not room:
                 room = limit if rest >= limit else 1 << (rest.bit_length() - 1)
-            n = min(room, length)
-            part = loss * n // length
-            out.append(Piece(p.example, start, n, part))
-            start, length, loss, room, rest = start + n, length - n, loss - part, room - n, rest - n
+            n = min(room, p.length)
+            part, p = p.cut(n)
+            out.append(part)
+            room, rest = room - n, rest - n
             if not room:
                 yield out
                 out = []
@@ -191,11 +192,12 @@ def ladder(pieces: list[Piece], limit: int) -> Iterator[list[Piece]]:
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: tuple[int, int, int] = CAPACITY, loss_share: float = 1.0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: tuple[int, int, int] = CAPACITY, loss_from: str | None = None) -> DataFrame:
     """One row for each piece of each row of ``docs`` (doc_id, text), with its place.
 
     A row is its text's ids and then END_ID; null and empty texts are END_ID alone.
-    ``loss_share`` is the share of a row's tokens that bear loss (1: plain documents).
+    ``loss_from`` names a column with the number of a row's first token that bears loss
+    (instruction data: the answer's first one; null or no column: all tokens do).
     Repeated rows are packed again each; rows with a null id keep it; an empty table
     gives no pieces; other columns are ignored. A sequence_id is the task's partition
     and a number in it, so a lost task gives the same ids when it runs again.
@@ -206,7 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: tuple[int, int, int] =
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
         serial = 0
-        block: list[tuple[int | None, bytes]] = []
+        block: list[tuple[int | None, bytes, int]] = []
         tokens = 0
         end = np.array([END_ID], "<u4").tobytes()
 
@@ -218,7 +220,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: tuple[int, int, int] =
                 nonlocal serial
                 at = 0
                 for p in sequence:
-                    doc, ids = block[p.example]
+                    doc, ids, _ = block[p.example]
                     values = (doc, p.start, p.length, zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)]), len(ids) // 4, part + serial, at, p.loss)
                     for column, v in zip(rows, values, strict=True):
                         column.append(v)
@@ -226,30 +228,32 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: tuple[int, int, int] =
                 serial += 1
 
             rest = []
-            for i, (_, ids) in enumerate(block):
+            for i, (_, ids, free) in enumerate(block):
                 n = len(ids) // 4
-                start, loss = 0, int(n * loss_share)
-                while n - start >= limit and loss_share * limit <= most_loss:
-                    share = int(limit * loss_share)
-                    emit([Piece(i, start, limit, share)])
-                    start, loss = start + limit, loss - share
-                if n > start:
-                    rest.append(Piece(i, start, n - start, max(0, loss)))
+                p = Piece(i, 0, n, n - min(n, max(0, free)))
+                while p.length >= limit and (cut := p.cut(limit))[0].loss <= most_loss:
+                    emit([cut[0]])
+                    p = cut[1]
+                if p.length:
+                    rest.append(p)
             for sequence in place(rest, capacity):
                 emit(sequence)
             block, tokens = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-        for ids, texts in batches(frames):
-            for doc, found in zip(ids.to_pylist(), encoder(tokenizer_path).batch(texts), strict=True):
-                block.append((doc, found + end))
+        for b in frames:
+            ids, texts, frees = (b.column(c).to_pylist() for c in range(3))
+            for doc, found, free in zip(ids, encoder(tokenizer_path).batch(texts), frees, strict=True):
+                block.append((doc, found + end, free))
                 tokens += len(found) // 4 + 1
                 if tokens >= BLOCK_TOKENS:
                     yield flush()
         if block:
             yield flush()
 
-    return id_and_text(docs).mapInArrow(run, COLUMNS)
+    free = F.lit(0) if loss_from is None else F.coalesce(F.col(loss_from), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), free.cast("long").alias("free"))
+    return rows.mapInArrow(run, COLUMNS)
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
