@@ -2,7 +2,7 @@
 
 A paragraph (line) hashes to a wide vector: EQUAL lanes of 32 bits from its seeded
 XXH64 values, and 2 x BITS lanes that count set bits over the hashes of its word
-pairs. A document's fingerprint is the sum of its paragraphs' vectors, lane by lane,
+pairs (the last word has none after it and counts alone). A document's fingerprint is the sum of its paragraphs' vectors, lane by lane,
 modulo 2^32 and 2^16. It doesn't depend on the paragraphs' order, and paragraphs
 are inserted or deleted by adding or subtracting their vectors. The counting lanes
 are random projections of the bag of word pairs, so their cosine tells likeness.
