@@ -312,13 +312,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
 #: Words of a shingle; two sets of shingles are near-duplicates from the likeness (Jaccard) ALIKE / 5 on.
 CONFIRMING, ALIKE = 5, 4
-#: 64-bit words of a wide fingerprint, and the bits above which a pair isn't looked at: at likeness 0.8 about 39
-#: differ (of 5 and 4 shingles 48, deviation 6.2), of unlike texts 128.
-WIDE_WORDS, LOOSE_BITS = 4, 88
+#: 64-bit words of a wide fingerprint, and the bits above which a pair isn't looked at: at likeness 0.8 about 39 differ
+#: (deviation 5.7), of unlike texts 128; of sets under SMALL (at 5 and 4 shingles 48 differ, deviation 6.2) more may.
+WIDE_WORDS, LOOSE_BITS, SMALL, SMALL_LOOSE_BITS = 4, 72, 16, 88
 #: Documents whose shingles tell which ones are common, and shingles that count as common; they only order the shingles.
 ORDER_DOCS, ORDER_LEAST, ORDER_MOST = 5_000, 3, 200_000
 #: Members of a block whose pairs are made together with those of other blocks.
 FEW = 64
+#: Slices of a group that are compared pair by pair; larger groups are compared block by block.
+MOST_SLICES = 16
+#: Words of bitmaps that are compared at a time, and bits of the longest bitmap.
+STEP_WORDS, MOST_BITS = 4_000_000, 1 << 17
 #: Slots of the sieve that spares most texts a shuffle; a full one only spares none.
 SIEVE = 1 << 21
 
@@ -371,24 +375,25 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[order], counts[order]
 
 
-def block_pairs(cell: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, wide: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one cell that may be alike, of unlike labels; rows are sorted by cell and size.
+def block_pairs(cell: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, wide: np.ndarray, every: bool, take: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Gives ``take`` the pairs of rows of one cell that may be alike, of unlike labels; rows are sorted by cell and size.
 
     ``side`` is -1 in cells that are compared with themselves, else pairs have unlike
     sides. ``every``: all of them, else each row with the next and with one pivot.
     """
-    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def look(i: np.ndarray, j: np.ndarray, dist: np.ndarray | None = None) -> None:
         lo, hi = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         ok = (lo * 5 >= hi * ALIKE) & (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
         i, j = i[ok], j[ok]
+        most = np.where(np.minimum(size[i], size[j]) < SMALL, SMALL_LOOSE_BITS, LOOSE_BITS)
         for row in () if dist is None else dist:
-            ok = np.abs(row[i] - row[j]) <= LOOSE_BITS
+            ok = np.abs(row[i] - row[j]) <= most
             if not ok.all():
-                i, j = i[ok], j[ok]
-        ok = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= LOOSE_BITS
-        found.append((i[ok], j[ok]))
+                i, j, most = i[ok], j[ok], most[ok]
+        ok = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= most
+        if ok.any():
+            take(i[ok], j[ok])
 
     n = len(cell)
     begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n else np.empty(0, np.int64)
@@ -420,8 +425,100 @@ def block_pairs(cell: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.
             to = min(s + m, at + step)
             i, j = np.nonzero(label[at:to, None] != label[None, at : end[to - 1 - s]])
             look(i[j > i] + at, j[j > i] + at, dist)
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-    return i, j
+
+
+class Groups:
+    """Which rows pairs connect, and which are in any pair; pairs come in arrays."""
+
+    def __init__(self, n: int) -> None:
+        self.root, self.paired = np.arange(n), np.zeros(n, bool)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.paired[i] = self.paired[j] = True
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets as bitmaps of about eight bits a member: a member sets the bit that its hash names."""
+    bits = 1 << min(MOST_BITS, max(1024, 8 * max(map(len, sets)))).bit_length() - 1
+    out = np.zeros((len(sets), bits), bool)
+    for row, s in zip(out, sets, strict=True):
+        row[s >> np.uint64(64 - (bits.bit_length() - 1))] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def exact_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all pairs of sets with the likeness ALIKE / 5 or more, of unlike labels (and sides, if not -1).
+
+    A bit that one set has and the other hasn't stands for a member that isn't shared, so
+    the bitmaps tell the most that two sets can have in common; what this leaves is
+    compared member by member, unless it is connected by then.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    sets, size, label, side = [sets[i] for i in order], size[order], label[order], side[order]
+    forest = Forest(len(sets))
+    forest.up = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+    # a long set would make all bitmaps long, so sets of about one length share them
+    begin = 0
+    maps: list[tuple[int, np.ndarray]] = []
+    while begin < len(sets):
+        to = int(np.searchsorted(size, 4 * size[begin], side="right"))
+        end = int(np.searchsorted(size, 4 * size[begin] * 5 / ALIKE, side="right"))
+        maps.append((to, bitmaps(sets[begin:end])))
+        words = maps[-1][1]
+        at = begin
+        while at < to:
+            last = int(np.searchsorted(size * ALIKE, size[at] * 5, side="right"))
+            step = max(1, STEP_WORDS // (words.shape[1] * max(1, last - at)))
+            step = min(step, to - at)
+            last = int(np.searchsorted(size * ALIKE, size[at + step - 1] * 5, side="right"))
+            up = forest.roots()
+            i, j = np.nonzero((up[at : at + step, None] != up[None, at:last]) & ((side[at : at + step, None] < 0) | (side[at : at + step, None] != side[None, at:last])))
+            i, j = i[j > i] + at, j[j > i] + at
+            here = words[i - begin], words[j - begin]
+            common = np.minimum(size[i] - np.bitwise_count(here[0] & ~here[1]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(here[1] & ~here[0]).sum(1, dtype=np.int64))
+            ok = common * 5 >= (size[i] + size[j] - common) * ALIKE
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                if forest.root(x) != forest.root(y) and alike(sets[x], sets[y]):
+                    forest.join(np.array([x]), np.array([y]))
+            at += step
+        begin = to
+    return [(int(order[i]), int(order[j])) for i, j in forest.edges]
+
+
+def whole_cells(frames: Iterator[pa.RecordBatch], keys: list[str], most: int = 64_000_000) -> Iterator[pa.Table]:
+    """Tables of whole cells (rows with equal ``keys``, which come together), of about 50,000 rows or ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for b in frames:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= 50_000 or size >= most:
+            now = pa.Table.from_batches(held).combine_chunks()
+            cut = np.flatnonzero(cell_edges(now, keys))
+            if len(cut):  # the last cell may go on in the next batch
+                yield now.slice(0, int(cut[-1]) + 1).combine_chunks()
+                now = now.slice(int(cut[-1]) + 1).combine_chunks()
+            held, rows, size = now.to_batches(), now.num_rows, now.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def cell_edges(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether a new cell begins after each row but the last."""
+    cols = [t.column(c).to_numpy() for c in keys]
+    return np.any([c[1:] != c[:-1] for c in cols], axis=0)
 
 
 def shared_blocks(nodes: DataFrame) -> DataFrame:
@@ -431,8 +528,14 @@ def shared_blocks(nodes: DataFrame) -> DataFrame:
     return dealt.join(crowd, "key").join(nodes.select("node", "size", "wide"), "node")
 
 
-def proposed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in one block that may be alike; with ``label`` all of unlike labels, else some that may connect most."""
+def compared(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """What pairs of nodes in one block may be alike.
+
+    Without ``label`` distinct pairs (a, b), for each node a few that may connect most.
+    With it all pairs of unlike labels are looked at, but only their members come out, in
+    proportion to the blocks' rows: key, lo, hi, own (the cell), node, label, and
+    ``root``, the same node for all that such pairs connect in the cell.
+    """
     every = label is not None
     labelled = shared.withColumn("label", F.col("node"))
     if every:
@@ -444,36 +547,26 @@ def proposed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
     )
     n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "node")
-
-    def edges(t: pa.Table) -> np.ndarray:
-        cols = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
-        return np.any([c[1:] != c[:-1] for c in cols], axis=0)
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        node, label, size, lo, hi, own = (t.column(c).to_numpy() for c in ("node", "label", "size", "lo", "hi", "own"))
-        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
-        i, j = block_pairs(np.r_[0, np.cumsum(edges(t))], np.where(lo == hi, -1, own == lo), label, size.astype(np.int64), wide, every)
-        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    keys = ["key", "lo", "hi"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in frames:
-            if not b.num_rows:
+        for t in whole_cells(frames, keys):
+            node, label, size, lo, hi, own = (t.column(c).to_numpy() for c in ("node", "label", "size", "lo", "hi", "own"))
+            wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+            cell, side = np.r_[0, np.cumsum(cell_edges(t, keys))], np.where(lo == hi, -1, own == lo)
+            if every:
+                groups = Groups(len(node))
+                block_pairs(cell, side, label, size.astype(np.int64), wide, True, groups.join)
+                out = t.select([*keys, "own", "node", "label"]).append_column("root", pa.array(node[groups.root]))
+                yield from out.filter(pa.array(groups.paired)).combine_chunks().to_batches()
                 continue
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 50_000:
-                now = pa.Table.from_batches(held).combine_chunks()
-                cut = np.flatnonzero(edges(now))
-                if len(cut):  # the last cell may go on in the next batch
-                    yield compare(now.slice(0, int(cut[-1]) + 1).combine_chunks())
-                    rest = now.slice(int(cut[-1]) + 1).combine_chunks()
-                    held, rows = rest.to_batches(), rest.num_rows
-        if held:
-            yield compare(pa.Table.from_batches(held).combine_chunks())
+            found: list[np.ndarray] = []
+            block_pairs(cell, side, label, size.astype(np.int64), wide, False, lambda i, j, node=node, found=found: found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1)))
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    if every:
+        return cells.mapInArrow(run, "key int, lo int, hi int, own int, node long, label long, root long")
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -490,13 +583,17 @@ def with_nodes(rows: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
     return rows.mapInArrow(named, "doc_id long, node long, text string")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts in ``docs`` have the likeness ALIKE / 5 or more, exactly."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the distinct ``nodes``."""
     slots = nodes.select(F.pmod("node", F.lit(SIEVE)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # bounded by SIEVE
     sieve = np.zeros(SIEVE, bool)
     sieve[slots] = True
-    texts = checkpointed(with_nodes(id_and_text(docs), sieve).select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    return checkpointed(with_nodes(id_and_text(docs), sieve).select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts in ``docs`` have the likeness ALIKE / 5 or more, exactly."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,6 +610,42 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def remaining(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``members`` (``compared`` with labels) that are alike, exactly.
+
+    What pairs connect over all cells is a group. A group's texts go to one task, or to
+    those of its pairs of slices; a group of over MOST_SLICES slices stays in its blocks.
+    """
+    group = checkpointed(components(members.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    large = group.groupBy("label").count().where(F.col("count") > SLICE).select(F.col("label").alias("of"), F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    placed = group.join(large, F.col("label") == F.col("of"), "left").select("node", F.col("label").alias("unit"), F.coalesce("slices", F.lit(1)).alias("slices"))
+    placed = checkpointed(placed.join(members.select("node", "label").distinct(), "node"))
+    sliced = (
+        placed.where(F.col("slices") <= MOST_SLICES)
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("slices")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .select("node", "label", "unit", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    )
+    in_blocks = members.join(placed.where(F.col("slices") > MOST_SLICES).select("node"), "node", "left_semi").select("node", "label", F.xxhash64("key").alias("unit"), "own", "lo", "hi")
+    texts = texts_of(placed.select("node"), docs)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = sliced.unionByName(in_blocks).join(texts, "node").repartition(n, "unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_cells(frames, ["unit", "lo", "hi"]):
+            node, label, lo, hi, own = (t.column(c).to_numpy() for c in ("node", "label", "lo", "hi", "own"))
+            side = np.where(lo == hi, -1, own == lo)
+            edge = (np.flatnonzero(cell_edges(t, ["unit", "lo", "hi"])) + 1).tolist()
+            links: list[tuple[int, int]] = []
+            for s, e in zip([0, *edge], [*edge, len(node)], strict=True):
+                sets = [shingle_set(x) for x in t.column("text").slice(s, e - s).to_pylist()]
+                links += [(int(node[s + i]), int(node[s + j])) for i, j in exact_links(sets, label[s:e], side[s:e])]
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any more) without near-duplicates: of each group the row with the least doc_id.
 
@@ -520,8 +653,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     likeness 0.8 or more, exactly; groups are what links connect. Pairs are proposed by
     an exact prefix filter: sets so alike share one of their first shingles, rare ones
     first. Pairs of one block pass a pivot table and a loose limit on wide fingerprints,
-    and the sets themselves decide; what is connected already isn't compared again. Null
-    and empty texts are one group; a null id comes before all others; of rows with the
+    and the sets themselves decide. Some pairs of each text go first; for the others the
+    texts of each group that they connect come together, so that links leave a task, but
+    never all pairs. What is connected already isn't compared again. Null and empty texts are one group; a null id comes before all others; of rows with the
     kept id and group one stays, that with the least text. All columns are kept.
     """
     bounded_batches(docs.sparkSession)
@@ -543,10 +677,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     nodes = fps.groupBy("node", "size", "wide").agg(F.any_value("keys").alias("keys"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"))
     nodes = checkpointed(nodes)
     shared = checkpointed(shared_blocks(nodes))
-    tried = checkpointed(proposed(shared, None))
-    found = checkpointed(confirmed(tried, docs))
-    rest = checkpointed(proposed(shared, components(found)).join(tried, ["a", "b"], "left_anti"))
-    label = components(found.unionByName(confirmed(rest, docs)))
+    found = checkpointed(confirmed(checkpointed(compared(shared, None)), docs))
+    label = components(found.unionByName(remaining(checkpointed(compared(shared, components(found))), docs)))
     grouped = checkpointed(nodes.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"), "least", "nulls"))
     kept = grouped.groupBy("label").agg(F.when(F.sum("nulls") > 0, F.lit(None).cast("long")).otherwise(F.min("least")).alias("kept_id"))
     # ``docs`` may have any column names
