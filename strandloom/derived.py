@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.random import uniform
+from strandloom.operators.chunks import bases_at
 
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTANNTAC"
-LEAST_CONTIG = 200
+#: Letters of the shortest text that can hold a variant.
+LEAST_CONTIG = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +27,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The explode of one value has Spark work out the sequence once a text; else generated
     code does it again for every row that a join finds for the text.
     """
-    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]+", ""))
     seqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), F.explode(F.array(F.translate(letters, LETTERS, AS_BASES))).alias("seq"))
     return seqs.withColumn("length", F.char_length("seq").cast("long")).where(F.col("length") >= LEAST_CONTIG)
 
@@ -37,11 +39,15 @@ def contig_number(spark: SparkSession, sf_dir: str, key: Column) -> Column:
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variant records on the contigs: an SNP or a padded indel for each line item on a contig."""
+    seqs = contigs(spark, sf_dir)
     items = table(spark, sf_dir, "lineitem").withColumn("chrom", contig_number(spark, sf_dir, F.col("l_orderkey")))
     at = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber") * 7 + F.col("l_orderkey") * 13) % (F.col("length") - 3) + 1
-    placed = items.join(contigs(spark, sf_dir), "chrom").withColumn("pos", at)
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    used = ["chrom", "pos", "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_extendedprice", *keys]
+    # only short pieces of the sequences are joined with the many items
+    placed = bases_at(items.join(seqs.select("chrom", "length"), "chrom").withColumn("pos", at).select(used), seqs, before=0, length=4, size=256)
     size = F.when(F.col("l_linenumber") % 4 == 0, (F.col("l_suppkey") % 3 + 2).cast("int")).otherwise(F.lit(1))
-    ref = F.substring("seq", (F.col("pos") + 1).cast("int"), size)
+    ref = F.left("around", size)
     kind = F.col("l_linenumber") % 4
     base = F.left(F.col("ref"), F.lit(1))
     alt = (
@@ -50,19 +56,18 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.translate("ref", "ACGTN", "GTACA"))
         .otherwise(F.translate("ref", "ACGTN", "CATGA"))
     )
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    return placed.select("chrom", "pos", ref.alias("ref"), "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_extendedprice", *keys).withColumn("alt", alt)
+    return placed.select("chrom", "pos", ref.alias("ref"), *used[2:]).withColumn("alt", alt)
 
 
 CONTIGS_SQL = f"""
-contigs AS (SELECT chrom, seq, CAST(length(seq) AS BIGINT) AS length FROM (
+contigs AS MATERIALIZED (SELECT chrom, seq, CAST(length(seq) AS BIGINT) AS length FROM (
   SELECT doc_id AS chrom, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{AS_BASES}') AS seq FROM documents)
   WHERE length(seq) >= {LEAST_CONTIG})"""
 VARIANTS_SQL = f"""{CONTIGS_SQL},
-placed AS (SELECT l.*, c.chrom, c.seq, (l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7 + l_orderkey * 13) % (c.length - 3) + 1 AS pos
-  FROM lineitem l JOIN contigs c ON c.chrom = l.l_orderkey % (SELECT count(*) FROM documents)),
-with_ref AS (SELECT *, substr(seq, pos + 1, CASE WHEN l_linenumber % 4 = 0 THEN l_suppkey % 3 + 2 ELSE 1 END) AS ref FROM placed),
-variants AS (SELECT * EXCLUDE (seq), CASE l_linenumber % 4 WHEN 0 THEN left(ref, 1)
+with_ref AS MATERIALIZED (SELECT *, substr(seq, pos + 1, CASE WHEN l_linenumber % 4 = 0 THEN l_suppkey % 3 + 2 ELSE 1 END) AS ref FROM (
+  SELECT l.*, c.chrom, c.seq, (l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7 + l_orderkey * 13) % (c.length - 3) + 1 AS pos
+  FROM lineitem l JOIN contigs c ON c.chrom = l.l_orderkey % (SELECT count(*) FROM documents))),
+variants AS MATERIALIZED (SELECT * EXCLUDE (seq), CASE l_linenumber % 4 WHEN 0 THEN left(ref, 1)
   WHEN 1 THEN ref || substr('ACGTACGT', l_partkey % 4 + 1, l_suppkey % 3 + 1)
   WHEN 2 THEN translate(ref, 'ACGTN', 'GTACA') ELSE translate(ref, 'ACGTN', 'CATGA') END AS alt FROM with_ref)"""
 
@@ -75,7 +80,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTERVALS_SQL = f"""{CONTIGS_SQL},
-intervals AS (SELECT chrom, start, least(length, start + 20 + o_orderkey % 80) AS "end", o_orderkey, o_totalprice FROM (
+intervals AS MATERIALIZED (SELECT chrom, start, least(length, start + 20 + o_orderkey % 80) AS "end", o_orderkey, o_totalprice FROM (
   SELECT c.chrom, c.length, o_orderkey * 17 % c.length AS start, o_orderkey, o_totalprice
   FROM orders JOIN contigs c ON c.chrom = o_custkey % (SELECT count(*) FROM documents)))"""
 
@@ -120,6 +125,6 @@ def uniform_sql(*key: str) -> str:
 
 
 CALLS_SQL = f"""{VARIANTS_SQL},
-d AS (SELECT DISTINCT chrom, pos, ref, alt FROM variants),
-golden AS (SELECT * FROM d WHERE {uniform_sql("'golden'", "chrom", "pos", "ref", "alt")} < 0.8),
-called AS (SELECT * FROM d WHERE {uniform_sql("'called'", "chrom", "pos", "ref", "alt")} < 0.7)"""
+d AS MATERIALIZED (SELECT DISTINCT chrom, pos, ref, alt FROM variants),
+golden AS MATERIALIZED (SELECT * FROM d WHERE {uniform_sql("'golden'", "chrom", "pos", "ref", "alt")} < 0.8),
+called AS MATERIALIZED (SELECT * FROM d WHERE {uniform_sql("'called'", "chrom", "pos", "ref", "alt")} < 0.7)"""

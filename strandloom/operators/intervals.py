@@ -7,6 +7,8 @@ a crowded chromosome is spread over many bins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,31 +41,97 @@ def overlaps(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     return binned(left, width).join(r, meet & first).withColumn("overlap", bases).drop("bin", "r_bin")
 
 
-def merge(intervals: DataFrame, touch: bool = True, max_rate: Column | None = None) -> DataFrame:
+def by_bins(rows: DataFrame, pos: str, key: str = "chrom", width: int = BIN) -> DataFrame:
+    """``rows`` with ``bin`` of their position, dealt out by chromosome and bin."""
+    return rows.withColumn("bin", F.floor(F.col(pos) / width)).repartition(key, "bin")
+
+
+def carried(rows: DataFrame, value: Column, name: str, order: list[Column], strict: bool = True, key: str = "chrom", fold: Callable[[Column | str], Column] = F.max, back: bool = False) -> DataFrame:
+    """``rows`` (of ``by_bins``) with ``fold`` of ``value`` over the chromosome's rows ahead (and, unless ``strict``, the row itself).
+
+    Each bin is folded, then the bins' results, a row for each bin; no task walks a
+    chromosome's rows. ``back`` goes from the end to the beginning; ``order`` must agree.
+    """
+    own = rows.withColumn(name, value)
+    along = Window.partitionBy(key).orderBy(F.desc("bin") if back else F.asc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = own.groupBy(key, "bin").agg(fold(name).alias("of_bin")).select(key, "bin", fold("of_bin").over(along).alias("of_bins"))
+    within = Window.partitionBy(key, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    both = F.array_compact(F.array(fold(name).over(within), "of_bins"))
+    joined = {"max": F.array_max, "min": F.array_min, "sum": lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))}[fold.__name__](both)
+    return own.join(bins, [key, "bin"]).withColumn(name, joined).drop("of_bins")
+
+
+def merge(intervals: DataFrame, touch: bool = True) -> DataFrame:
     """Unions of overlapping (and, by default, touching) intervals of a chromosome, with how many they hold."""
-    order = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") > reach if touch else F.col("start") >= reach
-    island = F.sum(F.when(reach.isNull() | apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = intervals.select("chrom", "start", "end", island.alias("island"))
-    return marked.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
+    marked = islands(intervals.select("chrom", "start", "end"), touch)
+    return marked.groupBy("chrom", "island").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).withColumnRenamed("island", "start").select("chrom", "start", "end", "n")
+
+
+def islands(intervals: DataFrame, touch: bool = True) -> DataFrame:
+    """``intervals`` with ``island``: where the union that holds them begins."""
+    order = [F.col("start"), F.col("end")]
+    reached = carried(by_bins(intervals, "start"), F.col("end"), "reach", order)
+    apart = F.col("start") > F.col("reach") if touch else F.col("start") >= F.col("reach")
+    first = F.when(F.col("reach").isNull() | apart, F.col("start"))
+    # of rows at one place the one that begins a union leads
+    return carried(reached, first, "island", [*order, F.col("island").isNull()], strict=False).drop("bin", "reach")
 
 
 def complement(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
     """What ``intervals`` leave uncovered of every chromosome (chrom, length)."""
-    whole = lengths.select("chrom", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.col("length").cast("long").alias("length"))
-    edges = merge(intervals).select("chrom", "start", "end", F.lit(None).cast("long").alias("length")).unionByName(whole)
-    order = Window.partitionBy("chrom").orderBy("start", "end")
-    upto = F.coalesce(F.lead("start").over(order), F.max("length").over(Window.partitionBy("chrom")))
-    return edges.select("chrom", F.col("end").alias("start"), upto.alias("end")).where(F.col("end") > F.col("start"))
+    whole = lengths.select("chrom", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    last = lengths.select("chrom", F.col("length").cast("long").alias("start"), F.col("length").cast("long").alias("end"))
+    edges = by_bins(merge(intervals).select("chrom", "start", "end").unionByName(whole).unionByName(last), "start")
+    order = [F.desc("start"), F.desc("end")]
+    upto = carried(edges, F.col("start"), "upto", order, fold=F.min, back=True)
+    return upto.where(F.col("upto") > F.col("end")).select("chrom", F.col("end").alias("start"), F.col("upto").alias("end"))
 
 
 def gap_clusters(points: DataFrame, gap: int, key: str = "chrom", pos: str = "pos") -> DataFrame:
     """Runs of points whose neighbours are at most ``gap`` apart: key, first, last, n."""
-    order = Window.partitionBy(key).orderBy(pos)
-    new = F.when(F.col(pos) - F.lag(pos).over(order) > gap, 1).otherwise(0)
-    marked = points.select(key, pos, new.alias("new")).withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, "cluster").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"))
+    order = [F.col(pos)]
+    rows = carried(by_bins(points.select(key, pos), pos, key), F.col(pos), "previous", order, key=key)
+    first = F.when(F.col("previous").isNull() | (F.col(pos) - F.col("previous") > gap), F.col(pos))
+    marked = carried(rows, first, "first", [*order, F.col("first").isNull()], strict=False, key=key)
+    return marked.groupBy(key, "first").agg(F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def numbered(rows: DataFrame, pos: str, order: list[Column], key: str = "chrom") -> DataFrame:
+    """``rows`` with ``place``: their number from 0 along the chromosome."""
+    return carried(by_bins(rows, pos, key), F.lit(1).cast("long"), "place", order, key=key, fold=F.sum).withColumn("place", F.coalesce("place", F.lit(0).cast("long"))).drop("bin")
+
+
+def moving_sum(rows: DataFrame, value: str, width: int, name: str, key: str = "chrom", stretch: int = 1024) -> DataFrame:
+    """``rows`` (``numbered``) with the sum of ``value`` over their own and the next ``width`` - 1 places.
+
+    Stretches of places are summed apart, each with copies of the rows that follow it.
+    """
+    own = F.floor(F.col("place") / stretch)
+    reached = F.floor((F.col("place") - width + 1) / stretch)
+    copies = rows.withColumn("stretch", F.explode(F.sequence(F.greatest(reached, F.lit(0)), own)))
+    ahead = Window.partitionBy(key, "stretch").orderBy("place").rowsBetween(0, width - 1)
+    return copies.withColumn(name, F.sum(value).over(ahead)).where(F.col("stretch") == own).drop("stretch")
+
+
+def moving_mean(rows: DataFrame, pos: str, value: str, span: int, key: str = "chrom") -> DataFrame:
+    """``rows`` with ``mean``: the sum of ``value`` at positions from their own to ``span`` bases on, over ``span``.
+
+    Bins of positions are summed apart, each with copies of the rows that follow it.
+    """
+    width = max(BIN, span)
+    own, reached = F.floor(F.col(pos) / width), F.floor((F.col(pos) - span + 1) / width)
+    copies = rows.withColumn("bin", F.explode(F.sequence(F.greatest(reached, F.lit(0)), own)))
+    ahead = Window.partitionBy(key, "bin").orderBy(pos).rangeBetween(0, span - 1)
+    return copies.withColumn("mean", F.sum(value).over(ahead) / span).where(F.col("bin") == own).drop("bin")
+
+
+def shifted(rows: DataFrame, value: str, by: int, name: str, key: str = "chrom", stretch: int = 1024) -> DataFrame:
+    """``rows`` (``numbered``) with ``value`` of ``by`` places before, 0 where there is none."""
+    own = F.floor(F.col("place") / stretch)
+    copies = rows.withColumn("stretch", F.explode(F.sequence(own, F.floor((F.col("place") + by) / stretch))))
+    order = Window.partitionBy(key, "stretch").orderBy("place")
+    before = F.coalesce(F.lag(value, by).over(order), F.lit(0))
+    return copies.withColumn(name, before).where(F.col("stretch") == own).drop("stretch")
 
 
 def runs_of(seqs: DataFrame, pattern: str = "[^ACGTU]+") -> DataFrame:
@@ -90,11 +158,14 @@ def runs_of(seqs: DataFrame, pattern: str = "[^ACGTU]+") -> DataFrame:
 def balanced_parts(regions: DataFrame, parts: int) -> DataFrame:
     """``regions`` with ``part``: runs of regions with about equal total length.
 
-    The running sum is over the list of regions of a genome, which fits a task; Spark's
-    own partitioning needs no such plan, this serves exports to other tools.
+    Chromosomes are summed first, then regions along each, so a task holds a bin's
+    regions or one number a chromosome.
     """
-    order = Window.orderBy("chrom", "start")
-    before = F.sum(F.col("end") - F.col("start")).over(order) - (F.col("end") - F.col("start"))
-    total = regions.agg(F.sum(F.col("end") - F.col("start")).alias("total"))
-    placed = regions.withColumn("before", before).join(F.broadcast(total))
-    return placed.withColumn("part", F.least(F.floor(F.col("before") * parts / F.col("total")), F.lit(parts - 1))).drop("before", "total")
+    length = F.col("end") - F.col("start")
+    of_chrom = regions.groupBy("chrom").agg(F.sum(length).alias("of_chrom"))
+    along = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = of_chrom.select("chrom", F.coalesce(F.sum("of_chrom").over(along), F.lit(0)).alias("of_chroms"))
+    total = of_chrom.agg(F.sum("of_chrom").alias("total"))
+    placed = carried(by_bins(regions, "start"), length, "before", [F.col("start")], fold=F.sum).join(ahead, "chrom").join(F.broadcast(total))
+    before = F.coalesce("before", F.lit(0)) + F.col("of_chroms")
+    return placed.withColumn("part", F.least(F.floor(before * parts / F.col("total")), F.lit(parts - 1))).drop("before", "total", "bin", "of_chroms")

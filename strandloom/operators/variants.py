@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.random import uniform_int
 from strandloom.functions.sequence import carriers, common_suffix, first_info_value, format_value, genotype_alleles, info_value, wp_string
 from strandloom.operators.chunks import chunked
 from strandloom.operators.statistics import first_by
@@ -62,7 +63,7 @@ def genotype(info: Column, fmt: Column | None = None, sample: Column | None = No
 
 def validity(variants: DataFrame, seqs: DataFrame, size: int = 1024) -> DataFrame:
     """``variants`` with ``reason``: null if valid, else the first of ref_mismatch, n_in_ref, bad_alt."""
-    longest = variants.agg(F.max(F.char_length("ref"))).first()[0] or 1
+    longest = variants.agg(F.max(F.char_length("ref"))).first()[0] or 1  # one number; a reference allele is a short string
     pieces = chunked(seqs, size, int(longest)).withColumnsRenamed({"chrom": "s_chrom", "start": "s_start"})
     hit = (F.col("chrom") == F.col("s_chrom")) & (F.floor(F.col("pos") / size) * size == F.col("s_start"))
     there = F.substring("piece", (F.col("pos") - F.col("s_start") + 1).cast("int"), F.char_length("ref"))
@@ -75,10 +76,19 @@ def first_at_position(variants: DataFrame, order: list[str]) -> DataFrame:
     return first_by(variants, ["chrom", "pos"], order)
 
 
-def merged_alleles(variants: DataFrame) -> DataFrame:
-    """Alternatives of a position joined by commas, last first: chrom, pos, ref, alt."""
-    ordered = F.reverse(F.array_sort(F.collect_set("alt")))
-    return variants.groupBy("chrom", "pos", "ref").agg(F.array_join(ordered, ",").alias("alt"))
+def merged_alleles(variants: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct alternatives of a position joined by commas, that of the last record first: chrom, pos, ref, alt.
+
+    ``order`` is the records' order in their file; an alternative counts where it stands last.
+    """
+    last = variants.groupBy("chrom", "pos", "ref", "alt").agg(F.max(F.struct(*order)).alias("last"))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.struct("last", "alt"))))
+    return last.groupBy("chrom", "pos", "ref").agg(F.array_join(F.transform(ordered, lambda x: x["alt"]), ",").alias("alt"))
+
+
+def random_heterozygous(key: list[Column | str | int], ploidy: int) -> Column:
+    """A genotype with one ploid, drawn by ``key``, set to 1: what stands in for a missing genotype."""
+    return wp_string(F.array(uniform_int(ploidy, *key).cast("int")), ploidy)
 
 
 def frequency_class(af: Column) -> Column:

@@ -47,13 +47,20 @@ steps AS (SELECT chrom, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom O
 clusters AS (SELECT chrom, min(pos) AS first, max(pos) AS last, count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY pos RANGE UNBOUNDED PRECEDING) AS c FROM steps) GROUP BY chrom, c),
 dense AS (SELECT *, n / ("end" - start) AS density FROM (SELECT chrom, CAST(greatest(floor((first - 100) / 50) * 50, 0) AS BIGINT) AS start, CAST(floor((last + 100) / 50) * 50 AS BIGINT) AS "end", n FROM clusters))"""
-SOLVED = f"{CALLS_SQL}, solved AS (SELECT DISTINCT chrom, pos FROM (SELECT * FROM golden INTERSECT SELECT * FROM called))"
+SOLVED = f"{CALLS_SQL}, solved AS MATERIALIZED (SELECT DISTINCT chrom, pos FROM (SELECT * FROM golden INTERSECT SELECT * FROM called))"
 MISSED = "(SELECT * FROM golden ANTI JOIN solved USING (chrom, pos))"
 WRONG = "(SELECT * FROM called ANTI JOIN solved USING (chrom, pos))"
-PLAIN = f"""{VARIANTS_SQL},
+def applied(ploids: str) -> str:
+    """Variants as they are applied ploid by ploid: one is refused if a base of it is on the list of bases taken so far."""
+    return f"""{VARIANTS_SQL},
 plain AS (SELECT DISTINCT chrom, pos, ref, alt FROM variants WHERE regexp_full_match(ref, '[ACGT]+')),
-reached AS (SELECT *, max(pos + length(ref)) OVER (PARTITION BY chrom ORDER BY pos, CAST(length(ref) = length(alt) AS INT), ref, alt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM plain),
-kept AS (SELECT chrom, pos, ref, alt FROM reached WHERE reach IS NULL OR pos >= reach)"""
+ranked AS MATERIALIZED (SELECT p.*, q.ploid, row_number() OVER (PARTITION BY chrom, ploid ORDER BY pos, CAST(length(ref) = length(alt) AS INT), ref, alt) AS rn FROM plain p JOIN (VALUES (0), (1)) q(ploid) ON {ploids}),
+fold AS (SELECT *, TRUE AS ok, range(pos, pos + length(ref)) AS taken FROM ranked WHERE rn = 1
+  UNION ALL SELECT r.*, NOT list_has_any(f.taken, range(r.pos, r.pos + length(r.ref))), CASE WHEN list_has_any(f.taken, range(r.pos, r.pos + length(r.ref))) THEN f.taken ELSE list_concat(f.taken, range(r.pos, r.pos + length(r.ref))) END
+  FROM fold f JOIN ranked r ON r.chrom = f.chrom AND r.ploid = f.ploid AND r.rn = f.rn + 1),
+kept AS (SELECT chrom, pos, ref, alt, ploid FROM fold WHERE ok)"""
+
+
 HASHED = """h AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h, event_id % 50 AS k FROM events),
 fq AS (SELECT CASE WHEN k = 1 THEN '>' ELSE '@' END || 'r' || event_id AS name,
   CASE k WHEN 2 THEN s || 'X' WHEN 3 THEN 'x' || substr(s, 2, 31) ELSE s END AS seq, CASE WHEN k = 4 THEN '-' ELSE '+' END AS plus,
@@ -75,6 +82,32 @@ def with_(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
 
+#: What was written with a sink and read back with a source equals what was there before.
+READS = """reads AS (SELECT 'r' || event_id AS name, event_id % 2 + 1 AS mate, event_id % 7 AS c, event_id * 13 % 5000 AS pos, translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq,
+  translate(md5('q' || event_id), '0123456789abcdef', 'ABCDEFGHIJABCDEF') AS qual, CASE WHEN event_id % 5 = 0 THEN '4S28M' WHEN event_id % 5 = 1 THEN '10M2I20M' ELSE '32M' END AS cigar FROM events)"""
+ROUND_TRIPS = {
+    "fasta_roundtrip": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom, md5(seq) AS digest, length FROM contigs"),
+    "fasta_names": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom FROM contigs"),
+    "fasta_index_roundtrip": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom, length, 60 AS line_bases FROM contigs"),
+    "vcf_roundtrip": with_(RECORDS, """SELECT 'c' || chrom AS chrom, pos, ref, alt, filter, 'DP=' || depth AS info, gt, count(*) AS n FROM records GROUP BY ALL"""),
+    "tsv_variants_roundtrip": with_(VARIANTS_SQL, "SELECT 'c' || chrom AS chrom, pos, ref, alt, count(*) AS n FROM variants GROUP BY ALL"),
+    "bed_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, "end", 'mut_rate=0.' || (o_orderkey % 7) AS name FROM intervals"""),
+    "rates_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, "end", round(least(CAST('0.' || (o_orderkey % 7) AS DOUBLE), 0.3), 9) AS rate FROM intervals WHERE "end" - start > 1"""),
+    "mappable_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, "end" FROM intervals WHERE o_orderkey % 100 >= 50"""),
+    "depth_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, start + 1 AS "end", CAST(o_orderkey % 50 AS DOUBLE) AS depth FROM intervals"""),
+    "sam_roundtrip": f"WITH {READS} SELECT name, CAST(CASE mate WHEN 1 THEN 65 ELSE 129 END AS INT) AS flag, 'c' || c AS ref, pos, cigar, seq, qual FROM reads",
+    "bam_roundtrip": f"WITH {READS} SELECT name, CAST(CASE mate WHEN 1 THEN 65 ELSE 129 END AS INT) AS flag, 'c' || c AS ref, pos, cigar, seq, qual FROM reads",
+    "fastq_roundtrip": f"WITH {READS} SELECT '@' || name || '/' || mate AS name, seq, qual FROM reads",
+    "aligned_qualities": f"""WITH {READS} SELECT name, CAST(CASE WHEN starts_with(cigar, '4S') THEN 28 ELSE 32 END AS INT) AS n, CAST(list_sum(list_transform(string_split(CASE WHEN starts_with(cigar, '4S') THEN substr(qual, 5) ELSE qual END, ''), lambda x: ascii(x) - 33)) AS BIGINT) AS total FROM reads""",
+    "golden_vcf_roundtrip": with_(VARIANTS_SQL, "SELECT 'c' || chrom AS chrom, pos, ref, alt, '0.5' AS af FROM (SELECT DISTINCT chrom, pos, ref, alt FROM variants)"),
+    "model_roundtrip": with_(QUALITIES_SQL, "SELECT CAST(pos AS INT) AS pos, CAST(q AS INT) AS q, count(*) AS n FROM q_long GROUP BY pos, q"),
+    "trinuc_cache": with_(f"{CONTIGS_SQL}, {BASES}, t AS ({TRI_COUNTS})", f"SELECT tri, CAST(coalesce(n, 0) AS BIGINT) AS n FROM {TRI} LEFT JOIN t USING (tri)"),
+    "callable_cache": with_(CALLABLE, 'SELECT chrom, start, "end" FROM callable'),
+    "missed_vcf": with_(SOLVED, f"SELECT 'c' || chrom AS chrom, pos, ref, alt FROM {MISSED}"),
+    "wrong_vcf": with_(SOLVED, f"SELECT 'c' || chrom AS chrom, pos, ref, alt FROM {WRONG}"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     first = "first_mates AS (SELECT abs(tlen) AS tlen FROM alignments WHERE (flag & 65) = 65 AND mapq > 10 AND (mate_ref = '=' OR mate_ref = ref))"
     limits = "m AS (SELECT median(tlen) AS median FROM first_mates), limits AS (SELECT any_value(m.median) AS median, median(abs(tlen - m.median)) AS mad FROM first_mates, m)"
@@ -115,7 +148,8 @@ QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY l_orderkey, l_partke
   SELECT *, unnest(string_split(alt, ',')) AS a, unnest(range(1, len(string_split(alt, ',')) + 1)) AS i FROM records)"""),
         "info_fields": with_(RECORDS, "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(depth AS INT) AS depth, freq, af FROM records"),
         "genotype_extract": with_(RECORDS, "SELECT gt, g1 || '/' || g2 AS wp, CAST(g1 + g2 AS INT) AS n_ploids, count(*) AS n FROM records GROUP BY ALL"),
-        "merged_alleles": with_(VARIANTS_SQL, "SELECT chrom, pos, ref, string_agg(alt, ',' ORDER BY alt DESC) AS alt FROM (SELECT DISTINCT chrom, pos, ref, alt FROM variants) GROUP BY chrom, pos, ref"),
+        "merged_alleles": with_(VARIANTS_SQL + ", n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS rn FROM variants)",
+            "SELECT chrom, pos, ref, string_agg(alt, ',' ORDER BY rn DESC) AS alt FROM (SELECT chrom, pos, ref, alt, max(rn) AS rn FROM n GROUP BY ALL) GROUP BY chrom, pos, ref"),
         "mutation_spectrum": with_(f"""{CONTEXTS}, c AS (SELECT tri_ref, tri_alt, count(*) AS n FROM contexts GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY tri_ref) AS p FROM c),
 every AS (SELECT tri AS tri_ref, left(tri, 1) || b || right(tri, 1) AS tri_alt FROM {TRI}, bases WHERE b <> substr(tri, 2, 1))""",
             "SELECT tri_ref, tri_alt, CAST(coalesce(n, 0) AS BIGINT) AS n, round(coalesce(p, 0.0), 9) AS p FROM every LEFT JOIN p USING (tri_ref, tri_alt)"),
@@ -130,6 +164,27 @@ every AS (SELECT tri AS tri_ref, left(tri, 1) || b || right(tri, 1) AS tri_alt F
         "common_variants": with_(RECORDS, "SELECT freq, count(*) AS n FROM records WHERE freq >= (SELECT quantile_cont(freq, 0.95) FROM records) GROUP BY freq"),
         "gap_clusters": with_(CLUSTERS, "SELECT * FROM clusters"),
         "high_mut_regions": with_(CLUSTERS, 'SELECT chrom, start, "end", n, round(density, 9) AS density FROM dense WHERE density >= (SELECT quantile_cont(density, 0.97) FROM dense)'),
+        # folded from the last region back: one that reaches the one after it takes its end and the mean of both rates
+        "merged_high_regions": with_(f"""RECURSIVE {CLUSTERS},
+top AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start DESC, "end" DESC, density DESC) AS rn FROM dense WHERE density >= (SELECT quantile_cont(density, 0.5) FROM dense)),
+fold AS (SELECT chrom, rn, start, "end", density, 1 AS piece FROM top WHERE rn = 1 UNION ALL
+  SELECT t.chrom, t.rn, t.start, CASE WHEN t."end" >= f.start THEN f."end" ELSE t."end" END, CASE WHEN t."end" >= f.start THEN (t.density + f.density) / 2 ELSE t.density END, CASE WHEN t."end" >= f.start THEN f.piece ELSE f.piece + 1 END
+  FROM fold f JOIN top t ON t.chrom = f.chrom AND t.rn = f.rn + 1),
+done AS (SELECT chrom, piece, arg_max(start, rn) AS start, arg_max("end", rn) AS "end", arg_max(density, rn) AS rate FROM fold GROUP BY chrom, piece)""",
+            'SELECT chrom, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bases, round(sum(rate), 6) AS rates FROM done GROUP BY chrom'),
+        "trinuc_contig_counts": with_(f"{CONTIGS_SQL}, {BASES}, t AS (SELECT chrom, substr(seq, i, 3) AS tri, count(*) AS n FROM (SELECT chrom, seq, unnest(range(1, length - 1)) AS i FROM contigs) GROUP BY ALL)",
+            f"SELECT chrom, tri, CAST(coalesce(n, 0) AS BIGINT) AS n FROM contigs CROSS JOIN {TRI} LEFT JOIN t USING (chrom, tri)"),
+        "trinuc_region_counts": with_(f"""{INTERVALS_SQL}, {BASES}, t AS (SELECT substr(seq, CAST(i AS BIGINT), 3) AS tri, count(*) AS n FROM (SELECT seq, unnest(range(start + 1, "end" - 1)) AS i FROM intervals JOIN contigs USING (chrom)) GROUP BY ALL)""",
+            f"SELECT tri, CAST(coalesce(n, 0) AS BIGINT) AS n FROM {TRI} LEFT JOIN t USING (tri)"),
+        "random_genotypes": f"SELECT event_id, CASE WHEN floor({uniform_sql(chr(39) + 'het' + chr(39), 'event_id')} * 2) = 0 THEN '1/0' ELSE '0/1' END AS gt FROM events",
+        "sample_genotypes": with_(RECORDS, "SELECT gt AS genotype, CAST(l_suppkey AS INT) AS depth, count(*) AS n FROM records GROUP BY ALL"),
+        "targets_by_length": with_(f"{VARIANTS_SQL}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]}",
+            'SELECT chrom, count(*) AS n FROM variants v WHERE EXISTS (SELECT 1 FROM intervals i WHERE i.chrom = v.chrom AND i."end" - i.start >= 60 AND i.start <= v.pos AND v.pos < i."end") GROUP BY chrom'),
+        "quality_range": with_(QUALITIES_SQL, "SELECT CAST(min(q) AS INT) AS least, CAST(max(q) AS INT) AS most, count(*) FILTER (q > 30) AS n_outside FROM q_long"),
+        "first_reads": with_(QUALITIES_SQL, "SELECT read_id, CAST(sum(q) AS BIGINT) AS total FROM q_long WHERE read_id IN (SELECT event_id FROM events ORDER BY event_id LIMIT 500) GROUP BY read_id"),
+        "moving_mean_depth": with_(f"""{INTERVALS_SQL}, b AS (SELECT chrom, start, count(*) AS n FROM intervals GROUP BY ALL)""",
+            "SELECT chrom, start, round((SELECT sum(n) FROM b y WHERE y.chrom = x.chrom AND y.start >= x.start AND y.start < x.start + 100) / 100.0, 9) AS mean FROM b x"),
+        **ROUND_TRIPS,
         "merge_intervals": with_(INTERVALS_SQL, MERGED.format(source="intervals")),
         "points_in_intervals": with_(f"{VARIANTS_SQL}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]}", 'SELECT o_orderkey, count(*) AS n FROM variants v JOIN intervals i ON v.chrom = i.chrom AND v.pos >= i.start AND v.pos < i."end" GROUP BY o_orderkey'),
         "interval_overlap_bp": with_(INTERVALS_SQL, """SELECT a.chrom, count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS bases
@@ -142,14 +197,14 @@ z AS (SELECT (SELECT sum("end" - start) FROM ra) AS a, (SELECT sum("end" - start
         "discard_offtarget": with_(f"""{VARIANTS_SQL}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]}, r AS (SELECT DISTINCT chrom, pos FROM variants)""",
             'SELECT chrom, count(*) AS n FROM r WHERE EXISTS (SELECT 1 FROM intervals i WHERE i.chrom = r.chrom AND (i.start <= r.pos AND r.pos < i."end" OR i.start <= r.pos + 30 AND r.pos + 30 < i."end")) GROUP BY chrom'),
         "vcf_compare_summary": with_(SOLVED, f"""SELECT n_golden, n_called, n_perfect, n_missed, n_wrong, round(100.0 * n_missed / n_golden, 6) AS missed_pct, round(100.0 * n_wrong / n_called, 6) AS wrong_pct FROM (SELECT
-  (SELECT count(*) FROM golden) AS n_golden, (SELECT count(*) FROM called) AS n_called, (SELECT count(*) FROM golden SEMI JOIN solved USING (chrom, pos)) AS n_perfect,
+  (SELECT count(*) FROM golden) AS n_golden, (SELECT count(*) FROM called) AS n_called, (SELECT count(*) FROM solved) AS n_perfect,
   (SELECT count(*) FROM {MISSED}) AS n_missed, (SELECT count(*) FROM {WRONG}) AS n_wrong)"""),
         "vcf_fn": with_(SOLVED, f"SELECT * FROM {MISSED}"),
         "vcf_fp": with_(SOLVED, f"SELECT * FROM {WRONG}"),
         "fn_attribution": with_(f"""{SOLVED}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]},
 f AS (SELECT EXISTS (SELECT 1 FROM intervals i WHERE i.chrom = m.chrom AND o_orderkey % 4 = 0 AND i.start <= m.pos AND m.pos < i."end") AS unmappable,
-  CAST(coalesce((SELECT sum(o_orderkey % 5 + 1) FROM intervals i WHERE i.chrom = m.chrom AND i.start <= m.pos AND m.pos < i."end"), 0) AS BIGINT) AS depth FROM {MISSED} m)""",
-            "SELECT unmappable, depth < 3 AS low_depth, NOT unmappable AND depth >= 3 AS unknown, count(*) AS n, CAST(sum(depth) AS BIGINT) AS total_depth FROM f GROUP BY ALL"),
+  CAST((SELECT sum(o_orderkey % 5 + 1) FROM intervals i WHERE i.chrom = m.chrom AND i.start <= m.pos AND m.pos < i."end") AS BIGINT) AS depth FROM {MISSED} m)""",
+            "SELECT unmappable, coalesce(depth < 3, FALSE) AS low_depth, NOT unmappable AND coalesce(depth >= 3, TRUE) AS unknown, count(*) AS n, CAST(sum(depth) AS BIGINT) AS total_depth FROM f GROUP BY ALL"),
         "af_classes": with_(VARIANTS_SQL, "SELECT CAST(least(greatest(floor((l_discount * 10 - 0.05) * 20), 0), 20) AS INT) AS af_class, count(*) AS n FROM variants GROUP BY 1"),
         "quality_marginals": with_(QUALITIES_SQL, "SELECT CAST(pos AS INT) AS pos, CAST(q AS INT) AS q, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY pos), 9) AS p FROM q_long GROUP BY pos, q"),
         "quality_transitions": with_(QUALITIES_SQL + ", t AS (SELECT pos, lag(q) OVER (PARTITION BY read_id ORDER BY pos) AS q_prev, q FROM q_long)",
@@ -169,10 +224,12 @@ steps AS (SELECT tlen, floor((sum(p) OVER (ORDER BY tlen) + 1e-12) / 0.1) AS lev
         "variant_windows": with_(WINDOWS, 'SELECT v.chrom, win, count(*) AS n FROM variants v JOIN plan p ON v.chrom = p.chrom AND v.pos >= p.start AND v.pos < p."end" GROUP BY v.chrom, win'),
         "coverage_moving_sum": with_(INTERVALS_SQL, """SELECT chrom, o_orderkey, CAST(sum(b) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS ahead, CAST(sum(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS before,
   coalesce(lag(b, 2) OVER w, 0) AS shifted FROM (SELECT *, "end" - start AS b FROM intervals) WINDOW w AS (PARTITION BY chrom ORDER BY start, o_orderkey)"""),
-        "conflict_free": with_(PLAIN, "SELECT * FROM kept"),
-        "haplotypes": with_(f"""{PLAIN},
-parts AS (SELECT k.chrom, pos, substr(seq, coalesce(lag(pos + length(ref)) OVER w, 0) + 1, pos - coalesce(lag(pos + length(ref)) OVER w, 0)) || alt AS part, pos + length(ref) AS upto FROM kept k JOIN contigs USING (chrom) WINDOW w AS (PARTITION BY k.chrom ORDER BY pos))""",
-            "SELECT chrom, md5(string_agg(part, '' ORDER BY pos) || substr(any_value(seq), max(upto) + 1)) AS digest, CAST(count(*) AS INT) AS n FROM parts JOIN contigs USING (chrom) GROUP BY chrom"),
+        "conflict_free": with_("RECURSIVE " + applied("pos % 3 = 0 OR ploid = pos % 2"), "SELECT chrom, pos, ref, alt, string_agg(CAST(ploid AS VARCHAR), '/' ORDER BY ploid) AS ploids FROM kept GROUP BY ALL"),
+        "haplotypes": with_(f"""RECURSIVE {applied("ploid = 0")}, {WINDOWS[len(VARIANTS_SQL) + 2:]},
+inside AS (SELECT p.chrom, win, start, pos, ref, alt, pos + length(ref) AS upto FROM plan p JOIN kept k ON k.chrom = p.chrom AND pos >= start AND pos + length(ref) <= core_end),
+parts AS (SELECT i.chrom, win, pos, upto, substr(seq, coalesce(lag(upto) OVER w, start) + 1, pos - coalesce(lag(upto) OVER w, start)) || alt AS part FROM inside i JOIN contigs USING (chrom) WINDOW w AS (PARTITION BY i.chrom, win ORDER BY pos)),
+put AS (SELECT chrom, win, string_agg(part, '' ORDER BY pos) AS text, max(upto) AS upto, count(*) AS n FROM parts GROUP BY ALL)""",
+            "SELECT p.chrom, p.win, md5(coalesce(text, '') || substr(seq, coalesce(upto, start) + 1, core_end - coalesce(upto, start))) AS digest, CAST(coalesce(n, 0) AS INT) AS n FROM plan p JOIN contigs USING (chrom) LEFT JOIN put USING (chrom, win)"),
         "golden_tally": with_(RECORDS, """SELECT chrom, pos, ref, alt, (max(g1) + max(g2)) / 2 AS af, 'WP=' || max(g1) || '/' || max(g2) AS info FROM records WHERE g1 = 1 OR g2 = 1 GROUP BY chrom, pos, ref, alt"""),
         "fastq_validate": with_(HASHED, """SELECT CASE WHEN qual IS NULL THEN 'missing_line' WHEN left(name, 1) <> '@' THEN 'bad_header' WHEN left(plus, 1) <> '+' THEN 'bad_separator' WHEN length(seq) <> length(qual) THEN 'length_mismatch'
   WHEN NOT regexp_full_match(seq, '[ACGTN]*') THEN 'bad_base' WHEN NOT regexp_full_match(qual, '[!-J]*') THEN 'bad_quality' ELSE 'ok' END AS error, count(*) AS n FROM fq GROUP BY 1"""),
@@ -186,7 +243,7 @@ SELECT generation, member_id, parent_id FROM k, n WHERE r <= 2 * n - round_even(
 SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS c FROM s) GROUP BY user_id, c""",
         "substitution_heatmaps": with_(CONTEXTS, "SELECT left(tri_ref, 1) || '_' || right(tri_ref, 1) AS flanks, ref, count(*) FILTER (alt = 'A') AS n_A, count(*) FILTER (alt = 'C') AS n_C, count(*) FILTER (alt = 'G') AS n_G, count(*) FILTER (alt = 'T') AS n_T FROM contexts GROUP BY ALL"),
         "fn_depth_histogram": with_(f"""{SOLVED}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]},
-f AS (SELECT CAST(coalesce((SELECT sum(o_orderkey % 5 + 1) FROM intervals i WHERE i.chrom = m.chrom AND i.start <= m.pos AND m.pos < i."end"), 0) AS BIGINT) AS depth FROM {MISSED} m)""",
+f AS (SELECT CAST((SELECT sum(o_orderkey % 5 + 1) FROM intervals i WHERE i.chrom = m.chrom AND i.start <= m.pos AND m.pos < i."end") AS BIGINT) AS depth FROM {MISSED} m)""",
             "SELECT depth, count(*) AS n FROM f GROUP BY depth"),
         "human_contigs": with_(CONTIGS_SQL, "SELECT CASE WHEN chrom % 2 = 0 THEN 'chr' ELSE '' END || (chrom % 40) AS chrom, CAST(sum(length) AS BIGINT) AS bases FROM contigs WHERE chrom % 40 BETWEEN 1 AND 29 GROUP BY 1"),
         "balanced_parts": with_(CONTIGS_SQL, "SELECT chrom, least(CAST(floor((sum(length) OVER (ORDER BY chrom) - length) * 7 / (SELECT sum(length) FROM contigs)) AS BIGINT), 6) AS part FROM contigs"),

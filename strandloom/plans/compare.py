@@ -16,34 +16,58 @@ ALLELE = ["chrom", "pos", "ref", "alt"]
 NEIGHBOURHOOD = 50
 
 
-def solved_positions(golden: DataFrame, called: DataFrame) -> DataFrame:
-    """Positions at which some allele is in both sets; everything there counts as solved."""
-    return golden.select(ALLELE).intersect(called.select(ALLELE)).select("chrom", "pos").distinct()
+def judged(golden: DataFrame, called: DataFrame) -> DataFrame:
+    """chrom, pos, ref, alt, in_golden, in_called, solved of every variant of either set, from one pass over both.
+
+    A position at which some allele is in both sets is solved, with everything there.
+    """
+    both = golden.select(*ALLELE, F.lit(True).alias("g")).unionByName(called.select(*ALLELE, F.lit(False).alias("g")))
+    alleles = both.groupBy(*ALLELE).agg(F.count_if("g").alias("n_golden"), F.count_if(~F.col("g")).alias("n_called"))
+    place = F.struct("ref", "alt", "n_golden", "n_called")
+    # the alleles of a position are few
+    at = alleles.groupBy("chrom", "pos").agg(F.collect_list(place).alias("alleles"), F.max((F.col("n_golden") > 0) & (F.col("n_called") > 0)).alias("solved"))
+    return at.select("chrom", "pos", "solved", F.explode("alleles").alias("of")).select("chrom", "pos", "of.*", "solved")
 
 
 def missed_and_wrong(golden: DataFrame, called: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Golden variants and calls at positions that aren't solved."""
-    solved = solved_positions(golden, called)
-    return golden.join(solved, ["chrom", "pos"], "left_anti"), called.join(solved, ["chrom", "pos"], "left_anti")
+    rest = judged(golden, called).where(~F.col("solved"))
+    side = lambda n: rest.where(F.col(n) > 0).select(*ALLELE, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy")).drop("copy")
+    return side("n_golden"), side("n_called")
 
 
 def summary(golden: DataFrame, called: DataFrame) -> DataFrame:
-    """One row: perfect, missed and wrong variants, and the two rates in percent."""
-    missed, wrong = missed_and_wrong(golden, called)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    solved = golden.join(solved_positions(golden, called), ["chrom", "pos"], "left_semi")
-    row = count(golden, "n_golden").join(count(called, "n_called")).join(count(solved, "n_perfect")).join(count(missed, "n_missed")).join(count(wrong, "n_wrong"))
+    """One row: variants of both sets, solved positions, missed and wrong variants, and the two rates in percent."""
+    j = judged(golden, called)
+    count = lambda n, when=None: F.coalesce(F.sum(n if when is None else F.when(when, F.col(n))), F.lit(0)).cast("long")
+    row = j.groupBy("chrom", "pos").agg(F.max("solved").alias("solved"), F.sum("n_golden").alias("n_golden"), F.sum("n_called").alias("n_called"))
+    row = row.agg(
+        count("n_golden").alias("n_golden"),
+        count("n_called").alias("n_called"),
+        F.count_if("solved").alias("n_perfect"),
+        count("n_golden", ~F.col("solved")).alias("n_missed"),
+        count("n_called", ~F.col("solved")).alias("n_wrong"),
+    )
     share = lambda a, b: F.when(F.col(b) > 0, F.round(100.0 * F.col(a) / F.col(b), 6)).otherwise(0.0)
     return row.select("*", share("n_missed", "n_golden").alias("missed_pct"), share("n_wrong", "n_called").alias("wrong_pct"))
 
 
 def attribution(missed: DataFrame, mappable: DataFrame, depth: DataFrame, least_depth: int = 10) -> DataFrame:
-    """``missed`` with unmappable, low_depth and unknown (neither); depth is (chrom, start, end, depth)."""
-    hard = merge(mappable).select("chrom", "start", "end")
-    located = points_in_intervals(missed, hard, "left").withColumn("unmappable", F.col("start").isNotNull()).drop("start", "end")
-    flags = located.groupBy(ALLELE).agg(F.max("unmappable").alias("unmappable"))
-    deep = points_in_intervals(flags, depth.select("chrom", "start", "end", "depth"), "left").groupBy(*ALLELE, "unmappable").agg(F.coalesce(F.sum("depth"), F.lit(0)).cast("long").alias("depth"))
-    return deep.select("*", (F.col("depth") < least_depth).alias("low_depth")).withColumn("unknown", ~F.col("unmappable") & ~F.col("low_depth"))
+    """``missed`` with unmappable, low_depth and unknown (neither); depth is (chrom, start, end, depth).
+
+    A variant that no depth is known of has a null depth, and that is no reason.
+    """
+    marks = mappable.select("chrom", "start", "end", F.lit(None).cast("long").alias("depth"), F.lit(True).alias("hard"))
+    marks = marks.unionByName(depth.select("chrom", "start", "end", F.col("depth").cast("long").alias("depth"), F.lit(False).alias("hard")))
+    located = points_in_intervals(missed.select(ALLELE).distinct(), marks, "left")
+    flags = located.groupBy(ALLELE).agg(F.coalesce(F.max("hard"), F.lit(False)).alias("unmappable"), F.sum("depth").alias("depth"))
+    low = F.coalesce(F.col("depth") < least_depth, F.lit(False))
+    return flags.withColumn("low_depth", low).withColumn("unknown", ~F.col("unmappable") & ~F.col("low_depth"))
+
+
+def long_targets(targets: DataFrame, least: int) -> DataFrame:
+    """Targets of ``least`` bases or more; variants in shorter ones take no part in a comparison."""
+    return targets.where(F.col("end") - F.col("start") >= least)
 
 
 def equivalents(missed: DataFrame, wrong: DataFrame, seqs: DataFrame, reach: int = NEIGHBOURHOOD) -> DataFrame:

@@ -58,6 +58,17 @@ def conforming(reads: DataFrame, length: int) -> DataFrame:
     return reads.where(F.size("q") == length)
 
 
+def quality_range(reads: DataFrame, low: int, high: int) -> DataFrame:
+    """One row: least and most quality, and how many lie outside ``low`` .. ``high``."""
+    q = reads.select(F.explode("q").alias("q"))
+    return q.agg(F.min("q").alias("least"), F.max("q").alias("most"), F.count_if(~F.col("q").between(low, high)).alias("n_outside"))
+
+
+def first_reads(reads: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` reads in an order: a sample that the caller sizes."""
+    return reads.orderBy(order).limit(n)
+
+
 def quality_marginals(reads: DataFrame) -> DataFrame:
     """pos, q, n, p: how often each quality stands at each place."""
     counted = reads.select(F.posexplode("q").alias("pos", "q")).groupBy("pos", "q").agg(F.count(F.lit(1)).alias("n"))
@@ -221,8 +232,6 @@ def merged_regions(regions: DataFrame) -> DataFrame:
     return folded.select("chrom", "x.start", "x.end", F.col("x.density").alias("rate"))
 
 
-
-
 def substitution_heatmaps(contexts: DataFrame) -> DataFrame:
     """A row for each flanking pair and base: flanks, ref, and counts n_A, n_C, n_G, n_T of what it turns into."""
     flanks = F.concat(F.left("tri_ref", F.lit(1)), F.lit("_"), F.right("tri_ref", F.lit(1)))

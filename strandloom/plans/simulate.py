@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.random import draw, normal_lengths, random_dna, uniform, uniform_int
 from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, apply_variants, gc_count, haplotype_cigar, reverse_complement, sam_flag, wp_string
-from strandloom.operators.intervals import overlaps, points_in_intervals
+from strandloom.operators.chunks import chunked
+from strandloom.operators.intervals import BIN, islands, overlaps, points_in_intervals
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,6 @@ class MutationModel:
             raise ValueError("the mutation rate must be between 0 and 0.3")
 
 
-#: The default model of tumours.
-TUMOUR = MutationModel(rate=0.002, homozygous=0.200, indel=0.1, insertion=0.3)
-
-
 @dataclass(frozen=True)
 class ReadModel:
     """Lengths, coverage and errors of reads."""
@@ -114,6 +111,16 @@ def window_plan(regions: DataFrame, size: int, overlap: int) -> DataFrame:
 POISSON_RATE = 300
 
 
+def stretches(spans: DataFrame, seqs: DataFrame, begin: str, end: str, keys: list[str]) -> DataFrame:
+    """``spans`` (chrom, keys, ...) with ``piece``, the bases from ``begin`` to ``end``: joined with short pieces of the sequence by (chrom, bin)."""
+    s = spans.select("chrom", *keys, F.col(begin).alias("start"), F.col(end).alias("end"))
+    met = overlaps(s, chunked(seqs, BIN, 0).select("chrom", "start", (F.col("start") + F.char_length("piece")).alias("end"), "piece"))
+    low = F.greatest("start", "r_start")
+    part = F.substring("r_piece", (low - F.col("r_start") + 1).cast("int"), (F.least("end", "r_end") - low).cast("int"))
+    whole = met.groupBy("chrom", *keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_start", part.alias("part")))), lambda x: x["part"]), "").alias("piece"))
+    return spans.join(whole, ["chrom", *keys])
+
+
 def poisson_count(u: Column, rate: Column) -> Column:
     """Inverse distribution function of a Poisson count whose rate is a column, POISSON_RATE at most."""
     held = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.lit(0).alias("k"))
@@ -142,7 +149,7 @@ def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, p
     """
     top = max(model.bias.values()) or 1.0
     most = model.rate if rates is None else max(model.rate, rates.agg(F.max("rate")).first()[0] or 0.0)
-    core = windows.join(seqs.select("chrom", "seq"), "chrom").select("chrom", "win", "start", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("core_end") - F.col("start")).cast("int")).alias("piece"))
+    core = stretches(windows, seqs, "start", "core_end", ["win"]).select("chrom", "win", "start", "piece")
     key = lambda what: ("mut", seed, what, F.col("chrom"), F.col("win"), F.col("k"))
     n = F.char_length("piece")
     count = poisson_sum(n * F.lit(most * top), "mut", seed, "n", F.col("chrom"), F.col("win"))
@@ -180,14 +187,26 @@ def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, p
     ).where((F.col("ref") != F.col("alt")) & F.col("ref").rlike("^[ACGT]+$"))
 
 
-def without_conflicts(variants: DataFrame, by: list[str]) -> DataFrame:
-    """Variants (pos, ref, alt) that begin beyond all that stand before them in their group.
+def without_conflicts(variants: DataFrame, ploids: str | None = None) -> DataFrame:
+    """Variants (chrom, pos, ref, alt, ...) less those that meet bases of one applied before, ploid by ploid.
 
-    Indels go before SNPs at the same place, as they mask them.
+    Variants are applied by position, of those at one place indels first, as they mask
+    SNPs. Only what is applied blocks: of a chain whose second one meets the first and
+    the third, the first and the third stay. With ``ploids`` (an array column) each
+    variant keeps the ploids in which it is applied. Runs of overlapping variants are
+    folded on their own, so no task walks a chromosome.
     """
-    order = Window.partitionBy(*by).orderBy("pos", (F.char_length("ref") == F.char_length("alt")).cast("int"), "ref", "alt")
-    reach = F.max(F.col("pos") + F.char_length("ref")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return variants.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("pos") >= F.col("reach"))).drop("reach")
+    kept = [c for c in variants.columns if c not in ("chrom", "pos", "ref", "alt", ploids)]
+    rows = variants.withColumn("ploid", F.explode(ploids) if ploids else F.lit(0))
+    runs = islands(rows.select("*", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end")), touch=False)
+    one = F.struct("pos", (F.char_length("ref") == F.char_length("alt")).cast("int").alias("plain"), "ref", "alt", *kept)
+    held = F.struct(F.array().cast(f"array<{runs.select(one.alias('v')).schema['v'].dataType.simpleString()}>").alias("out"), F.lit(-1).cast("long").alias("reach"))
+    step = lambda s, v: F.when(v["pos"] < s["reach"], s).otherwise(F.struct(F.concat(s["out"], F.array(v)).alias("out"), (v["pos"] + F.char_length(v["ref"])).cast("long").alias("reach")))
+    folded = runs.groupBy("chrom", "island", "ploid").agg(F.array_sort(F.collect_list(one)).alias("vs")).select("chrom", "ploid", F.explode(F.aggregate("vs", held, step, lambda s: s["out"])).alias("v"))
+    applied = folded.select("chrom", "ploid", "v.*").drop("plain")
+    if ploids is None:
+        return applied.select(*variants.columns)
+    return applied.groupBy("chrom", "pos", "ref", "alt", *kept).agg(F.array_sort(F.collect_list("ploid")).alias(ploids)).select(*variants.columns)
 
 
 def haplotypes(windows: DataFrame, seqs: DataFrame, variants: DataFrame, ploidy: int) -> DataFrame:
@@ -199,7 +218,7 @@ def haplotypes(windows: DataFrame, seqs: DataFrame, variants: DataFrame, ploidy:
     inside = inside.where((F.col("r_start") >= F.col("start")) & (F.col("r_end") <= F.col("end")))
     v = F.struct((F.col("r_start") - F.col("start")).cast("int").alias("off"), F.col("r_ref").alias("ref"), F.col("r_alt").alias("alt"), F.col("r_ploids").alias("ploids"))
     grouped = inside.groupBy("chrom", "win").agg(F.array_sort(F.collect_list(v)).alias("variants"))
-    piece = windows.join(seqs.select("chrom", "seq"), "chrom").select("chrom", "win", "start", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("piece"))
+    piece = stretches(windows, seqs, "start", "end", ["win"]).select("chrom", "win", "start", "piece")
     none = F.array().cast("array<struct<off:int,ref:string,alt:string,ploids:array<int>>>")
     every = piece.join(grouped, ["chrom", "win"], "left").withColumn("ploid", F.explode(F.sequence(F.lit(0), F.lit(ploidy - 1))))
     mine = F.filter(F.coalesce("variants", none), lambda x: F.array_contains(x["ploids"], F.col("ploid")))
@@ -431,7 +450,7 @@ def simulate(
         reach = lambda df: df.select("*", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end"))
         taken = overlaps(reach(drawn), reach(placed).select("chrom", "start", "end")).select("chrom", "pos", "ref", "alt").distinct()
         drawn = placed.unionByName(drawn.join(taken, ["chrom", "pos", "ref", "alt"], "left_anti").select(placed.columns))
-    variants = without_conflicts(drawn, ["chrom", "win"])
+    variants = without_conflicts(drawn, "ploids")
     haps = haplotypes(windows, seqs, variants, reads.ploidy)
     made = read_records(fragments(haps, reads, gc_scalars), reads)
     if t is not None:
@@ -466,6 +485,28 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     return reads.select("chrom", "pos", F.concat_ws("\t", "name", F.col("flag").cast("string"), F.col("chrom").cast("string"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", nxt, (F.coalesce(F.col("mate_pos") + 1, F.lit(0))).cast("string"), F.col("tlen").cast("string"), "seq", "qual").alias("value"))
 
 
+#: Ranges of draws that are counted to find where a cull begins.
+CULL_RANGES = 4096
+
+
+def most_drawn(rows: DataFrame, keep: int, draw_: Column, tie: str) -> DataFrame:
+    """The ``keep`` rows with the greatest draws in [0, 1); of equal draws the least ``tie``.
+
+    Ranges of draws are counted (CULL_RANGES numbers), and only the range in which the
+    limit lies is put in order.
+    """
+    drawn = rows.withColumn("draw", draw_).withColumn("range", F.floor(F.col("draw") * CULL_RANGES))
+    rest, at = keep, -1
+    for r in drawn.groupBy("range").count().orderBy(F.desc("range")).collect():  # CULL_RANGES rows at most
+        at = r["range"]
+        if r["count"] >= rest:
+            break
+        rest -= r["count"]
+    edge = Window.partitionBy("range").orderBy(F.desc("draw"), tie)
+    tail = drawn.where(F.col("range") == at).withColumn("place", F.row_number().over(edge)).where(F.col("place") <= rest).drop("place")
+    return drawn.where(F.col("range") > at).unionByName(tail).drop("draw", "range")
+
+
 def population(members: int, generations: int, cull: float, seed: int, spark) -> DataFrame:  # noqa: ANN001
     """generation, member_id, parent_id of the survivors of {double, cull} rounds.
 
@@ -476,7 +517,6 @@ def population(members: int, generations: int, cull: float, seed: int, spark) ->
     n = members
     for g in range(1, generations + 1):
         doubled = now.select(F.lit(g).alias("generation"), F.explode(F.array(F.col("member_id") * 2, F.col("member_id") * 2 + 1)).alias("member_id"), F.col("member_id").alias("parent_id"))
-        keep = 2 * n - round(2 * n * cull)
-        now = doubled.orderBy(uniform("cull", seed, g, F.col("member_id")).desc(), "member_id").limit(keep)
-        n = keep
+        n = 2 * n - round(2 * n * cull)
+        now = most_drawn(doubled, n, uniform("cull", seed, g, F.col("member_id")), "member_id")
     return now

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import derived as d
 from strandloom.functions.random import draw, normal_lengths, poisson, random_dna, uniform
 from strandloom.functions.sequence import (
-    apply_variants, carriers, cigar_compact, cigar_expand, encode_qualities, error_to_phred, gc_count, info_value, mask_low_quality, non_n_length, phred_to_error, reg2bin, reverse_complement, sam_flag, wp_string,
+    carriers, cigar_compact, cigar_expand, encode_qualities, error_to_phred, gc_count, info_value, mask_low_quality, non_n_length, phred_to_error, reg2bin, reverse_complement, sam_flag, wp_string,
 )
 from strandloom.operators import intervals as iv
 from strandloom.operators import variants as vs
 from strandloom.operators.chunks import bases_at, trinucleotide_counts
 from strandloom.operators.statistics import cdf_knots, median_and_deviation, nearest_knot, weighted_median_index
 from strandloom.plans import compare, learners, simulate, validate
+from strandloom.sources import bam, sinks, text
 from strandloom.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,7 +208,7 @@ def genotype_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merged_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vs.merged_alleles(d.variants(spark, sf_dir))
+    return vs.merged_alleles(d.variants(spark, sf_dir), KEYS)
 
 
 @query
@@ -248,7 +251,7 @@ def common_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.gap_clusters(d.variants(spark, sf_dir).select("chrom", "pos"), 100).drop("cluster")
+    return iv.gap_clusters(d.variants(spark, sf_dir).select("chrom", "pos"), 100)
 
 
 @query
@@ -260,7 +263,7 @@ def high_mut_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merged_high_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = learners.merged_regions(learners.dense_regions(d.variants(spark, sf_dir), gap=100, pad=100, snap=50, percentile=0.5))
-    return found.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
+    return found.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.round(F.sum("rate"), 6).alias("rates"))
 
 
 @query
@@ -400,28 +403,33 @@ def variant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def coverage_moving_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    order = [F.col("start"), F.col("o_orderkey")]
+    i = iv.numbered(d.intervals(spark, sf_dir).withColumn("bases", F.col("end") - F.col("start")), "start", order)
+    i = iv.carried(iv.by_bins(i, "start"), F.col("bases"), "before", order, fold=F.sum).drop("bin")
+    i = iv.shifted(iv.moving_sum(i, "bases", 5, "ahead", stretch=64), "bases", 2, "shifted", stretch=64)
+    return i.select("chrom", "o_orderkey", "ahead", "before", "shifted")
 
-    o = Window.partitionBy("chrom").orderBy("start", "o_orderkey")
-    i = d.intervals(spark, sf_dir).withColumn("bases", F.col("end") - F.col("start"))
-    return i.select("chrom", "o_orderkey", F.sum("bases").over(o.rowsBetween(0, 4)).alias("ahead"), F.sum("bases").over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.coalesce(F.lag("bases", 2).over(o), F.lit(0)).alias("shifted"))
 
-
-def kept_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = d.variants(spark, sf_dir).where(F.col("ref").rlike("^[ACGT]+$")).select("chrom", "pos", "ref", "alt").distinct()
-    return simulate.without_conflicts(plain, ["chrom"])
+def plain_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.variants(spark, sf_dir).where(F.col("ref").rlike("^[ACGT]+$")).select("chrom", "pos", "ref", "alt").distinct()
 
 
 @query
 def conflict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_variants(spark, sf_dir)
+    """Variants on one or both of two ploids, and the ploids in which each is applied."""
+    every = F.array(F.lit(0), F.lit(1))
+    ploids = F.when(F.col("pos") % 3 == 0, every).otherwise(F.array((F.col("pos") % 2).cast("int")))
+    found = simulate.without_conflicts(plain_variants(spark, sf_dir).withColumn("ploids", ploids), "ploids")
+    return found.select("chrom", "pos", "ref", "alt", F.concat_ws("/", F.transform("ploids", lambda p: p.cast("string"))).alias("ploids"))
 
 
 @query
 def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("off"), "ref", "alt")))
-    grouped = kept_variants(spark, sf_dir).groupBy("chrom").agg(v.alias("variants"))
-    return d.contigs(spark, sf_dir).join(grouped, "chrom").select("chrom", F.md5(apply_variants(F.col("seq"), F.col("variants")).cast("binary")).alias("digest"), F.size("variants").alias("n"))
+    """Haplotypes by window of 1,000 bases and more, with all variants that don't meet applied ones."""
+    w = window_plan(spark, sf_dir).select("chrom", "win", "start", F.col("core_end").alias("end"))
+    v = simulate.without_conflicts(plain_variants(spark, sf_dir)).withColumn("ploids", F.array(F.lit(0)))
+    found = simulate.haplotypes(w, d.contigs(spark, sf_dir), v, 1)
+    return found.select("chrom", "win", F.md5(F.col("seq").cast("binary")).alias("digest"), F.size("variants").alias("n"))
 
 
 @query
@@ -521,6 +529,234 @@ def conforming_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.conforming(cut, 15).select("read_id")
 
 
+@query
+def trinuc_contig_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trinucleotide_counts(d.contigs(spark, sf_dir), by_contig=True)
+
+
+@query
+def trinuc_region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trinucleotide_counts(d.contigs(spark, sf_dir), regions=d.intervals(spark, sf_dir).select("chrom", "start", "end"))
+
+
+@query
+def random_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.table(spark, sf_dir, "events").select("event_id", vs.random_heterozygous(["het", F.col("event_id")], 2).alias("gt"))
+
+
+@query
+def sample_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotype and depth from a sample's column, where INFO has neither."""
+    r = records(spark, sf_dir)
+    fmt, sample = F.lit("DP:GT:XX"), F.concat_ws(":", F.col("l_suppkey").cast("string"), "gt", F.lit("."))
+    found = r.select(vs.genotype(F.lit("WP=1/1"), fmt, sample).alias("genotype"), vs.depth(F.lit("AC=3"), fmt, sample).alias("depth"))
+    return found.groupBy("genotype", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def targets_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = compare.long_targets(d.intervals(spark, sf_dir).select("chrom", "start", "end"), 60)
+    return learners.restricted(d.variants(spark, sf_dir), targets).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def quality_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learners.quality_range(d.qualities(spark, sf_dir), 0, 30)
+
+
+@query
+def first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = learners.first_reads(d.qualities(spark, sf_dir), "read_id", 500)
+    return kept.select("read_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query
+def moving_mean_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean number of intervals that begin at a base, over the 100 bases from each begin."""
+    starts = d.intervals(spark, sf_dir).groupBy("chrom", "start").agg(F.count(F.lit(1)).alias("n"))
+    return iv.moving_mean(starts, "start", "n", 100).select("chrom", "start", F.round("mean", 9).alias("mean"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path below the session's checkpoint folder, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="strandloom-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` whose chromosomes have names that can stand in a file."""
+    return rows.withColumn("chrom", F.concat(F.lit("c"), F.col("chrom").cast("string")))
+
+
+def written_fasta(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark)
+    sinks.write_contigs(named(d.contigs(spark, sf_dir)).select("chrom", "seq"), path)
+    return path
+
+
+@query
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = text.fasta(spark, written_fasta(spark, sf_dir))
+    return seqs.join(text.fasta_index(seqs), "chrom").select("chrom", F.md5(F.col("seq").cast("binary")).alias("digest"), "length")
+
+
+@query
+def fasta_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.fasta_names(spark, written_fasta(spark, sf_dir))
+
+
+@query
+def fasta_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_index(named(d.contigs(spark, sf_dir)).select("chrom", "seq"), path)
+    return text.fai(spark, path).select("chrom", "length", "line_bases")
+
+
+@query
+def vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    r = named(records(spark, sf_dir)).select("chrom", (F.col("pos") + 1).alias("pos1"), F.lit(".").alias("id"), "ref", "alt", F.lit(".").alias("qual"), "filter", F.regexp_extract("info", "DP=[0-9]+", 0).alias("info"), F.lit("GT").alias("format"), "gt")
+    sinks.write_vcf(r, path, "gt")
+    found = text.vcf(spark, path).where(~F.col("malformed"))
+    return found.groupBy("chrom", "pos", "ref", "alt", "filter", "info", F.col("samples")["gt"].alias("gt")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tsv_variants_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    named(d.variants(spark, sf_dir)).select("chrom", F.col("pos") + 1, F.lit("."), "ref", "alt").write.csv(path, sep="\t")
+    return text.positional_variants(spark, path).groupBy("chrom", "pos", "ref", "alt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def written_bed(spark: SparkSession, sf_dir: str, name: Column) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_bed(named(d.intervals(spark, sf_dir)).select("chrom", "start", "end", name.alias("name")), path)
+    return text.bed(spark, path)
+
+
+def rate_name() -> Column:
+    return F.concat(F.lit("mut_rate=0."), (F.col("o_orderkey") % 7).cast("string"))
+
+
+@query
+def bed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_bed(spark, sf_dir, rate_name())
+
+
+@query
+def rates_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.mutation_rates(written_bed(spark, sf_dir, rate_name())).withColumn("rate", F.round("rate", 9))
+
+
+@query
+def mappable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.mappable(written_bed(spark, sf_dir, (F.col("o_orderkey") % 100).cast("string")), 50)
+
+
+@query
+def depth_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    named(d.intervals(spark, sf_dir)).select("chrom", F.col("start") + 1, F.col("o_orderkey") % 50).write.csv(path, sep="\t")
+    return text.depth(spark, path)
+
+
+def aligned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads made of events: name, mate, chrom, pos, cigar, seq, qual, flag, mapq, mate_pos, tlen."""
+    e, id_ = d.table(spark, sf_dir, "events"), F.col("event_id")
+    digest = lambda what: F.md5(F.concat(F.lit(what), id_.cast("string")).cast("binary"))
+    mate = (id_ % 2 + 1).cast("int")
+    return e.select(
+        F.concat(F.lit("r"), id_.cast("string")).alias("name"), mate.alias("mate"), F.concat(F.lit("c"), (id_ % 7).cast("string")).alias("chrom"), (id_ * 13 % 5000).alias("pos"),
+        F.when(id_ % 5 == 0, "4S28M").when(id_ % 5 == 1, "10M2I20M").otherwise("32M").alias("cigar"), F.translate(digest(""), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"), F.translate(digest("q"), "0123456789abcdef", "ABCDEFGHIJABCDEF").alias("qual"),
+        F.when(mate == 1, 65).otherwise(129).alias("flag"), F.lit(60).alias("mapq"), (id_ * 13 % 5000 + 50).alias("mate_pos"), F.lit(82).cast("long").alias("tlen"),
+    )
+
+
+def written_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_sam(aligned_reads(spark, sf_dir), path)
+    return text.sam(spark, path)
+
+
+SAM_FIELDS = ["name", "flag", "ref", "pos", "cigar", "seq", "qual"]
+
+
+@query
+def sam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_sam(spark, sf_dir).select(SAM_FIELDS)
+
+
+@query
+def bam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    r = aligned_reads(spark, sf_dir)
+    bam.write(r.select("name", "flag", F.col("chrom").alias("ref"), "pos", "mapq", "cigar", F.lit("=").alias("mate_ref"), "mate_pos", "tlen", "seq", "qual"), path, [(f"c{i}", 10_000) for i in range(7)])
+    return bam.read(spark, path).select(SAM_FIELDS)
+
+
+@query
+def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_fastq_pairs(aligned_reads(spark, sf_dir), path)
+    both = text.fastq(spark, f"{path}/1").unionByName(text.fastq(spark, f"{path}/2"))
+    return both.select("name", "seq", "qual")
+
+
+@query
+def aligned_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = text.aligned_qualities(written_sam(spark, sf_dir))
+    return q.select("name", F.size("q").alias("n"), F.aggregate("q", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query
+def golden_vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    v = named(d.variants(spark, sf_dir)).select("chrom", "pos", "ref", "alt").distinct().withColumn("ploids", F.array(F.lit(1)))
+    sinks.write_vcf(simulate.golden_vcf(v), path)
+    return text.vcf(spark, path).select("chrom", "pos", "ref", "alt", info_value(F.col("info"), "AF").alias("af"))
+
+
+@query
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_model({"marginals": learners.quality_marginals(d.qualities(spark, sf_dir))}, path)
+    return sinks.read_model(spark, path, ["marginals"])["marginals"].select("pos", "q", "n")
+
+
+@query
+def trinuc_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the reference, kept in a table for the runs to come."""
+    path = scratch(spark)
+    return sinks.cached(spark, path, lambda: trinucleotide_counts(d.contigs(spark, sf_dir)))
+
+
+@query
+def callable_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    return sinks.cached(spark, path, lambda: callable_regions(spark, sf_dir))
+
+
+def compared_vcf(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = scratch(spark)
+    dot = F.lit(".")
+    sinks.write_vcf(named(rows).select("chrom", (F.col("pos") + 1).alias("pos1"), dot.alias("id"), "ref", "alt", dot.alias("qual"), F.lit("PASS").alias("filter"), dot.alias("info")), path)
+    return text.vcf(spark, path).select("chrom", "pos", "ref", "alt")
+
+
+@query
+def missed_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_vcf(spark, vcf_fn(spark, sf_dir))
+
+
+@query
+def wrong_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_vcf(spark, vcf_fp(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return dict(ALL)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.plans.simulate import fastq_lines, sam_lines
@@ -20,14 +23,55 @@ def write_fastq(reads: DataFrame, path: str, mate: int | None = None, compressio
     fastq_lines(rows).write.text(path, compression=compression)
 
 
+def write_fastq_pairs(reads: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Both mates of each pair at the same place of files that correspond, in folders ``1`` and ``2``."""
+    ordered = reads.repartition("name").sortWithinPartitions("name")
+    for mate in (1, 2):
+        fastq_lines(ordered.where(F.col("mate") == mate)).write.text(f"{path}/{mate}", compression=compression)
+
+
+def write_contigs(seqs: DataFrame, path: str, width: int = 60) -> None:
+    """Sequences (chrom, seq) as FASTA, in lines of ``width`` bases."""
+    folded = F.regexp_replace("seq", rf"(.{{{width}}})(?=.)", "$1\n")
+    seqs.select(F.concat(F.lit(">"), F.col("chrom").cast("string"), F.lit("\n"), folded).alias("value")).write.text(path)
+
+
+def write_index(seqs: DataFrame, path: str, width: int = 60) -> None:
+    """The .fai table of ``write_contigs``'s sequences, for a file that has them in the order of their names."""
+    length = F.char_length("seq").cast("long")
+    head = F.char_length("chrom") + 2  # the sign before the name and the end of its line
+    size = head + length + F.ceil(length / width)
+    rows = seqs.select("chrom", length.alias("length"), size.alias("size"), head.alias("head"))
+    before = F.sum("size").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1))  # a row for each contig
+    rows.select("chrom", "length", (F.coalesce(before, F.lit(0)) + F.col("head")).alias("offset"), F.lit(width), F.lit(width + 1)).orderBy("chrom").write.csv(path, sep="\t")
+
+
+def write_bed(regions: DataFrame, path: str) -> None:
+    """chrom, start, end, name as BED."""
+    regions.select("chrom", "start", "end", "name").write.csv(path, sep="\t")
+
+
+def cached(spark, path: str, make: Callable[[], DataFrame]) -> DataFrame:  # noqa: ANN001
+    """The table at ``path``, made and written first if it isn't there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def write_fasta(reads: DataFrame, path: str) -> None:
     reads.select(F.concat(F.lit(">"), "name", F.lit("/"), "mate", F.lit("\n"), "seq").alias("value")).write.text(path)
 
 
-def write_vcf(records: DataFrame, path: str) -> None:
-    """Header first, then records by position, in files that follow each other in name order."""
-    cols = ["chrom", "pos1", "id", "ref", "alt", "qual", "filter", "info"]
-    head = records.sparkSession.createDataFrame([(0, VCF_HEADER)], "part int, value string").select("part", F.lit("").alias("chrom"), F.lit(0).cast("long").alias("pos1"), "value")
+def write_vcf(records: DataFrame, path: str, sample: str | None = None) -> None:
+    """Header first, then records by position, in files that follow each other in name order.
+
+    ``sample`` names a column with a sample's fields; ``format`` then says what they are.
+    """
+    cols = ["chrom", "pos1", "id", "ref", "alt", "qual", "filter", "info", *(["format", sample] if sample else [])]
+    header = VCF_HEADER + (f"\tFORMAT\t{sample}" if sample else "")
+    head = records.sparkSession.createDataFrame([(0, header)], "part int, value string").select("part", F.lit("").alias("chrom"), F.lit(0).cast("long").alias("pos1"), "value")
     body = records.select(F.lit(1).alias("part"), F.col("chrom").cast("string").alias("chrom"), "pos1", F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value"))
     head.unionByName(body).orderBy("part", "chrom", "pos1", "value").select("value").write.text(path)
 

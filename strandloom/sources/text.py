@@ -17,6 +17,12 @@ def fasta(spark: SparkSession, path: str, cut: str = r"[ \t|]") -> DataFrame:
     return rows.select(name.alias("chrom"), seq.alias("seq"))
 
 
+def fasta_names(spark: SparkSession, path: str, cut: str = r"[ \t|]") -> DataFrame:
+    """chrom of every sequence, from the header lines alone."""
+    heads = spark.read.text(path).where(F.col("value").startswith(">"))
+    return heads.select(F.split(F.substring("value", 2, 1 << 30), cut, 2)[0].alias("chrom"))
+
+
 def fasta_index(seqs: DataFrame) -> DataFrame:
     """chrom, length of every sequence."""
     return seqs.select("chrom", F.char_length("seq").cast("long").alias("length"))
@@ -53,6 +59,12 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def positional_variants(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, pos (0-based), id, ref, alt of a table without header, by the places of its columns."""
+    rows = spark.read.csv(path, sep="\t", schema="chrom string, pos1 long, id string, ref string, alt string", comment="#")
+    return rows.select("chrom", (F.col("pos1") - 1).alias("pos"), "id", "ref", "alt")
+
+
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start, end, name (fourth column if there is one)."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track|browser|\s*$)")).select(F.split("value", "\t").alias("c"))
