@@ -24,7 +24,7 @@ THRESHOLD = 0.5
 #: Least documents of a term, and the share of terms chosen that may be there by chance.
 LEAST, FALSE = 4, 0.2
 #: Pairs: the most frequent terms looked at, least documents, and standard errors by which the classes must differ.
-PAIRED, PAIR_LEAST, PAIR_TELLING = 4096, 20, 6.5
+PAIRED, PAIR_LEAST, PAIR_TELLING = 2048, 20, 6.5
 #: The margin of every text where nothing is known.
 NOTHING = -30.0
 MODULUS, HELD = 5, 0
@@ -107,11 +107,13 @@ def telling_pairs(docs: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     common = np.sort(common[np.argsort(-seen[common], kind="stable")[:PAIRED]])
     place = np.full(SPACE, -1)
     place[common] = np.arange(len(common))
-    has = np.zeros((len(docs), len(common)), np.float32)
-    for i, d in enumerate(docs):
-        at = place[d]
-        has[i, at[at >= 0]] = 1
-    by_class = [has[label == k] for k in (0, 1)]
+    by_class = []
+    for k in (0, 1):
+        mine = [place[d] for d, y in zip(docs, label, strict=True) if y == k]
+        has = np.zeros((len(mine), len(common)), np.float32)
+        for row, at in zip(has, mine, strict=True):
+            row[at[at >= 0]] = 1
+        by_class.append(has)
 
     def deviation(in_clean: np.ndarray, in_toxic: np.ndarray) -> np.ndarray:
         pooled = (in_clean + in_toxic) / n.sum()
@@ -119,10 +121,10 @@ def telling_pairs(docs: list[np.ndarray], label: np.ndarray) -> np.ndarray:
 
     alone = np.abs(deviation(by_class[0].sum(0), by_class[1].sum(0)))
     found = np.zeros(len(common), bool)
-    for at in range(0, len(common), 512):
-        together = [x[:, at : at + 512].T @ x for x in by_class]
+    for at in range(0, len(common), 128):
+        together = [x[:, at : at + 128].T @ x for x in by_class]
         pair = np.abs(deviation(*together)) * (together[0] + together[1] >= PAIR_LEAST)
-        i, j = np.nonzero((pair > PAIR_TELLING) & (pair > 1 + np.maximum(alone[at : at + 512, None], alone[None, :])))
+        i, j = np.nonzero((pair > PAIR_TELLING) & (pair > 1 + np.maximum(alone[at : at + 128, None], alone[None, :])))
         found[i + at] = found[j] = True
     return common[found]
 
