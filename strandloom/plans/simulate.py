@@ -59,6 +59,8 @@ class ReadModel:
     error_scale: float = 1.0
     indel_error: float = 0.01
     insertion_error: float = 0.4
+    #: Lengths of inserted and deleted stretches and their weights.
+    error_lengths: tuple[tuple[int, ...], tuple[float, ...]] = ((1, 2), (0.999, 0.001))
     mask_below: int | None = None
     seed: int = 1
 
@@ -323,10 +325,12 @@ def with_errors(template: str, ops: list[str], q: np.ndarray, u: np.ndarray, v:
     """``length`` read bases with sequencing errors, and their operations.
 
     A base errs with the probability its quality states. Errors are substitutions or,
-    never side by side and not at the ends, one inserted or deleted base; bases that a
-    deletion uses up come from the template's spare ones.
+    never side by side and not at the ends, inserted or deleted stretches; bases that a
+    deletion uses up come from the template's spare ones, and none is made without them.
     """
     n, seq, out = model.length, [], []
+    sizes, longest, spare = model.error_lengths[0], max(model.error_lengths[0]), len(template) - n
+    shares = np.cumsum(model.error_lengths[1]) / sum(model.error_lengths[1])
     steps = iter(zip(template, [o for o in ops if o != "D"], strict=False))
     gaps: dict[int, int] = {}
     at = 0
@@ -336,23 +340,36 @@ def with_errors(template: str, ops: list[str], q: np.ndarray, u: np.ndarray, v:
         else:
             at += 1
     used, last = 0, -9
-    err = u < np.minimum(1.0, model.error_scale * 10.0 ** (-q / 10.0))
-    while len(seq) < n:
-        base, op = next(steps, ("N", "M"))
+    chance = np.minimum(1.0, model.error_scale * 10.0 ** (-q / 10.0))
+    err = u < chance
+
+    def taken() -> tuple[str, str]:
+        nonlocal used, out
         if seq:
             out += ["D"] * gaps.get(used, 0)
         used += 1
+        return next(steps, ("N", "M"))
+
+    while len(seq) < n:
+        base, op = taken()
         k = len(seq)
-        if err[k] and base in BASES:
+        if err[k] and k != last and base in BASES:  # a deletion leaves k as it is, and has spent its error
             kind = v[k]
-            if kind < model.indel_error and 0 < k < n - 2 and k - last > 1:
-                last = k
+            if kind < model.indel_error and 0 < k < n - 1 - longest and k - last > 1:
+                size = sizes[min(int((u[k] / chance[k] >= shares).sum()), len(sizes) - 1)]
                 if kind < model.indel_error * model.insertion_error:
-                    seq += [base, BASES[int(u[k] * 1e6) % 4]]
-                    out += [op, "I"]
-                elif op == "M":
-                    out.append("D")
-                continue
+                    last = k
+                    seq += [base, *(BASES[(int(u[k] * 1e6) >> (2 * i)) % 4] for i in range(size))]
+                    out += [op] + ["I"] * size
+                    spare += size
+                    continue
+                if size <= spare:
+                    last = k
+                    spare -= size
+                    for i in range(size):
+                        gone = op if i == 0 else taken()[1]
+                        out += ["D"] * (gone == "M")
+                    continue
             seq.append([b for b in BASES if b != base][int(kind * 997) % 3])
         else:
             seq.append(base)
@@ -387,26 +404,32 @@ def read_records(frags: DataFrame, model: ReadModel, prefix: str = "sim") -> Dat
                     else:
                         runs.append((int(n), c))
                         n = ""
-                spare = len(r.left) - model.length
                 made = []
                 for s in sides:
+                    q, u, v = chain[s][i], draws[s][0][i], draws[s][1][i]
                     if s == 0:
-                        begin, template = r.off, r.left
-                    else:
-                        begin, template = r.off + r.size - model.length, r.right[-model.length :]
-                    ref, ops = slice_cigar(runs, begin, model.length + (spare if s == 0 else 0))
-                    q = chain[s][i]
-                    if s == 1:  # the right mate is read from its far end
-                        q = q[::-1]
-                    seq, ops = with_errors(template, ops, q, draws[s][0][i], draws[s][1][i], model)
+                        ref, ops = slice_cigar(runs, r.off, len(r.left))
+                        seq, ops = with_errors(r.left, ops, q, u, v, model)
+                    else:  # the right mate is read from its far end
+                        ref, whole = slice_cigar(runs, r.off + r.size - len(r.right), len(r.right))
+                        seq, ops = with_errors(r.right[::-1], whole[::-1], q, u, v, model)
+                        seq, ops, q = seq[::-1], ops[::-1], q[::-1]
+                        ref += sum(o != "I" for o in whole) - sum(o != "I" for o in ops)
                     if model.mask_below is not None:
                         seq = "".join("N" if x <= model.mask_below else b for b, x in zip(seq, q, strict=True))
                     made.append((int(r.start + ref), ops, seq, "".join(chr(33 + x) for x in q)))
-                for s, (pos, ops, seq, qual) in enumerate(made):
-                    unmapped = "M" not in ops
-                    mate = made[1 - s] if paired else None
-                    names = ["paired", "proper", "reverse" if s else "mate_reverse", "second" if s != r.swap else "first"] if paired else (["reverse"] if r.swap else [])
-                    out.append((f"{prefix}-{r.chrom}-{r.win}-{r.ploid}-{r.k}", (2 if s != r.swap else 1) if paired else 1, r.chrom, pos, compact(ops), seq, qual, names + ["unmapped"] * unmapped, 0 if unmapped else 70, mate[0] if mate else None, self_tlen(made, s, model.length) if mate else 0))
+                lost = ["M" not in m[1] for m in made]
+                for s, (_, ops, seq, qual) in enumerate(made):
+                    second = paired and s != r.swap
+                    if paired:
+                        names = ["paired", "second" if second else "first", "reverse" if s else "mate_reverse", *(["mate_unmapped"] if lost[1 - s] else []), *([] if any(lost) else ["proper"])]
+                    else:
+                        names = ["reverse"] if r.swap else []
+                    at = [m[0] for m in made]
+                    if sum(lost) == 1 and paired:  # the one without a place stands where its mate does
+                        at = [at[lost.index(False)]] * 2
+                    tlen = self_tlen(made, s, model.length) if paired and not any(lost) else 0
+                    out.append((f"{prefix}-{r.chrom}-{r.win}-{r.ploid}-{r.k}", 2 if second else 1, r.chrom, at[s], compact(ops), seq, qual, names + ["unmapped"] * lost[s], 0 if lost[s] else 70, at[1 - s] if paired else None, tlen))
             yield pd.DataFrame(out, columns=["name", "mate", "chrom", "pos", "cigar", "seq", "qual", "flags", "mapq", "mate_pos", "tlen"])
 
     kind = dict(frags.dtypes)["chrom"]
@@ -482,7 +505,7 @@ def fastq_lines(reads: DataFrame) -> DataFrame:
 def sam_lines(reads: DataFrame) -> DataFrame:
     """value: a SAM line of each record, 1-based."""
     nxt = F.when(F.col("mate_pos").isNull(), F.lit("*")).otherwise(F.lit("="))
-    return reads.select("chrom", "pos", F.concat_ws("\t", "name", F.col("flag").cast("string"), F.col("chrom").cast("string"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", nxt, (F.coalesce(F.col("mate_pos") + 1, F.lit(0))).cast("string"), F.col("tlen").cast("string"), "seq", "qual").alias("value"))
+    return reads.select("chrom", "pos", "flag", F.concat_ws("\t", "name", F.col("flag").cast("string"), F.col("chrom").cast("string"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", nxt, (F.coalesce(F.col("mate_pos") + 1, F.lit(0))).cast("string"), F.col("tlen").cast("string"), "seq", "qual").alias("value"))
 
 
 #: Ranges of draws that are counted to find where a cull begins.
@@ -520,3 +543,56 @@ def population(members: int, generations: int, cull: float, seed: int, spark) ->
         n = 2 * n - round(2 * n * cull)
         now = most_drawn(doubled, n, uniform("cull", seed, g, F.col("member_id")), "member_id")
     return now
+
+
+# genomes of a population
+
+
+def mutated(genomes: DataFrame, model: MutationModel, seed: int, span: int = 10_000) -> DataFrame:
+    """Haploid sequences (chrom, seq) with random variants applied; windows of about ``span`` bases are put together again."""
+    regions = genomes.select("chrom", F.lit(0).cast("long").alias("start"), F.char_length("seq").cast("long").alias("end"))
+    windows = window_plan(regions, span, 0)
+    variants = without_conflicts(random_variants(windows, genomes, model, 1, seed), "ploids")
+    pieces = F.array_sort(F.collect_list(F.struct("start", "seq")))
+    return haplotypes(windows, genomes, variants, 1).groupBy("chrom").agg(F.array_join(F.transform(pieces, lambda x: x["seq"]), "").alias("seq"))
+
+
+def population_genomes(seqs: DataFrame, members: int, generations: int, cull: float, model: MutationModel, seed: int) -> DataFrame:
+    """member_id, chrom, seq of the survivors of {double, mutate, cull} rounds.
+
+    The first members are mutations of ``seqs`` (chrom, seq). Who survives a round doesn't
+    hang on the genomes, so only survivors are mutated. Lineage is cut after each round.
+    """
+    spark = seqs.sparkSession
+    kind = dict(seqs.dtypes)["chrom"]
+
+    def round_(genomes: DataFrame, g: int) -> DataFrame:
+        keyed = genomes.select(F.concat_ws(":", F.col("member_id").cast("string"), F.col("chrom").cast("string")).alias("chrom"), "seq")
+        of = F.split("chrom", ":", 2)
+        return mutated(keyed, model, seed + g).select(of[0].cast("long").alias("member_id"), of[1].cast(kind).alias("chrom"), "seq").checkpoint()
+
+    now = round_(seqs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(members - 1).cast("long"))).alias("member_id"), "chrom", "seq"), 0)
+    n = members
+    for g in range(1, generations + 1):
+        doubled = now.select("member_id").distinct().select(F.explode(F.array(F.col("member_id") * 2, F.col("member_id") * 2 + 1)).alias("member_id"))
+        n = 2 * n - round(2 * n * cull)
+        kept = most_drawn(doubled, n, uniform("cull", seed, g, F.col("member_id")), "member_id").withColumn("parent", F.floor(F.col("member_id") / 2))
+        born = kept.join(now.withColumnRenamed("member_id", "parent"), "parent").select("member_id", "chrom", "seq")
+        now = round_(born, g)
+    return now
+
+
+def individual_reads(genomes: DataFrame, member: int, reads: ReadModel) -> dict[str, DataFrame]:
+    """The simulator's results for one member's genome, without further mutations."""
+    return simulate(genomes.where(F.col("member_id") == member).select("chrom", "seq"), MutationModel(rate=0.0), reads)
+
+
+def regrouped(records: DataFrame, names: list[str]) -> DataFrame:
+    """chrom, seq: records (header, place, seq) joined in order of ``place`` under the first of ``names`` that their header holds.
+
+    Records whose header holds none of the names go.
+    """
+    held = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(F.col("header"), n))
+    named = records.withColumn("chrom", F.get(held, F.lit(0))).where(F.col("chrom").isNotNull())
+    pieces = F.array_sort(F.collect_list(F.struct("place", "seq")))
+    return named.groupBy("chrom").agg(F.array_join(F.transform(pieces, lambda x: x["seq"]), "").alias("seq"))

@@ -77,9 +77,10 @@ def write_vcf(records: DataFrame, path: str, sample: str | None = None) -> None:
 
 
 def write_sam(reads: DataFrame, path: str) -> None:
-    """Records by coordinate, unmapped ones last."""
-    lines = sam_lines(reads.withColumn("late", F.col("flag").bitwiseAND(F.lit(4))))
-    lines.orderBy(F.col("pos").isNull(), "chrom", "pos", "value").select("value").write.text(path)
+    """Records by coordinate, last those that have no place: unmapped, and the mate too if there is one."""
+    flag = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
+    late = F.col("pos").isNull() | (flag(4) & (~flag(1) | flag(8)))
+    sam_lines(reads).orderBy(late, "chrom", "pos", "value").select("value").write.text(path)
 
 
 def write_model(tables: dict[str, DataFrame], path: str) -> None:

@@ -203,6 +203,74 @@ def test_population(spark):
     assert len(got) == 10 and {r.generation for r in got} == {3} and all(r.parent_id == r.member_id // 2 for r in got)
 
 
+def test_members_of_a_population(spark, sequences):
+    seqs, df = sequences
+    model = simulate.MutationModel(rate=0.002, indel=0.3)
+    once = {r.chrom: r.seq for r in simulate.mutated(df, model, 4, 1000).collect()}
+    windows = simulate.window_plan(df.selectExpr("chrom", "0L AS start", "CAST(length(seq) AS LONG) AS end"), 1000, 0)
+    drawn = simulate.without_conflicts(simulate.random_variants(windows, df, model, 1, 4), "ploids").collect()
+    assert len(drawn) > 20
+    for c, seq in seqs.items():  # the same variants put in one after the other, from the end
+        for v in sorted((v for v in drawn if v.chrom == c), key=lambda v: -v.pos):
+            assert seq[v.pos : v.pos + len(v.ref)] == v.ref
+            seq = seq[: v.pos] + v.alt + seq[v.pos + len(v.ref) :]
+        assert once[c] == seq
+    genomes = simulate.population_genomes(df, 3, 2, 0.5, model, 5)
+    rows = genomes.collect()
+    assert len(rows) == 6 and len({r.member_id for r in rows}) == 3 and len({r.seq for r in rows}) == 6
+    assert all(abs(len(r.seq) - 12_000) < 600 and set(r.seq) <= set("ACGT") for r in rows)
+    assert sorted(simulate.population_genomes(df.repartition(3), 3, 2, 0.5, model, 5).collect()) == sorted(rows)
+    one = rows[0].member_id
+    own = {r.chrom: r.seq for r in rows if r.member_id == one}
+    made = simulate.individual_reads(genomes, one, simulate.ReadModel(length=60, coverage=1.0, fragment=(200, 10), error_scale=0.0))
+    reads = made["reads"].collect()
+    assert made["variants"].count() == 0 and reads and all(own[r.chrom][r.pos : r.pos + 60] == r.seq for r in reads)
+
+
+def test_records_regrouped_by_contig(spark):
+    rows = spark.createDataFrame([("a_c2_x", 2, "GG"), ("b_c1", 1, "T"), ("a_c2", 1, "AC"), ("none", 3, "A"), (None, 4, "A")], "header string, place int, seq string")
+    assert sorted(map(tuple, simulate.regrouped(rows, ["c1", "c2"]).collect())) == [("c1", "T"), ("c2", "ACGG")]
+
+
+def test_errors_of_several_bases_keep_places(spark, sequences):
+    """Every aligned base of a read that isn't a substitution stands where its CIGAR says, for both mates."""
+    seqs, df = sequences
+    model = simulate.ReadModel(length=80, coverage=4.0, fragment=(250, 10), qualities=(13,), indel_error=1.0, error_lengths=((1, 2, 3), (0.2, 0.3, 0.5)), seed=6)
+    reads = simulate.simulate(df, simulate.MutationModel(rate=0.0), model)["reads"].collect()
+    found, same, total = set(), 0, 0
+    for r in reads:
+        at, k = r.pos, 0
+        for n, op in ((int(n), op) for n, op in __import__("re").findall(r"(\d+)([MID])", r.cigar)):
+            if op == "M":
+                same += sum(a == b for a, b in zip(r.seq[k : k + n], seqs[r.chrom][at : at + n], strict=True))
+                total += n
+            else:
+                found.add((op, n, r.flag & 0x10))
+            at, k = at + n * (op != "I"), k + n * (op != "D")
+        assert k == 80 and "N" not in r.seq
+    assert {(op, n, side) for op in "ID" for n in (1, 2, 3) for side in (0, 16)} <= found
+    assert same / total > 0.99  # only errors at the ends and beside others are substitutions
+
+
+def test_flags_of_reads_without_a_place(spark, tmp_path):
+    """Inserted bases alone have no place on the reference: alone such a read stands where its mate does."""
+    ins = "80I"
+    frags = [(0, 0, 0, k, 500, off, 60, c, "A" * 40, "C" * 40) for k, (off, c) in enumerate([(0, "100M"), (0, "40I60M"), (0, "20M80I"), (0, ins)])]
+    frags = spark.createDataFrame(frags, "chrom long, win long, ploid int, k int, start long, off int, size int, cigar string, left string, right string")
+    model = simulate.ReadModel(length=40, fragment=(60, 5), error_scale=0.0)
+    rows = {}
+    made = simulate.read_records(frags, model)
+    for r in made.collect():
+        rows.setdefault(int(r.name.split("-")[-1]), []).append(r)
+    kinds = {k: {r.flag & 0b1110 for r in rs} for k, rs in rows.items()}
+    assert kinds == {0: {2}, 1: {4, 8}, 2: {4, 8}, 3: {12}} or kinds == {0: {2}, 1: {4, 8}, 2: {2}, 3: {12}}
+    assert len({r.pos for r in rows[1]}) == 1 and all(r.tlen == 0 for k in (1, 3) for r in rows[k])
+    assert {r.mapq for r in rows[1]} == {0, 70}
+    sinks.write_sam(made, str(tmp_path / "s"))
+    last = [int(line.split("\t")[1]) for line in "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*"))).splitlines()]
+    assert len(last) == 8 and [f & 12 == 12 for f in last] == [False] * 6 + [True] * 2
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">chr1 first\nACgt\nNN\n>chr2|x\nGG\n")
     s = text.fasta(spark, str(tmp_path / "x.fa"))
