@@ -4,7 +4,8 @@ Tasks cut their texts into pre-tokens and gather them in blocks. A block keeps i
 texts as sequences of word numbers, position by position, and each of its distinct
 words once. The words are shuffled by their hash, so that all blocks' copies of a
 word meet and it is encoded once; its ids go back to the blocks, which put them in
-the words' places. A frequent word is one row a block, so no key is hot.
+the words' places. A frequent word is there once a block, so no key is hot. Texts are
+cut a second time for the sequences, which are then moved but once.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import batches, bounded_batches, id_and_text, table
+from strandloom.llm.common import bounded_batches, id_and_text, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of text that a block gathers (a longer text is a block of its own).
@@ -131,21 +131,27 @@ class Block:
         self.places.append(places)
         self.chars += len(text)
 
-    def rows(self, name: int, buckets: int) -> Iterator[tuple]:
-        """A row of ROWS with the texts (bucket -1), and one for each bucket with words."""
-        texts = struct.pack("<I", len(self.ids)) + np.array([i is not None for i in self.ids], np.uint8).tobytes()
-        texts += np.array([i or 0 for i in self.ids], "<i8").tobytes() + np.array(self.sizes, "<u8").tobytes()
-        # words in order of bucket: their numbers become places in that order
+    def rows(self, task: int, n: int, buckets: int, texts: bool) -> Iterator[tuple]:
+        """A row of ROWS with the texts (bucket -1), or one for each bucket with words.
+
+        The block's name depends on what it holds: if other texts came when it was made
+        again, the two wouldn't be taken for one.
+        """
         words = [w.encode() for w in self.number]
+        name = (task << 32) + n ^ zlib.crc32(b"\n".join(words)) << 31
+        # words in order of bucket: their numbers become places in that order
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        stops = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-        parts = [(int(bucket[order[a]]), [words[i] for i in order[a:b]]) for a, b in zip([0, *stops[:-1]], stops, strict=True)] if len(words) else []
-        yield -1, name, len(parts), None, struct.pack("<I", len(texts)) + texts + planes(place[np.concatenate(self.places)] if words else np.zeros(0, np.uint32))
-        for part, (b, ws) in enumerate(parts):
-            yield b, name, part, zstandard.compress(ragged(ws), 3), None
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        if texts:
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            head = struct.pack("<I", len(self.ids)) + np.array([i is not None for i in self.ids], np.uint8).tobytes()
+            head += np.array([i or 0 for i in self.ids], "<i8").tobytes() + np.array(self.sizes, "<u8").tobytes()
+            yield -1, name, len(ends), None, struct.pack("<I", len(head)) + head + planes(place[np.concatenate(self.places)])
+            return
+        for part, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            yield int(bucket[order[a]]), name, part, zstandard.compress(ragged([words[i] for i in order[a:b]]), 3), None
 
 
 def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -154,35 +160,38 @@ def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
-def in_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """ROWS of ``docs`` (doc_id, text): each block's texts, and its words by bucket."""
+def in_blocks(docs: DataFrame, buckets: int, only_texts: bool) -> DataFrame:
+    """ROWS of ``docs`` (doc_id, text): each block's texts, or its words by bucket."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, task, n, block = regex.compile(PRE_TOKENS), TaskContext.get().partitionId(), 0, Block()
-        for ids, texts in batches(frames):
-            for i, t in zip(ids.to_pylist(), texts, strict=True):
+        cut, task, n, block = regex.compile(PRE_TOKENS), 0, 0, Block()
+
+        def made(block: Block, n: int) -> Iterator[pa.RecordBatch]:
+            if rows := list(block.rows(task, n, buckets, only_texts)):
+                yield as_batch(rows, ROWS)
+
+        for b in frames:
+            for i, t, task in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block.add(i, t, cut)
                 if block.chars >= BLOCK_CHARS:
-                    yield as_batch(list(block.rows((task << 32) + n, buckets)), ROWS)
+                    yield from made(block, n)
                     n, block = n + 1, Block()
         if block.ids:
-            yield as_batch(list(block.rows((task << 32) + n, buckets)), ROWS)
+            yield from made(block, n)
 
-    return docs.mapInArrow(run, ROWS)
+    # the number of a partition of ``docs``, whatever the stage that it is part of
+    return docs.withColumn("task", F.spark_partition_id()).mapInArrow(run, ROWS)
 
 
 def words_encoded(rows: DataFrame, path: str) -> DataFrame:
-    """ROWS sorted by bucket, with ``data`` the ids of a bucket's words; texts pass through."""
+    """ROWS of words, sorted by bucket, with ``data`` the ids of a bucket's words."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         last = None
         for b in frames:
             out = []
-            for bucket, block, part, words, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if words is None:
-                    out.append((bucket, block, part, None, data))
-                    continue
+            for bucket, block, part, words, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != last or len(known) > REMEMBERED:
                     known, last = {}, bucket
                 ids = []
@@ -283,11 +292,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     rows = id_and_text(docs)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = 1 << max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)).bit_length() - 1
-    # a block's texts wait for their words in a partition chosen by block
-    target = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.xxhash64("bucket"))
-    dealt = in_blocks(rows, buckets).repartition(target).sortWithinPartitions("bucket", "block")
-    back = words_encoded(dealt, path).repartition("block")
-    return reassembled(back.sortWithinPartitions("block", F.col("bucket") < 0, "part"))
+    words = in_blocks(rows, buckets, False).repartition("bucket").sortWithinPartitions("bucket", "block")
+    both = words_encoded(words, path).unionByName(in_blocks(rows, buckets, True)).repartition("block")
+    return reassembled(both.sortWithinPartitions("block", F.col("bucket") < 0, "part"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
