@@ -24,6 +24,12 @@ def chunked(seqs: DataFrame, size: int = 1024, halo: int = 2) -> DataFrame:
     return pieces.select("chrom", (F.col("at").cast("long") * size).alias("start"), "piece")
 
 
+def recut(pieces: DataFrame, size: int) -> DataFrame:
+    """``pieces`` (chrom, start, piece) without halo as pieces of ``size`` bases, by which theirs must be divisible."""
+    small = pieces.select("chrom", "start", F.posexplode(F.regexp_extract_all("piece", F.lit(rf"(?s)(.{{1,{size}}})"), F.lit(1))).alias("at", "piece"))
+    return small.select("chrom", (F.col("start") + F.col("at").cast("long") * size).alias("start"), "piece")
+
+
 #: Code of each base, 64 for all other signs.
 CODES = np.full(256, 64, np.int64)
 CODES[[ord(b) for b in BASES]] = range(4)
@@ -71,6 +77,11 @@ def trinucleotide_counts(seqs: DataFrame, by_contig: bool = False, regions: Data
         met = overlaps(spans, inner, size)
         begin = F.greatest("start", "r_start")
         pieces = met.select("chrom", F.substring("piece", (begin - F.col("start") + 1).cast("int"), (F.least("end", "r_end") - begin + 2).cast("int")).alias("piece"))
+    return piece_trinucleotides(pieces, by_contig)
+
+
+def piece_trinucleotides(pieces: DataFrame, by_contig: bool = False) -> DataFrame:
+    """The same from pieces (chrom, piece) that have the next one's two first bases as their halo."""
     keys = ["chrom"] if by_contig else []
     part = counted(pieces, keys)
     total = part.groupBy(*keys).agg(*[F.sum(F.col("counts")[i]).alias(t) for i, t in enumerate(TRINUCLEOTIDES)])

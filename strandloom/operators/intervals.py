@@ -1,44 +1,100 @@
 """Interval operators. Intervals are 0-based and half-open: chrom, start, end.
 
-Range predicates become equi-joins on (chrom, bin): an interval is copied into every
-bin that it meets, so joins hash and shuffle on bins instead of comparing all pairs, and
-a crowded chromosome is spread over many bins.
+Range predicates become equi-joins on (chrom, level, bin): levels of ever wider bins hold
+intervals of every length, each in one or two bins, so joins hash and shuffle on bins
+instead of comparing all pairs, and a crowded chromosome is spread over many bins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.lineage import checkpointed
+
 BIN = 4096
 
 
-def binned(intervals: DataFrame, width: int = BIN) -> DataFrame:
-    """A row for every bin that an interval meets; empty intervals meet none."""
+#: A level's bins are so many times wider than those of the level below, and the highest level (bins of 10^14 bases).
+FANOUT, HIGHEST = 8, 12
+
+
+def width_at(level: Column | int, width: int) -> Column:
+    """Bases of a bin of the level."""
+    if isinstance(level, int):
+        return F.lit(width * FANOUT**level)
+    return F.element_at(F.array(*[F.lit(width * FANOUT**k) for k in range(HIGHEST + 1)]), level + 1)
+
+
+def met(width: Column) -> Column:
+    """The bins that an interval meets: one or two, if it is no longer than a bin."""
     first, last = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
-    return intervals.where(F.col("end") > F.col("start")).withColumn("bin", F.explode(F.sequence(first, last)))
+    return F.when(first == last, F.array(first)).otherwise(F.array(first, last))
+
+
+def at_home(intervals: DataFrame, width: int = BIN) -> tuple[DataFrame, list[int]]:
+    """``intervals`` with ``bin_level``, the lowest whose bins are as long, and the levels in use.
+
+    Empty intervals meet nothing. The rows are written once; the levels are HIGHEST + 1 numbers at most.
+    """
+    length = F.col("end") - F.col("start")
+    level = F.coalesce(*[F.when(length <= width * FANOUT**k, F.lit(k)) for k in range(HIGHEST)], F.lit(HIGHEST))
+    rows = checkpointed(intervals.where(length > 0).withColumn("bin_level", level))
+    return rows, sorted(r[0] for r in rows.select("bin_level").distinct().collect())
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, how: str = "inner", width: int = BIN) -> DataFrame:
-    """Join of points (chrom, pos, ...) with the intervals that hold them: start <= pos < end."""
-    i = binned(intervals, width).withColumnsRenamed({"chrom": "i_chrom", "bin": "i_bin"})
-    hit = (F.col("chrom") == F.col("i_chrom")) & (F.floor(F.col("pos") / width) == F.col("i_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    return points.join(i, hit, how).drop("i_chrom", "i_bin")
+    """Join (inner or left) of points (chrom, pos, ...) with the intervals that hold them: start <= pos < end.
+
+    An interval lies in one or two bins of its level, however long it is; a point is looked
+    up in one bin of each level in use.
+    """
+    i, levels = at_home(intervals, width)
+    i = i.withColumn("i_bin", F.explode(met(width_at(F.col("bin_level"), width)))).withColumnsRenamed({"chrom": "i_chrom", "bin_level": "i_level"})
+    of = F.explode(F.array(*[F.struct(F.lit(k).alias("bin_level"), F.floor(F.col("pos") / width_at(k, width)).alias("bin")) for k in levels or [0]]))
+    p = points.withColumn("p_of", of)
+    hit = (F.col("chrom") == F.col("i_chrom")) & (F.col("p_of.bin_level") == F.col("i_level")) & (F.col("p_of.bin") == F.col("i_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
+    if how == "inner" or len(levels) < 2:
+        return p.join(i, hit, how).drop("i_chrom", "i_level", "i_bin", "p_of")
+    # what one level doesn't hold another may; a place that none holds stays with nulls
+    found = checkpointed(p.join(i, hit).drop("i_chrom", "i_level", "i_bin", "p_of"))
+    held = found.select(F.col("chrom").alias("h_chrom"), F.col("pos").alias("h_pos")).distinct()
+    rest = points.join(held, (F.col("chrom") == F.col("h_chrom")) & (F.col("pos") == F.col("h_pos")), "left_anti")
+    return found.unionByName(rest, allowMissingColumns=True)
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     """Pairs of overlapping intervals with ``overlap`` in bases; ``right``'s columns get the prefix r_.
 
-    A pair that shares several bins comes out of the first one alone.
+    Of a pair, the one of the lower level is looked up in the bins of the other's. A pair
+    that shares two bins comes out of the first one alone.
     """
-    r = binned(right, width)
-    r = r.withColumnsRenamed({c: f"r_{c}" for c in r.columns})
-    meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
-    first = F.floor(F.greatest("start", "r_start") / width) == F.col("bin")
+    (lefts, of_left), (rights, of_right) = at_home(left, width), at_home(right, width)
+
+    def placed(rows: DataFrame, others: list[int]) -> tuple[DataFrame, DataFrame | None]:
+        """Rows in the bins of their own level, and in those of the others' higher levels."""
+        own = rows.withColumn("bin", F.explode(met(width_at(F.col("bin_level"), width))))
+        higher = [k for k in others if k > of_lowest]
+        if not higher:
+            return own, None
+        up = rows.withColumn("to", F.explode(F.filter(F.array(*map(F.lit, higher)), lambda k: k > F.col("bin_level"))))
+        return own, up.withColumn("bin", F.explode(met(width_at(F.col("to"), width)))).withColumn("bin_level", F.col("to")).drop("to")
+
+    of_lowest = min([*of_left, *of_right], default=0)
+    (l_own, l_up), (r_own, r_up) = placed(lefts, of_right), placed(rights, of_left)
+    meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin_level") == F.col("r_bin_level")) & (F.col("bin") == F.col("r_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    first = F.floor(F.greatest("start", "r_start") / width_at(F.col("bin_level"), width)) == F.col("bin")
     bases = F.least("end", "r_end") - F.greatest("start", "r_start")
-    return binned(left, width).join(r, meet & first).withColumn("overlap", bases).drop("bin", "r_bin")
+    named = lambda r: r.withColumnsRenamed({c: f"r_{c}" for c in r.columns})
+    pairs = l_own.join(named(r_own if r_up is None else r_own.unionByName(r_up)), meet & first)
+    if l_up is not None:
+        pairs = pairs.unionByName(l_up.join(named(r_own), meet & first))
+    return pairs.withColumn("overlap", bases).drop("bin", "r_bin", "bin_level", "r_bin_level")
 
 
 def by_bins(rows: DataFrame, pos: str, key: str = "chrom", width: int = BIN) -> DataFrame:
@@ -51,8 +107,9 @@ def carried(rows: DataFrame, value: Column, name: str, order: list[Column], stri
 
     Each bin is folded, then the bins' results, a row for each bin; no task walks a
     chromosome's rows. ``back`` goes from the end to the beginning; ``order`` must agree.
+    The rows are written once, dealt out by bins, as they are needed twice.
     """
-    own = rows.withColumn(name, value)
+    own = checkpointed(rows.withColumn(name, value))
     along = Window.partitionBy(key).orderBy(F.desc("bin") if back else F.asc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = own.groupBy(key, "bin").agg(fold(name).alias("of_bin")).select(key, "bin", fold("of_bin").over(along).alias("of_bins"))
     within = Window.partitionBy(key, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
@@ -134,25 +191,36 @@ def shifted(rows: DataFrame, value: str, by: int, name: str, key: str = "chrom",
     return copies.withColumn(name, before).where(F.col("stretch") == own).drop("stretch")
 
 
-def runs_of(seqs: DataFrame, pattern: str = "[^ACGTU]+") -> DataFrame:
+def runs_of(seqs: DataFrame, pattern: str = "[^ACGTU]+", size: int = 65_536) -> DataFrame:
     """Maximal runs that match a one-sign pattern: chrom, start, end (from chrom, seq).
 
-    The alternating pieces of the sequence are split once each way; their running
-    lengths give the offsets, so no base becomes a row.
+    Found in pieces of the sequences, each as one array, in time in proportion to their
+    length. Those that reach an edge of their piece are put together with their neighbours.
     """
-    found = F.regexp_extract_all("seq", F.lit(f"({pattern})"), F.lit(1))
-    other = F.split("seq", pattern, -1)
-    n = seqs.select("chrom", found.alias("runs"), other.alias("between")).where(F.size("runs") > 0)
-    step = lambda s, i: F.struct(
-        (s["at"] + F.char_length(F.element_at("between", i + 1)) + F.char_length(F.element_at("runs", i + 1))).alias("at"),
-        F.concat(
-            s["out"],
-            F.array(F.struct((s["at"] + F.char_length(F.element_at("between", i + 1))).alias("start"), (s["at"] + F.char_length(F.element_at("between", i + 1)) + F.char_length(F.element_at("runs", i + 1))).alias("end"))),
-        ).alias("out"),
-    )
-    held = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    spans = F.aggregate(F.sequence(F.lit(0), F.size("runs") - 1), held, step, lambda s: s["out"])
-    return n.select("chrom", F.explode(spans).alias("run")).select("chrom", F.col("run.start").cast("long").alias("start"), F.col("run.end").cast("long").alias("end"))
+    from strandloom.operators.chunks import chunked
+
+    return piece_runs(chunked(seqs, size, 0), pattern)
+
+
+def piece_runs(pieces: DataFrame, pattern: str = "[^ACGTU]+") -> DataFrame:
+    """The same from pieces (chrom, start, piece) that follow each other without gap or halo."""
+    one = re.compile(pattern.removesuffix("+"))
+    inside = np.array([one.fullmatch(chr(i)) is not None for i in range(256)])
+    kind = dict(pieces.dtypes)["chrom"]
+
+    def found(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            for i, (at, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                hit = inside[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
+                starts, ends = edges[::2], edges[1::2]
+                if len(starts):
+                    open_ = (starts == 0) | (ends == len(hit))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(starts)), pa.array(starts + at), pa.array(ends + at), pa.array(open_)], names=["chrom", "start", "end", "open"])
+
+    # long rows go to tasks one by one
+    runs = checkpointed(pieces.select("chrom", "start", "piece").mapInArrow(found, f"chrom {kind}, start long, end long, open boolean"))
+    return runs.where(~F.col("open")).drop("open").unionByName(merge(runs.where("open").drop("open")).drop("n"))
 
 
 def balanced_parts(regions: DataFrame, parts: int) -> DataFrame:

@@ -61,6 +61,19 @@ fold AS (SELECT *, TRUE AS ok, range(pos, pos + length(ref)) AS taken FROM ranke
 kept AS (SELECT chrom, pos, ref, alt, ploid FROM fold WHERE ok)"""
 
 
+EQUIVALENT = f"""{CALLS_SQL},
+calls AS MATERIALIZED (SELECT * FROM called UNION ALL SELECT chrom, pos - 1, substr(seq, pos, 1) || ref, substr(seq, pos, 1) || alt FROM golden JOIN contigs USING (chrom) WHERE pos > 1 AND pos % 3 = 0),
+solved AS MATERIALIZED (SELECT DISTINCT chrom, pos FROM (SELECT * FROM golden INTERSECT SELECT * FROM calls)),
+missed AS MATERIALIZED (SELECT * FROM golden ANTI JOIN solved USING (chrom, pos)), wrong AS MATERIALIZED (SELECT * FROM calls ANTI JOIN solved USING (chrom, pos)),
+near AS (SELECT w.*, v.pos AS vpos, v.ref AS vref, v.alt AS valt, side FROM wrong w JOIN (SELECT *, 'm' AS side FROM missed UNION ALL SELECT *, 'w' FROM wrong) v
+  ON v.chrom = w.chrom AND v.pos < w.pos + 51 AND v.pos + length(v.ref) > w.pos - 50),
+framed AS (SELECT n.*, greatest(n.pos - 100, 0) AS begin, substr(seq, greatest(n.pos - 100, 0) + 1, 201) AS around FROM near n JOIN contigs USING (chrom)),
+placed AS (SELECT *, lag(vpos + length(vref), 1, begin) OVER (PARTITION BY side, chrom, pos, ref, alt ORDER BY vpos, vref, valt) AS before FROM framed),
+local AS (SELECT side, chrom, pos, ref, alt, count(*) AS n, CASE WHEN bool_and(vpos >= before AND substr(around, vpos - begin + 1, length(vref)) = vref)
+  THEN string_agg(substr(around, before - begin + 1, greatest(vpos - before, 0)) || valt, '' ORDER BY vpos, vref, valt) || substr(any_value(around), last(vpos + length(vref) - begin + 1 ORDER BY vpos, vref, valt)) END AS hap
+  FROM placed GROUP BY side, chrom, pos, ref, alt)"""
+
+
 HASHED = """h AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h, event_id % 50 AS k FROM events),
 fq AS (SELECT CASE WHEN k = 1 THEN '>' ELSE '@' END || 'r' || event_id AS name,
   CASE k WHEN 2 THEN s || 'X' WHEN 3 THEN 'x' || substr(s, 2, 31) ELSE s END AS seq, CASE WHEN k = 4 THEN '-' ELSE '+' END AS plus,
@@ -87,6 +100,10 @@ READS = """reads AS (SELECT 'r' || event_id AS name, event_id % 2 + 1 AS mate, e
   translate(md5('q' || event_id), '0123456789abcdef', 'ABCDEFGHIJABCDEF') AS qual, CASE WHEN event_id % 5 = 0 THEN '4S28M' WHEN event_id % 5 = 1 THEN '10M2I20M' ELSE '32M' END AS cigar FROM events)"""
 ROUND_TRIPS = {
     "fasta_roundtrip": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom, md5(seq) AS digest, length FROM contigs"),
+    "fasta_index_scan": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom, length, CAST(least(length, 60) AS BIGINT) AS line_bases, true AS uniform FROM contigs"),
+    "fasta_trinuc_counts": with_(f"{CONTIGS_SQL}, {BASES}, t AS ({TRI_COUNTS})", f"SELECT tri, CAST(coalesce(n, 0) AS BIGINT) AS n FROM {TRI} LEFT JOIN t USING (tri)"),
+    "fasta_gc_window_counts": with_(TILES, "SELECT CAST(gc AS INT) AS gc, count(*) AS n, round(sum(depth), 6) AS total FROM windows GROUP BY gc"),
+    "fasta_regions": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, substr(seq, start + 1, "end" - start) AS piece, count(*) AS n FROM (SELECT DISTINCT chrom, start, "end" FROM intervals) JOIN contigs USING (chrom) GROUP BY ALL"""),
     "fasta_names": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom FROM contigs"),
     "fasta_index_roundtrip": with_(CONTIGS_SQL, "SELECT 'c' || chrom AS chrom, length, 60 AS line_bases FROM contigs"),
     "vcf_roundtrip": with_(RECORDS, """SELECT 'c' || chrom AS chrom, pos, ref, alt, filter, 'DP=' || depth AS info, gt, count(*) AS n FROM records GROUP BY ALL"""),
@@ -97,6 +114,10 @@ ROUND_TRIPS = {
     "depth_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, start + 1 AS "end", CAST(o_orderkey % 50 AS DOUBLE) AS depth FROM intervals"""),
     "sam_roundtrip": f"WITH {READS} SELECT name, CAST(CASE mate WHEN 1 THEN 65 ELSE 129 END AS INT) AS flag, 'c' || c AS ref, pos, cigar, seq, qual FROM reads",
     "bam_roundtrip": f"WITH {READS} SELECT name, CAST(CASE mate WHEN 1 THEN 65 ELSE 129 END AS INT) AS flag, 'c' || c AS ref, pos, cigar, seq, qual FROM reads",
+    "bam_ranges": f"WITH {READS} SELECT name, CAST(CASE mate WHEN 1 THEN 65 ELSE 129 END AS INT) AS flag, 'c' || c AS ref, pos, cigar, seq, qual, 60 AS mapq, 'c' || c AS mate_ref, pos + 50 AS mate_pos, 82 AS tlen FROM reads",
+    "bam_faults": "SELECT CAST(0 AS BIGINT) AS at, 'not a BAM file' AS fault, count(DISTINCT 1) AS n FROM events HAVING count(*) > 0",
+    "fastq_ranges": f"WITH {READS} SELECT '@' || name || '/' || mate AS name, seq, qual FROM reads",
+    "fastq_blocks": f"WITH {READS} SELECT '@' || name || '/' || mate AS name, seq, qual FROM reads",
     "fastq_roundtrip": f"WITH {READS} SELECT '@' || name || '/' || mate AS name, seq, qual FROM reads",
     "aligned_qualities": f"""WITH {READS} SELECT name, CAST(CASE WHEN starts_with(cigar, '4S') THEN 28 ELSE 32 END AS INT) AS n, CAST(list_sum(list_transform(string_split(CASE WHEN starts_with(cigar, '4S') THEN substr(qual, 5) ELSE qual END, ''), lambda x: ascii(x) - 33)) AS BIGINT) AS total FROM reads""",
     "golden_vcf_roundtrip": with_(VARIANTS_SQL, "SELECT 'c' || chrom AS chrom, pos, ref, alt, '0.5' AS af FROM (SELECT DISTINCT chrom, pos, ref, alt FROM variants)"),
@@ -201,6 +222,7 @@ z AS (SELECT (SELECT sum("end" - start) FROM ra) AS a, (SELECT sum("end" - start
   (SELECT count(*) FROM {MISSED}) AS n_missed, (SELECT count(*) FROM {WRONG}) AS n_wrong)"""),
         "vcf_fn": with_(SOLVED, f"SELECT * FROM {MISSED}"),
         "vcf_fp": with_(SOLVED, f"SELECT * FROM {WRONG}"),
+        "vcf_equivalent": with_(EQUIVALENT, "SELECT m.chrom, m.pos, m.ref, m.alt, m.n AS n_missed FROM local m JOIN local w USING (chrom, pos, ref, alt) WHERE m.side = 'm' AND w.side = 'w' AND m.hap = w.hap"),
         "fn_attribution": with_(f"""{SOLVED}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]},
 f AS (SELECT EXISTS (SELECT 1 FROM intervals i WHERE i.chrom = m.chrom AND o_orderkey % 4 = 0 AND i.start <= m.pos AND m.pos < i."end") AS unmappable,
   CAST((SELECT sum(o_orderkey % 5 + 1) FROM intervals i WHERE i.chrom = m.chrom AND i.start <= m.pos AND m.pos < i."end") AS BIGINT) AS depth FROM {MISSED} m)""",

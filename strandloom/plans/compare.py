@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.intervals import merge, overlaps, points_in_intervals
@@ -74,8 +72,9 @@ def equivalents(missed: DataFrame, wrong: DataFrame, seqs: DataFrame, reach: int
     """Wrong calls that give the same haplotype as missed variants near them: chrom, pos, ref, alt, n_missed.
 
     Both sets within ``reach`` of a call are put into the reference around it; equal
-    strings say the same. Variants are joined by position bins, the sequence piece by
-    piece; only a call's own neighbourhood reaches Python, in Arrow batches.
+    strings say the same. Variants in each other's way, or whose reference bases aren't
+    there, aren't applied: such a set is equal to none. Variants are joined by position
+    bins, the sequence piece by piece; only a call's own neighbourhood is gathered.
     """
     from strandloom.operators.chunks import bases_at
 
@@ -86,26 +85,19 @@ def equivalents(missed: DataFrame, wrong: DataFrame, seqs: DataFrame, reach: int
     sets = near(missed, "missed").join(near(wrong, "wrong"), ALLELE)
     margin = 2 * reach
     framed = bases_at(sets, seqs, before=margin, length=2 * margin + 1).withColumn("begin", F.greatest(F.col("pos") - margin, F.lit(0)))
-
-    def same(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def put(text: str, begin: int, rows: list) -> str | None:
-            out, at = [], 0
-            for v in rows:
-                off = v["pos"] - begin
-                if off < at or text[off : off + len(v["ref"])] != v["ref"]:
-                    return None  # variants in each other's way aren't applied
-                out += [text[at:off], v["alt"]]
-                at = off + len(v["ref"])
-            return "".join([*out, text[at:]])
-
-        for f in frames:
-            a = [put(t, b, list(r)) for t, b, r in zip(f["around"], f["begin"], f["missed"], strict=True)]
-            c = [put(t, b, list(r)) for t, b, r in zip(f["around"], f["begin"], f["wrong"], strict=True)]
-            ok = [x is not None and x == y for x, y in zip(a, c, strict=True)]
-            yield f[ok][ALLELE].assign(n_missed=[len(r) for r in f["missed"][ok]])
-
-    kind = dict(wrong.dtypes)["chrom"]
-    return framed.mapInPandas(same, f"chrom {kind}, pos long, ref string, alt string, n_missed long")
+    same = local_haplotype("missed") == local_haplotype("wrong")
+    return framed.where(same).select(*ALLELE, F.size("missed").cast("long").alias("n_missed"))
+
+
+def local_haplotype(rows: str) -> Column:
+    """``around``, which begins at ``begin``, with the ordered variants of ``rows`` applied; null where they don't fit."""
+    bases = lambda at, n: F.substring(F.col("around"), (at - F.col("begin") + 1).cast("int"), n.cast("int"))
+    stop = lambda v: v["pos"] + F.char_length(v["ref"])
+    before = lambda i: F.coalesce(stop(F.get(F.col(rows), i - 1)), F.col("begin"))
+    fits = F.transform(F.col(rows), lambda v, i: (v["pos"] >= before(i)) & (bases(v["pos"], F.char_length(v["ref"])) == v["ref"]))
+    parts = F.transform(F.col(rows), lambda v, i: F.concat(bases(before(i), F.greatest(v["pos"] - before(i), F.lit(0))), v["alt"]))
+    tail = bases(stop(F.element_at(F.col(rows), -1)), F.lit(1 << 30))
+    return F.when(F.forall(fits, lambda ok: ok), F.concat(F.array_join(parts, ""), tail))
 
 
 def model_overlap(regions: dict[str, DataFrame], common: dict[str, DataFrame]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, common_prefix, gc_count, is_trinucleotide, non_n_length, phred_to_error
 from strandloom.operators.chunks import bases_at, chunked, trinucleotide_counts
-from strandloom.operators.intervals import gap_clusters, overlaps, points_in_intervals
-from strandloom.operators.statistics import median_and_deviation, normalised
+from strandloom.operators.intervals import by_bins, carried, gap_clusters, overlaps, points_in_intervals
+from strandloom.operators.lineage import checkpointed
+from strandloom.operators.statistics import median_and_deviation, normalised, quantiles
 
 # fragment lengths
 
@@ -34,7 +35,12 @@ def fragment_lengths(reads: DataFrame, least_reads: int = 100, deviations: float
 
 def gc_windows(seqs: DataFrame, depth: DataFrame, window: int = 50) -> DataFrame:
     """chrom, start, gc, depth of every full window without N; depth (chrom, start, end, depth) are stretches."""
-    tiles = chunked(seqs, window, 0).where((F.char_length("piece") == window) & (F.instr("piece", "N") == 0))
+    return gc_tiles(chunked(seqs, window, 0), depth, window)
+
+
+def gc_tiles(pieces: DataFrame, depth: DataFrame, window: int = 50) -> DataFrame:
+    """The same from pieces (chrom, start, piece) of ``window`` bases."""
+    tiles = pieces.where((F.char_length("piece") == window) & (F.instr("piece", "N") == 0))
     tiles = tiles.select("chrom", "start", (F.col("start") + window).alias("end"), gc_count(F.col("piece")).alias("gc"))
     covered = overlaps(tiles.select("chrom", "start", "end"), depth).groupBy("chrom", "start").agg(F.sum(F.col("overlap") * F.col("r_depth")).alias("bases"))
     return tiles.join(covered, ["chrom", "start"], "left").select("chrom", "start", "gc", (F.coalesce("bases", F.lit(0)) / window).alias("depth"))
@@ -199,8 +205,8 @@ def rates(variants: DataFrame, seqs: DataFrame, targets: DataFrame | None = None
 
 def common_variants(variants: DataFrame, freq: str = "freq", percentile: float = 0.95) -> DataFrame:
     """Variants at or above the percentile of population frequency."""
-    cut = variants.agg(F.percentile(freq, percentile).alias("cut"))
-    return variants.join(F.broadcast(cut)).where(F.col(freq) >= F.col("cut")).drop("cut")
+    (cut,) = quantiles(variants, freq, [percentile])
+    return variants.where(F.col(freq) >= F.lit(cut))
 
 
 def dense_regions(variants: DataFrame, gap: int = 2000, pad: int = 2000, snap: int = 1000, percentile: float = 0.97) -> DataFrame:
@@ -208,28 +214,29 @@ def dense_regions(variants: DataFrame, gap: int = 2000, pad: int = 2000, snap: i
     clusters = gap_clusters(variants.select("chrom", "pos"), gap)
     low = F.greatest(F.floor((F.col("first") - pad) / snap) * snap, F.lit(0))
     high = F.floor((F.col("last") + pad) / snap) * snap
-    dense = clusters.select("chrom", low.alias("start"), high.alias("end"), "n").withColumn("density", F.col("n") / (F.col("end") - F.col("start")))
-    cut = dense.agg(F.percentile("density", percentile).alias("cut"))
-    return dense.join(F.broadcast(cut)).where(F.col("density") >= F.col("cut")).drop("cut")
+    dense = checkpointed(clusters.select("chrom", low.alias("start"), high.alias("end"), "n").withColumn("density", F.col("n") / (F.col("end") - F.col("start"))))
+    (cut,) = quantiles(dense, "density", [percentile])
+    return dense.where(F.col("density") >= F.lit(cut))
 
 
 def merged_regions(regions: DataFrame) -> DataFrame:
     """Overlapping regions of a chromosome folded from the right: chrom, start, end, rate.
 
     Of two that overlap, the later one's end stays and the rates are averaged, so the
-    result depends on the order. Only the few dense regions of a chromosome are gathered.
+    result depends on the order. A fold's region begins where the next one did, so neighbours
+    alone say which regions run together, and a run's rate is a sum: halves, quarters and so
+    on from its first region, the last counted twice. No region's neighbours are gathered.
     """
-    every = F.array_sort(F.collect_list(F.struct("start", "end", "density")))
-    held = F.array().cast("array<struct<start:bigint,end:bigint,density:double>>")
-
-    def step(done: Column, cur: Column) -> Column:
-        last = F.element_at(done, 1)
-        joined = F.concat(F.array(F.struct(cur["start"].alias("start"), last["end"].alias("end"), ((cur["density"] + last["density"]) / 2).alias("density"))), F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0))))
-        apart = F.concat(F.array(cur), done)
-        return F.when((F.size(done) > 0) & (cur["end"] >= F.try_element_at(done, F.lit(1))["start"]), joined).otherwise(apart)
-
-    folded = regions.groupBy("chrom").agg(every.alias("r")).select("chrom", F.explode(F.aggregate(F.reverse("r"), held, step)).alias("x"))
-    return folded.select("chrom", "x.start", "x.end", F.col("x.density").alias("rate"))
+    order = [F.col(c) for c in ("start", "end", "density")]
+    one = F.struct(*order)
+    rows = carried(by_bins(regions.select("chrom", *order), "start"), one, "previous", order)
+    rows = carried(rows, F.lit(1).cast("long"), "place", order, fold=F.sum)
+    place = F.coalesce("place", F.lit(0).cast("long"))
+    apart = F.col("previous").isNull() | (F.col("previous.end") < F.col("start"))
+    runs = carried(rows.withColumn("place", place), F.when(apart, F.col("place")), "first", [F.col("place")], strict=False)
+    part = F.col("density") * F.pow(F.lit(0.5), F.col("place") - F.col("first") + 1)
+    folded = runs.groupBy("chrom", "first").agg(F.min("start").alias("start"), F.max_by("end", "place").alias("end"), F.sum(part).alias("parts"), F.max_by(part, "place").alias("last"))
+    return folded.select("chrom", "start", "end", (F.col("parts") + F.col("last")).alias("rate"))
 
 
 def substitution_heatmaps(contexts: DataFrame) -> DataFrame:

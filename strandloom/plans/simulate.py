@@ -494,12 +494,17 @@ def golden_vcf(variants: DataFrame, ploidy: int = 2) -> DataFrame:
     return variants.select("chrom", (F.col("pos") + 1).alias("pos1"), F.lit(".").alias("id"), "ref", "alt", F.lit(".").alias("qual"), F.lit("PASS").alias("filter"), info.alias("info"))
 
 
-def fastq_lines(reads: DataFrame) -> DataFrame:
-    """value: the four lines of each record; reads from the reverse strand turned back."""
+def fastq_records(reads: DataFrame) -> DataFrame:
+    """name, seq, qual of each record, the name with its mate; reads from the reverse strand turned back."""
     back = F.col("flag").bitwiseAND(F.lit(16)) != 0
     seq = F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     qual = F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
-    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name", F.lit("/"), "mate"), seq, F.lit("+"), qual).alias("value"))
+    return reads.select(F.concat(F.lit("@"), "name", F.lit("/"), "mate").alias("name"), seq.alias("seq"), qual.alias("qual"))
+
+
+def fastq_lines(reads: DataFrame) -> DataFrame:
+    """value: the four lines of each record."""
+    return fastq_records(reads).select(F.concat_ws("\n", "name", "seq", F.lit("+"), "qual").alias("value"))
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:

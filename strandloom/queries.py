@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,10 +15,11 @@ from strandloom.functions.sequence import (
 )
 from strandloom.operators import intervals as iv
 from strandloom.operators import variants as vs
-from strandloom.operators.chunks import bases_at, trinucleotide_counts
+from strandloom.operators.chunks import bases_at, piece_trinucleotides, recut, trinucleotide_counts
+from strandloom.operators.lineage import shared_folder
 from strandloom.operators.statistics import cdf_knots, median_and_deviation, nearest_knot, weighted_median_index
 from strandloom.plans import compare, learners, simulate, validate
-from strandloom.sources import bam, sinks, text
+from strandloom.sources import bam, fasta, fastq, sinks, text
 from strandloom.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -579,12 +579,7 @@ def moving_mean_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder's path below the session's checkpoint folder, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="strandloom-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def named(rows: DataFrame) -> DataFrame:
@@ -604,6 +599,44 @@ def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs.join(text.fasta_index(seqs), "chrom").select("chrom", F.md5(F.col("seq").cast("binary")).alias("digest"), "length")
 
 
+#: Bytes of a range where a query shows that files are cut.
+SHORT_RANGE = 1 << 18
+
+
+def indexed_fasta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The index of a written FASTA folder, and tasks for its bytes."""
+    path = written_fasta(spark, sf_dir)
+    return fasta.index(spark, path, range_bytes=SHORT_RANGE), fasta.tasks_for(path, SHORT_RANGE)
+
+
+@query
+def fasta_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a FASTA folder, made from byte ranges."""
+    return indexed_fasta(spark, sf_dir)[0].select("chrom", "length", "line_bases", "uniform")
+
+
+@query
+def fasta_trinuc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trinucleotides of a FASTA folder, read by index in pieces of at most 32 kB."""
+    contigs, tasks = indexed_fasta(spark, sf_dir)
+    return piece_trinucleotides(fasta.pieces(contigs, 32_768, 2, tasks=tasks))
+
+
+@query
+def fasta_gc_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs, tasks = indexed_fasta(spark, sf_dir)
+    windows = learners.gc_tiles(recut(fasta.pieces(contigs, 30_000, tasks=tasks), 50), named(depth(spark, sf_dir)))
+    return windows.groupBy("gc").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("depth"), 6).alias("total"))
+
+
+@query
+def fasta_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bases of intervals, each read by its own bytes alone."""
+    contigs, tasks = indexed_fasta(spark, sf_dir)
+    regions = named(d.intervals(spark, sf_dir)).select("chrom", "start", "end").distinct()
+    return fasta.pieces(contigs, 32_768, 0, regions, tasks).groupBy("chrom", "start", "piece").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def fasta_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.fasta_names(spark, written_fasta(spark, sf_dir))
@@ -692,17 +725,52 @@ def sam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
+    return bam.read(spark, written_bam(spark, sf_dir)).select(SAM_FIELDS)
+
+
+def written_bam(spark: SparkSession, sf_dir: str, single: bool = False) -> str:
+    path = scratch(spark) + (".bam" if single else "")
     r = aligned_reads(spark, sf_dir)
-    bam.write(r.select("name", "flag", F.col("chrom").alias("ref"), "pos", "mapq", "cigar", F.lit("=").alias("mate_ref"), "mate_pos", "tlen", "seq", "qual"), path, [(f"c{i}", 10_000) for i in range(7)])
-    return bam.read(spark, path).select(SAM_FIELDS)
+    bam.write(r.select("name", "flag", F.col("chrom").alias("ref"), "pos", "mapq", "cigar", F.lit("=").alias("mate_ref"), "mate_pos", "tlen", "seq", "qual"), path, [(f"c{i}", 10_000) for i in range(7)], single)
+    return path
+
+
+@query
+def bam_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One BAM file, put together from all tasks' blocks and read by short ranges of blocks."""
+    return bam.read(spark, written_bam(spark, sf_dir, True), SHORT_RANGE).select(*SAM_FIELDS, "mapq", "mate_ref", "mate_pos", "tlen")
+
+
+@query
+def bam_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the BAM files of a folder, and with blocks that hold reads in another format."""
+    other = scratch(spark) + ".fq.gz"
+    fastq.write(aligned_reads(spark, sf_dir), other, True)
+    good, bad = (bam.faults(spark, p, SHORT_RANGE) for p in (written_bam(spark, sf_dir), other))
+    return good.unionByName(bad).groupBy("at", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def fastq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTQ as text, read by short byte ranges."""
+    path = scratch(spark)
+    sinks.write_fastq(aligned_reads(spark, sf_dir), path, compression="none")
+    return fastq.read(spark, path, SHORT_RANGE).select("name", "seq", "qual")
+
+
+@query
+def fastq_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTQ as one gzip file in blocks, read by short ranges of blocks."""
+    path = scratch(spark) + ".fq.gz"
+    sinks.write_fastq(aligned_reads(spark, sf_dir), path, single=True)
+    return fastq.read(spark, path, SHORT_RANGE).select("name", "seq", "qual")
 
 
 @query
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     sinks.write_fastq_pairs(aligned_reads(spark, sf_dir), path)
-    both = text.fastq(spark, f"{path}/1").unionByName(text.fastq(spark, f"{path}/2"))
+    both = fastq.read(spark, f"{path}/1").unionByName(fastq.read(spark, f"{path}/2"))
     return both.select("name", "seq", "qual")
 
 

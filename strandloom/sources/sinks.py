@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.plans.simulate import fastq_lines, sam_lines
+from strandloom.plans.simulate import fastq_lines, fastq_records, sam_lines
+from strandloom.sources import fastq
 
 VCF_HEADER = (
     "##fileformat=VCFv4.1\n"
@@ -18,16 +19,23 @@ VCF_HEADER = (
 )
 
 
-def write_fastq(reads: DataFrame, path: str, mate: int | None = None, compression: str = "gzip") -> None:
+def write_fastq(reads: DataFrame, path: str, mate: int | None = None, compression: str = "blocks", single: bool = False) -> None:
+    """Reads (of one mate) as FASTQ: gzip files in blocks, which many tasks can read, or text in a codec of Spark's.
+
+    ``single`` joins the blocks to one file, in the order of the partitions.
+    """
     rows = reads if mate is None else reads.where(F.col("mate") == mate)
-    fastq_lines(rows).write.text(path, compression=compression)
+    if compression == "blocks":
+        fastq.write(fastq_records(rows), path, single)
+    else:
+        fastq_lines(rows).write.text(path, compression=compression)
 
 
-def write_fastq_pairs(reads: DataFrame, path: str, compression: str = "gzip") -> None:
+def write_fastq_pairs(reads: DataFrame, path: str, compression: str = "blocks") -> None:
     """Both mates of each pair at the same place of files that correspond, in folders ``1`` and ``2``."""
     ordered = reads.repartition("name").sortWithinPartitions("name")
     for mate in (1, 2):
-        fastq_lines(ordered.where(F.col("mate") == mate)).write.text(f"{path}/{mate}", compression=compression)
+        write_fastq(ordered, f"{path}/{mate}", mate, compression)
 
 
 def write_contigs(seqs: DataFrame, path: str, width: int = 60) -> None:

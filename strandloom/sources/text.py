@@ -104,15 +104,3 @@ def depth(spark: SparkSession, path: str) -> DataFrame:
     """Per-base coverage (chrom, 1-based pos, depth) as stretches chrom, start, end, depth."""
     rows = spark.read.csv(path, sep="\t", schema="chrom string, pos long, depth double")
     return rows.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "depth")
-
-
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """record, name, seq, plus, qual; a file is cut into records of four lines, never at a sign.
-
-    Files are read whole, one task each, as their line numbers alone tell a record's parts.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s+$", "").alias("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-    part = F.col("at") % 4
-    rows = lines.groupBy("file", F.floor(F.col("at") / 4).alias("record")).agg(*[F.max(F.when(part == i, F.col("line"))).alias(n) for i, n in enumerate(("name", "seq", "plus", "qual"))])
-    return rows.drop("file")

@@ -9,7 +9,7 @@ from strandloom.operators import intervals as iv
 from strandloom.operators.chunks import bases_at, trinucleotide_counts
 from strandloom.operators.variants import suffix_trimmed, validity
 from strandloom.plans import compare, learners, simulate, validate
-from strandloom.sources import bam, sinks, text
+from strandloom.sources import bam, fastq, sinks, text
 
 RND = random.Random(4)
 
@@ -283,7 +283,7 @@ def test_text_files(spark, tmp_path):
     b = text.bed(spark, str(tmp_path / "x.bed"))
     assert b.count() == 3 and [tuple(r) for r in text.mutation_rates(b).collect()] == [("c", 1, 9, 0.3)]
     (tmp_path / "x.fq").write_text("@a/1\nACGT\n+\nIIII\n@b/1\nACXT\n+\n@III\n@c/1\nAC\n+\n")
-    f = text.fastq(spark, str(tmp_path / "x.fq"))
+    f = fastq.read(spark, str(tmp_path / "x.fq"))
     assert dict(validate.tally(f).collect()) == {"ok": 1, "bad_base": 1, "missing_line": 1}
     (tmp_path / "x.sam").write_text("@HD\tx\nr\t99\tc\t5\t60\t1S3M\t=\t50\t49\tACGT\tI5+!\n")
     r = text.aligned_qualities(text.sam(spark, str(tmp_path / "x.sam"))).first()
@@ -308,7 +308,7 @@ def test_sinks(spark, sequences, tmp_path):
     _, df = sequences
     made = simulate.simulate(df, simulate.MutationModel(), simulate.ReadModel(coverage=0.2))
     sinks.write_fastq(made["reads"], str(tmp_path / "fq"))
-    assert validate.tally(text.fastq(spark, str(tmp_path / "fq"))).collect()[0].error == "ok"
+    assert validate.tally(fastq.read(spark, str(tmp_path / "fq"))).collect()[0].error == "ok"
     sinks.write_vcf(simulate.golden_vcf(made["variants"]), str(tmp_path / "vcf"))
     back = text.vcf(spark, str(tmp_path / "vcf"))
     assert back.count() == made["variants"].count() and back.where("malformed").count() == 0

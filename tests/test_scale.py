@@ -148,3 +148,100 @@ def test_judged_counts_repeats_and_positions(spark):
     missed, wrong = compare.missed_and_wrong(golden, called)
     assert [r.pos for r in missed.collect()] == [2, 2] and [r.chrom for r in wrong.collect()] == ["d"]
     assert tuple(compare.summary(golden.limit(0), called.limit(0)).first()) == (0, 0, 0, 0, 0, 0.0, 0.0)
+
+
+def test_runs_cross_pieces(spark):
+    r = random.Random(12)
+    seqs = {f"c{i}": "".join(r.choice("ACGT" + "N" * 6) for _ in range(n)) for i, n in enumerate([1, 7, 50, 400])} | {"n": "N" * 333, "a": "A" * 90}
+    want = []
+    for c, s in seqs.items():
+        at = None
+        for i, x in enumerate(s + "A"):
+            if x == "N" and at is None:
+                at = i
+            elif x != "N" and at is not None:
+                want.append((c, at, i))
+                at = None
+    df = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+    for size in (1, 7, 64, 65_536):
+        assert sorted(map(tuple, iv.runs_of(df, size=size).collect())) == sorted(want)
+
+
+def test_runs_of_fifty_million_bases(spark):
+    """Twice the runs of half the length: time in proportion to the bases, not to the square of the runs."""
+    df = spark.createDataFrame([("c",)], "chrom string").withColumn("seq", F.repeat(F.lit("ACGTNNACGN"), 5_000_000))
+    began = time.time()
+    found = iv.runs_of(df).agg(F.count(F.lit(1)), F.sum(F.col("end") - F.col("start")), F.max("end")).first()
+    assert tuple(found) == (10_000_000, 15_000_000, 50_000_000)
+    assert time.time() - began < 120
+
+
+def intervals_of_all_lengths(n, seed):
+    r = random.Random(seed)
+    return [(r.choice("ab"), s := r.randrange(3_000_000), s + r.choice([0, 1, 80, 4096, 5000, 70_000, 2_500_000]), i) for i in range(n)]
+
+
+def test_joins_of_intervals_of_all_lengths(spark):
+    schema = "chrom string, start long, end long, id long"
+    left, right = intervals_of_all_lengths(150, 1), intervals_of_all_lengths(130, 2)
+    got = iv.overlaps(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).select("id", "r_id", "overlap").collect()
+    want = [(i, j, min(e, f) - max(s, t)) for c, s, e, i in left for d, t, f, j in right if c == d and s < f and t < e and s < e and t < f]
+    assert sorted(map(tuple, got)) == sorted(want)
+    points = [(c, s, i) for c, s, _, i in intervals_of_all_lengths(200, 3)] * 2
+    df = spark.createDataFrame(points, "chrom string, pos long, point long")
+    hits = [(p, i) for c, x, p in points for d, s, e, i in right if c == d and s <= x < e]
+    inner = iv.points_in_intervals(df, spark.createDataFrame(right, schema)).select("point", "id").collect()
+    assert sorted(map(tuple, inner)) == sorted(hits)
+    outer = iv.points_in_intervals(df, spark.createDataFrame(right, schema), "left").select("point", "id").collect()
+    missing = [(p, None) for c, x, p in points if not any(c == d and s <= x < e for d, s, e, _ in right)]
+    assert sorted(map(tuple, outer), key=str) == sorted(hits + missing, key=str)
+    none = spark.createDataFrame([], schema)
+    assert iv.points_in_intervals(df, none, "left").count() == len(points) and iv.points_in_intervals(df, none).count() == 0
+
+
+def test_long_intervals_have_few_copies(spark):
+    """An interval lies in two bins of its level at most, whatever its length."""
+    rows, levels = iv.at_home(spark.createDataFrame([("c", 0, 1 << k) for k in range(32)], "chrom string, start long, end long"))
+    copies = rows.select(F.max(F.size(iv.met(iv.width_at(F.col("bin_level"), iv.BIN))))).first()[0]
+    assert copies <= 2 and max(levels) <= iv.HIGHEST
+
+
+@pytest.mark.parametrize("gathered", [20_000, 3])
+def test_quantiles_are_exact(spark, monkeypatch, gathered):
+    from strandloom.operators import statistics as st
+
+    monkeypatch.setattr(st, "GATHERED", gathered)
+    r = random.Random(3)
+    columns = [[r.gauss(0, 1) for _ in range(501)], [1.0] * 400 + [2.0] * 3, [float(i % 3) for i in range(100)], [10.0 ** r.randint(-300, 300) for _ in range(90)], [5.0], [-0.0, 0.0, 1.0]]
+    for xs in columns:
+        df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "v double").repartition(3)
+        for share, got in zip((0, 0.03, 0.5, 0.95, 1), st.quantiles(df, "v", [0, 0.03, 0.5, 0.95, 1]), strict=True):
+            at = share * (len(xs) - 1)
+            a, b = (sorted(xs)[k] for k in (int(at), min(len(xs) - 1, int(at) + (at > int(at)))))
+            assert got == pytest.approx(a + (b - a) * (at - int(at)), rel=1e-12)
+    assert st.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_quantiles_of_many_values_gather_few(spark):
+    from strandloom.operators import statistics as st
+
+    df = spark.range(3_000_000).select((F.col("id") * 7919 % 3_000_000).alias("v"))
+    assert st.quantiles(df, "v", [0.5, 0.97]) == [1_499_999.5, 0.97 * 2_999_999]
+
+
+def test_regions_fold_from_the_right(spark):
+    from strandloom.plans.learners import merged_regions
+
+    r = random.Random(5)
+    rows = [(r.choice("ab"), s := r.randrange(0, 90_000, 50), s + r.choice([50, 100, 700, 9000]), r.random()) for _ in range(300)]
+    want = []
+    for c in "ab":
+        done = []
+        for _, s, e, x in sorted((x for x in rows if x[0] == c), reverse=True):
+            if done and e >= done[-1][1]:
+                done[-1] = (c, s, done[-1][2], (x + done[-1][3]) / 2)
+            else:
+                done.append((c, s, e, x))
+        want += done
+    got = sorted(map(tuple, merged_regions(spark.createDataFrame(rows, "chrom string, start long, end long, density double")).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and [x[3] for x in got] == pytest.approx([x[3] for x in sorted(want)])
