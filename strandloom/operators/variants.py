@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandloom.functions.random import uniform_int
@@ -71,6 +71,36 @@ def validity(variants: DataFrame, seqs: DataFrame, size: int = 1024) -> DataFram
     return variants.join(pieces, hit, "left").withColumn("reason", reason).drop("s_chrom", "s_start", "piece")
 
 
+def screened(records: DataFrame, checks: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
+    """(records that pass all checks, how many fail each one first), counted as the records go by.
+
+    The numbers are there once the records have been used, without a second pass:
+    ``observation.get`` has one for each check, and ``kept``. Checks that are null fail.
+    """
+    checks = checks or {"no_variant": is_variant(), "filtered": passed(), "no_position": F.col("pos") > 0, "not_carried": carried(F.col("gt"))}
+    reason = None
+    for name, ok in checks.items():
+        bad = ~F.coalesce(ok, F.lit(False))
+        reason = F.when(bad, name) if reason is None else reason.when(bad, name)
+    counted = Observation()
+    marked = records.withColumn("failed", reason)
+    marked = marked.observe(counted, F.count_if(F.col("failed").isNull()).alias("kept"), *[F.count_if(F.col("failed") == n).alias(n) for n in checks])
+    return marked.where(F.col("failed").isNull()).drop("failed"), counted
+
+
+def valid_first(variants: DataFrame, seqs: DataFrame, order: list[str]) -> tuple[DataFrame, list[Observation]]:
+    """(the first valid variant of each position, counters of what went): reasons of ``validity``, then positions.
+
+    A variant goes as ``duplicate`` if its position has one already; the second counter has
+    the positions that stay, so their number less ``valid`` are the duplicates.
+    """
+    reasons, positions = Observation(), Observation()
+    judged = validity(variants, seqs)
+    judged = judged.observe(reasons, F.count_if(F.col("reason").isNull()).alias("valid"), *[F.count_if(F.col("reason") == n).alias(n) for n in ("ref_mismatch", "n_in_ref", "bad_alt")])
+    first = first_at_position(judged.where(F.col("reason").isNull()).drop("reason"), order)
+    return first.observe(positions, F.count(F.lit(1)).alias("positions")), [reasons, positions]
+
+
 def first_at_position(variants: DataFrame, order: list[str]) -> DataFrame:
     """The first record of each (chrom, pos)."""
     return first_by(variants, ["chrom", "pos"], order)

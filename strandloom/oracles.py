@@ -157,6 +157,14 @@ SELECT o_orderkey, CAST(CASE WHEN b >> 14 = e >> 14 THEN 4681 + (b >> 14) WHEN b
         "variant_validity": with_(f"""{VARIANTS_SQL},
 x AS (SELECT v.ref AS there, CASE WHEN l_partkey % 13 = 0 THEN translate(ref, 'ACGT', 'CGTA') ELSE ref END AS ref, CASE WHEN l_partkey % 17 = 0 THEN '<DEL>' ELSE alt END AS alt FROM variants v)""",
             "SELECT CASE WHEN there <> ref THEN 'ref_mismatch' WHEN contains(ref, 'N') THEN 'n_in_ref' WHEN NOT regexp_full_match(alt, '[ACGT]+') THEN 'bad_alt' ELSE 'ok' END AS reason, count(*) AS n FROM x GROUP BY ALL"),
+        "skip_counters": with_(f"""{RECORDS},
+r AS MATERIALIZED (SELECT r.* EXCLUDE (ref), ref AS there, CASE WHEN l_partkey % 13 = 0 THEN translate(ref, 'ACGT', 'CGTA') ELSE ref END AS ref FROM records r),
+s AS MATERIALIZED (SELECT *, CASE WHEN alt = ref THEN 'no_variant' WHEN filter NOT IN ('PASS', '.') THEN 'filtered' WHEN pos <= 0 THEN 'no_position' WHEN NOT (g1 = 1 OR g2 = 1) THEN 'not_carried' ELSE 'kept' END AS reason FROM r),
+a AS (SELECT s.* EXCLUDE (alt, reason), unnest(string_split(alt, ',')) AS alt FROM s WHERE reason = 'kept'),
+v AS MATERIALIZED (SELECT chrom, pos, CASE WHEN there <> ref THEN 'ref_mismatch' WHEN contains(ref, 'N') THEN 'n_in_ref' WHEN NOT regexp_full_match(alt, '[ACGT]+') THEN 'bad_alt' ELSE 'valid' END AS reason FROM a),
+p AS (SELECT count(*) AS valid, count(DISTINCT (chrom, pos)) AS positions FROM v WHERE reason = 'valid'),
+found AS (SELECT reason, count(*) AS n FROM s GROUP BY reason UNION ALL SELECT reason, count(*) FROM v GROUP BY reason UNION ALL SELECT 'positions', positions FROM p UNION ALL SELECT 'duplicate', valid - positions FROM p)""",
+            "SELECT reason, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['no_variant', 'filtered', 'no_position', 'not_carried', 'kept', 'valid', 'ref_mismatch', 'n_in_ref', 'bad_alt', 'positions', 'duplicate']) AS reason) LEFT JOIN found USING (reason)"),
         "variant_filters": with_(RECORDS, "SELECT filter, gt, count(*) AS n FROM records WHERE alt <> ref AND filter IN ('PASS', '.') AND pos > 0 AND (g1 = 1 OR g2 = 1) GROUP BY ALL"),
         "variant_trim_suffix": with_(f"""RECURSIVE {VARIANTS_SQL},
 kinds AS (SELECT ref || 'GT' AS ref, alt || 'GT' AS alt, count(*) AS n FROM variants GROUP BY ALL),

@@ -164,6 +164,20 @@ def variant_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vs.validity(wrong, d.contigs(spark, sf_dir)).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def skip_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why records took no part, counted while those that did were written."""
+    r = records(spark, sf_dir)
+    r = r.withColumn("ref", F.when(F.col("l_partkey") % 13 == 0, F.translate("ref", "ACGT", "CGTA")).otherwise(F.col("ref")))
+    kept, screen = vs.screened(r)
+    order = [*KEYS, "ref", "alt", "alt_no"]
+    first, (reasons, positions) = vs.valid_first(vs.split_alternatives(kept), d.contigs(spark, sf_dir), order)
+    first.write.parquet(scratch(spark))
+    n = screen.get | reasons.get | positions.get
+    n["duplicate"] = n["valid"] - n["positions"]
+    return spark.createDataFrame(sorted(n.items()), "reason string, n long")
+
+
 @query
 def variant_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)

@@ -245,3 +245,11 @@ def test_regions_fold_from_the_right(spark):
         want += done
     got = sorted(map(tuple, merged_regions(spark.createDataFrame(rows, "chrom string, start long, end long, density double")).collect()))
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and [x[3] for x in got] == pytest.approx([x[3] for x in sorted(want)])
+
+
+def test_counters_come_with_the_records(spark):
+    rows = [("c", i, "A", alt, f, gt) for i, (alt, f, gt) in enumerate([("G", "PASS", "0/1"), ("A", "PASS", "0/1"), (None, "PASS", "1/1"), ("G", "LowQual", "0/1"), ("G", None, "0/1"), ("G", ".", "0/0"), ("T", ".", "1|0")])]
+    df = spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string, filter string, gt string")
+    kept, counted = vs.screened(df)
+    assert sorted(r.pos for r in kept.collect()) == [6]
+    assert counted.get == {"kept": 1, "no_variant": 2, "filtered": 2, "no_position": 1, "not_carried": 1}
