@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,9 @@ AT_ONCE, BATCH_BYTES = 500_000, 32 << 20
 # Unicode white space, and the rules that cut text into pre-tokens.
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PRE_TOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: The same for texts whose letters and digits are told alike by both modules: all up to U+024F but superscripts and fractions.
+PLAIN = re.compile("[\\x00-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
+PLAIN_PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^{SPACE}\w]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 ROWS = "bucket int, block long, part int, words binary, data binary"
 
@@ -113,6 +117,19 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
+def pre_tokens(text: str, cut: regex.Pattern) -> list[str]:
+    """The words of a text; most texts are plain, for which the standard module's rules say the same in less time."""
+    return PLAIN_PRE_TOKENS.findall(text) if PLAIN.fullmatch(text) else cut.findall(text)
+
+
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Block:
     """Texts as numbers of words, and the words by number."""
 
@@ -120,15 +137,14 @@ class Block:
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
         self.places: list[np.ndarray] = []
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.chars = 0
 
     def add(self, doc_id: int | None, text: str, cut: regex.Pattern) -> None:
-        number = self.number
-        places = np.array([number.setdefault(w, len(number)) for w in cut.findall(text)], np.uint32)
+        words = pre_tokens(text, cut)
         self.ids.append(doc_id)
-        self.sizes.append(len(places))
-        self.places.append(places)
+        self.sizes.append(len(words))
+        self.places.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
         self.chars += len(text)
 
     def rows(self, task: int, n: int, buckets: int, texts: bool) -> Iterator[tuple]:

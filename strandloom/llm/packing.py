@@ -110,10 +110,11 @@ class Piece:
 
 
 def place(pieces: Iterable[Piece], capacity: tuple[int, int, int]) -> Iterator[list[Piece]]:
-    """Sequences as lists of pieces, in order; each within the capacity, only the last ones not full.
+    """Sequences as lists of pieces, in order, each within the capacity.
 
-    A piece that alone exceeds a limit is cut to it. What is left in the last sequence
-    goes out as sequences of powers of two, which need no padding.
+    A piece that alone exceeds a limit is cut to it. What isn't full, because the number of
+    segments or of loss-bearing tokens ended it or nothing is left, goes out as sequences
+    of powers of two, which need no padding.
     """
     most = np.array(capacity, float)
     shelf: dict[tuple[int, int], list[Piece]] = {}
@@ -158,7 +159,7 @@ def place(pieces: Iterable[Piece], capacity: tuple[int, int, int]) -> Iterator[l
             n = min(p.length, int(left[0]), p.length - p.loss + int(left[2]))
             if n <= 0:  # no room for loss-bearing tokens: this sequence is complete
                 put_back(p)
-                yield bin_
+                yield from ladder(bin_, capacity[0])
                 left, bin_ = most.copy(), []
                 continue
             if n < p.length:
@@ -167,7 +168,7 @@ def place(pieces: Iterable[Piece], capacity: tuple[int, int, int]) -> Iterator[l
         bin_.append(p)
         left -= (p.length, 1, p.loss)
         if left[0] <= 0 or left[1] <= 0:
-            yield bin_
+            yield from ladder(bin_, capacity[0])
             left, bin_ = most.copy(), []
     yield from ladder(bin_, capacity[0])
 
@@ -199,7 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: tuple[int, int, int] =
     ``loss_from`` names a column with the number of a row's first token that bears loss
     (instruction data: the answer's first one; null or no column: all tokens do).
     Repeated rows are packed again each; rows with a null id keep it; an empty table
-    gives no pieces; other columns are ignored. A sequence_id is the task's partition
+    gives no pieces; other columns are ignored. Texts of a few tokens reach the limit on
+    segments first; their sequences are cut to powers of two. A sequence_id is the task's partition
     and a number in it, so a lost task gives the same ids when it runs again.
     """
     bounded_batches(docs.sparkSession)

@@ -26,7 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Numbers joined by points, as many as there are: of four in a row each, the first four, and so on, are the pattern's matches.
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -34,9 +35,10 @@ DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 #: Width of a window, and the distance from one to the next.
 WIDTH, STEP = 80, 40
-#: Documents with a trigger (expected number) and windows to learn from; least mean confidence of a span.
+#: Documents with a trigger (expected number) and windows to learn from; least mean confidence of a span (on held-out
+#: made windows 0.5 and 0.9 differ by 4 wrong spans in 1,005, and find 0.91 and 0.79 of the phones).
 SAMPLE, WINDOWS = 1000, 600
-SURE = 0.9
+SURE = 0.5
 
 Span = tuple[int, int, int]  # start, end, number of the kind
 
@@ -65,17 +67,37 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Matches of the pattern of addresses whose parts are 255 at most, in one pass over the digits."""
+    out = []
+    for m in CHAIN.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            n = sum(map(len, parts[i : i + 4])) + 3
+            if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in parts[i : i + 4]):
+                out.append((at, at + n))
+            at += n + 1
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by kind, then start; leftmost and non-overlapping in a kind."""
     out = [(s, e, 0) for s, e in emails(text)]
     if DIGIT.search(text):
-        out += [(*m.span(), 1) for m in IP.finditer(text) if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in m[0].split("."))]
+        out += [(s, e, 1) for s, e in addresses(text)]
         cards = ((m, re.sub("[ -]", "", m[0])) for m in CARD.finditer(text))
         out += [(*m.span(), 2) for m, d in cards if 16 <= len(d) <= 19 and luhn(d)]
         out += [(*m.span(), 3) for m in PHONE.finditer(text) if 8 <= len(DIGIT.findall(m[0])) <= 15]
     return out
 
 
+def doubtful(text: str) -> list[tuple[int, int]]:
+    """Matches of the patterns of cards and phones that fail their check, of ten digits at least."""
+    ok = {(s, e) for s, e, _ in base_spans(text)}
+    found = [m.span() for p in (CARD, PHONE) for m in p.finditer(text) if len(DIGIT.findall(m[0])) >= 10]
+    return [x for x in found if x not in ok]
+
+
 def tags_of(spans: Iterable[Span], begin: int, width: int) -> np.ndarray:
     """0 outside; 1 + 2k begins kind k and 2 + 2k goes on with it."""
     out = np.zeros(width, np.int64)
@@ -182,28 +204,34 @@ def made_windows(contexts: list[str], n: int, seed: int = 4) -> list[tuple[str,
     out = []
     for _ in range(n):
         text, spans = " ".join(pick(words) for _ in range(int(r.integers(1, 5)))) + " ", []
-        for _ in range(int(r.integers(1, 3))):
-            if r.random() < 0.7:
-                k = int(r.integers(4))
-                s = kinds[k]()
-                spans.append((len(text), len(text) + len(s), k))
+        for _ in range(int(r.integers(1, 4))):
+            if (u := r.random()) < 0.7:
+                # one, or numbers that only a space parts, which a pattern takes for one
+                for k in pick([(0,), (0,), (0,), (1,), (2,), (3,), (3,)]) if u < 0.5 else pick([(3, 1), (2, 1), (3, 2), (2, 3), (1, 3)]):
+                    s = kinds[k]()
+                    spans.append((len(text), len(text) + len(s), k))
+                    text += s + " "
+                text = text[:-1]
             else:
-                s = pick(others)()
-            text += s + pick([" ", ". ", ", ", "\n"]) + " ".join(pick(words) for _ in range(int(r.integers(1, 4)))) + " "
+                text += pick(others)()
+            text += pick([" ", ". ", ", ", "\n"]) + " ".join(pick(words) for _ in range(int(r.integers(1, 4)))) + " "
         cut = int(r.integers(0, max(1, len(text) - WIDTH // 2)))
         out.append((text[cut : cut + WIDTH], [(s - cut, e - cut, k) for s, e, k in spans if s >= cut and e <= cut + WIDTH]))
     return out
 
 
-def train(texts: list[str], n: int = WINDOWS, rounds: int = 9) -> Tagger:
+def train(texts: list[str], n: int = WINDOWS, rounds: int = 14) -> Tagger:
     """From windows of ``texts``, labelled by the base patterns, and as many made ones.
 
-    Every text gives a window before any gives its second one.
+    Every text gives a window before any gives its second one. Windows in which a pattern
+    matched and failed its check aren't learned from: who wrote them may have meant such data.
     """
     turns: list[list[tuple[str, list[Span]]]] = []
     for t in texts:
         spans = base_spans(t)
-        for turn, w in enumerate(windows(t)[:n]):
+        failed = sorted(doubtful(t))
+        clear = [w for w in windows(t) if not any(s < w + WIDTH and w < e for s, e in failed)] if len(failed) < 1000 else []
+        for turn, w in enumerate(clear[:n]):
             if turn == len(turns):
                 turns.append([])
             turns[turn].append((t[w : w + WIDTH], [(s - w, e - w, k) for s, e, k in spans if s >= w and e <= w + WIDTH]))
@@ -212,13 +240,13 @@ def train(texts: list[str], n: int = WINDOWS, rounds: int = 9) -> Tagger:
     codes = np.stack([encode(t, WIDTH) for t, _ in rows])
     tags = np.stack([tags_of(s, 0, WIDTH) for _, s in rows])
     model = Tagger.new(1 + 2 * len(KINDS))
-    model.fit(codes, tags, rounds)
+    model.fit(codes, tags, rounds, 128, 0.015)
     return model
 
 
-def found_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """All spans of each text: the base ones, then the tagger's where no base span lies."""
-    base = [base_spans(t) for t in texts]
+def found_spans(texts: list[str], model: Tagger, base: list[list[Span]] | None = None) -> list[list[Span]]:
+    """All spans of each text: the base ones (found here if not given), then the tagger's where no base span lies."""
+    base = list(base or map(base_spans, texts))
     at = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
     more: dict[int, list[tuple[int, int, int, float]]] = {}
     for k in range(0, len(at), 256):
@@ -259,8 +287,8 @@ def personal_data(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches(frames):
-            every = found_spans(texts, shared.value)
             base = list(map(base_spans, texts))
+            every = found_spans(texts, shared.value, base)
             counts = [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in range(4)]
             digest = [hashlib.sha256(as_text(b).encode()).hexdigest() for b in base]
             added = pa.array([len(a) - len(b) for a, b in zip(every, base, strict=True)], pa.int64())

@@ -106,6 +106,16 @@ def test_words_and_ids_equal_the_library(library):
         assert v.decode(np.array(ids, "<u4")) == t.encode()
 
 
+def test_plain_texts_are_cut_alike():
+    import regex
+
+    rnd, cut = random.Random(3), regex.compile(byte_bpe.PRE_TOKENS)
+    signs = [chr(c) for c in range(0x260)] + list("  \n's12_x")
+    texts = ["".join(rnd.choice(signs) for _ in range(12)) for _ in range(20_000)]
+    assert 1000 < sum(byte_bpe.PLAIN.fullmatch(t) is not None for t in texts) < 20_000
+    assert all(byte_bpe.pre_tokens(t, cut) == cut.findall(t) for t in texts)
+
+
 def test_white_space_is_that_of_the_library(library):
     import regex
 

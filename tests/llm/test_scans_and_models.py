@@ -73,6 +73,50 @@ def test_tagger_on_held_out_spellings(tagger):
     assert hit > 0.8 * (hit + missed) and hit > 0.8 * (hit + wrong)
 
 
+def test_tagger_finds_each_kind(tagger):
+    """Also where only a space parts numbers, so that the patterns take two for one."""
+    hit, n = [0] * 4, [0] * 4
+    for t, spans in pii.made_windows(["the words of this text are few"], 600, seed=123):
+        found = set(pii.found_spans([t], tagger)[0])
+        for s in spans:
+            n[s[2]] += 1
+            hit[s[2]] += s in found
+    assert all(h >= 0.85 * m for h, m in zip(hit, n, strict=True)) and sum(hit) >= 0.9 * sum(n), (hit, n)
+
+
+def test_tagger_finds_what_the_patterns_lose_in_the_corpus(spark):
+    """Phones and cards of the documents that their patterns join with a neighbour; other documents get no spans."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = pii.fit(docs)
+    texts = [r[0] for r in docs.where("text rlike '[0-9@]' and length(text) < 60000").select("text").distinct().collect()]
+    added = []
+    for t in texts:
+        base = pii.base_spans(t)
+        lost = pii.doubtful(t)
+        for s, e, k in set(pii.found_spans([t], model)[0]) - set(base):
+            added.append(t[s:e])
+            assert k in (2, 3) and any(a <= s and e <= b for a, b in lost), t[s:e]
+    assert {"+1 (826) 555-4081", "+1 (843) 555-7672"} <= set(added)
+
+
+def test_addresses_equal_the_pattern():
+    import re
+
+    pattern = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(5000):
+        t = "".join("0129.. a"[i] for i in RND.integers(0, 8, int(RND.integers(0, 40))))
+        assert pii.addresses(t) == [m.span() for m in pattern.finditer(t) if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in m[0].split("."))]
+
+
+def test_long_runs_of_digits_take_little_time():
+    import time
+
+    began = time.time()
+    for t in ("1" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "+" + "1 " * 500_000):
+        pii.base_spans(t)
+    assert time.time() - began < 12
+
+
 def test_reconcile_takes_the_best_set():
     assert pii.reconcile([(0, 5, 0, 0.9), (3, 9, 1, 0.95), (8, 12, 2, 0.9)]) == [(0, 5, 0), (8, 12, 2)]
     assert pii.reconcile([]) == []

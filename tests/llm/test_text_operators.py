@@ -73,6 +73,16 @@ def test_place_keeps_all_limits_and_tokens(capacity):
         assert padding < 0.02 * sum(p.length for p in pieces)
 
 
+def test_texts_of_a_few_tokens_need_no_padding(spark):
+    docs = spark.createDataFrame([(i, " ".join("ab"[k % 2] for k in range(i % 7))) for i in range(3000)], "doc_id long, text string").repartition(2)
+    rows = packing.pack(docs, public_tokenizers.path(packing.TOKENIZER)).collect()
+    size = Counter()
+    for r in rows:
+        size[r.sequence_id] += r.length
+    padded = sum(2048 - n for n in size.values() if n & (n - 1))
+    assert sum(size.values()) == sum(r.doc_tokens for r in rows if r.start == 0) and padded < 0.01 * sum(size.values())
+
+
 def test_pack_of_odd_rows(spark, odd, nothing):
     path = public_tokenizers.path(packing.TOKENIZER)
     lib = Tokenizer.from_file(path)
