@@ -93,9 +93,10 @@ def bases_at(points: DataFrame, seqs: DataFrame, before: int = 1, length: int =
     """``points`` (chrom, pos, ...) with ``around``: ``length`` bases from ``before`` ahead of pos.
 
     Joined on (chrom, piece), so that a chromosome's points are spread over its pieces
-    and the sequence isn't copied for each point.
+    and the sequence isn't copied for each point. ``seqs`` has sequences (chrom, seq), or
+    pieces (chrom, start, piece) of ``size`` bases with ``length`` more at least.
     """
-    pieces = chunked(seqs, size, length).withColumnsRenamed({"chrom": "s_chrom", "start": "s_start"})
+    pieces = (seqs if "piece" in seqs.columns else chunked(seqs, size, length)).withColumnsRenamed({"chrom": "s_chrom", "start": "s_start"})
     first = F.greatest(F.col("pos") - before, F.lit(0))
     hit = (F.col("chrom") == F.col("s_chrom")) & ((F.floor(first / size) * size) == F.col("s_start"))
     around = F.substring("piece", (first - F.col("s_start") + 1).cast("int"), F.lit(length))

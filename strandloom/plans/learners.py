@@ -174,10 +174,13 @@ def mutation_spectrum(contexts: DataFrame) -> DataFrame:
     return every.join(found, ["tri_ref", "tri_alt"], "left").select("tri_ref", "tri_alt", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
-def mutation_probabilities(contexts: DataFrame, seqs: DataFrame) -> DataFrame:
-    """tri, n_ref, n_mut, p: how likely each trinucleotide mutates (0 where it never occurs)."""
+def mutation_probabilities(contexts: DataFrame, seqs: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
+    """tri, n_ref, n_mut, p: how likely each trinucleotide mutates (0 where it never occurs).
+
+    ``counts`` (tri, n) are those of the reference if they are known; else ``seqs`` are counted.
+    """
     mutated = contexts.groupBy(F.col("tri_ref").alias("tri")).agg(F.count(F.lit(1)).alias("n_mut"))
-    joined = trinucleotide_counts(seqs).withColumnRenamed("n", "n_ref").join(mutated, "tri", "left").fillna(0, ["n_mut"])
+    joined = (trinucleotide_counts(seqs) if counts is None else counts).withColumnRenamed("n", "n_ref").join(mutated, "tri", "left").fillna(0, ["n_mut"])
     return joined.select("tri", "n_ref", "n_mut", F.when(F.col("n_ref") > 0, F.col("n_mut") / F.col("n_ref")).otherwise(0.0).alias("p"))
 
 
