@@ -1,4 +1,4 @@
-"""The queries of the training-data operators, one for each."""
+"""The queries of the training-data operators, one for each, and what of their results SQL can say."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import spelling, vector_codes
+from strandloom.llm import expressible, spelling, vector_codes
 from strandloom.llm.byte_bpe import op12_byte_bpe
 from strandloom.llm.decontaminate import op1_decontaminate
 from strandloom.llm.language_id import op8_language_id
@@ -26,8 +26,8 @@ ALL = (op1_decontaminate, op2_quality, op3_multiset_hash, op4_secret_scan, op5_p
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | expressible.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": vector_codes.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
+    return {"op11_vector_codes": vector_codes.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL} | expressible.ORACLES

@@ -264,14 +264,15 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
-#: The remainder table of CRC-32 as a list, by its rule.
-_CRC = "list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+#: A CTE with CRC-32's table of remainders as list ``t``, by its rule, and the sum of a binary ``b`` beside it.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b))"
+CRC_OF_B = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || hex(b)[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))"""
 ORACLE_SQL = rf"""
-WITH crc AS MATERIALIZED (SELECT list({_CRC} ORDER BY b) AS t FROM range(256) r(b)),
+WITH {CRC_TABLE},
 runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
 distinct_runs AS (SELECT doc_id, run, count(*) AS n, encode(concat(doc_id, ':', run)) AS b FROM runs GROUP BY doc_id, run),
-hashed AS (SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || hex(b)[2 * i + 1 : 2 * i + 2])::BIGINT)),
-    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM distinct_runs d CROSS JOIN crc),
+hashed AS (SELECT d.*, {CRC_OF_B} AS h FROM distinct_runs d CROSS JOIN crc),
 spoilt AS (SELECT CASE WHEN h % {SPOILT} = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
 words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_NUMBER}),
 lessened AS MATERIALIZED (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM words, unnest(range(1, length(word) + 1)) t(i)),
