@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import secrets
 from math import exp, lgamma, log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def seed_of(seed: int | None) -> int:
+    """The seed itself; without one, or for -1, a new one."""
+    return secrets.randbits(31) if seed is None or seed == -1 else seed
+
+
 def uniform(*key: Column | str | int) -> Column:
     """A number in [0, 1) from the md5 digest of the key's parts."""
     parts = [k if isinstance(k, Column) else F.lit(k) for k in key]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import BASES, TRINUCLEOTIDES
+from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, gc_count
 from strandloom.operators.intervals import overlaps
 
 
@@ -30,6 +30,21 @@ def recut(pieces: DataFrame, size: int) -> DataFrame:
     return small.select("chrom", (F.col("start") + F.col("at").cast("long") * size).alias("start"), "piece")
 
 
+def gc_profile(seqs: DataFrame, window: int) -> DataFrame:
+    """chrom, start, end, gc of windows along each sequence (chrom, seq).
+
+    Windows that end before the sequence does stand next to each other; what is left, at
+    most a window, has the count of the sequence's last ``window`` bases.
+    """
+    length = F.char_length("seq").cast("long")
+    size = max(1, 65_536 // window) * window
+    lengths = seqs.select(F.col("chrom").alias("of"), length.alias("length"))
+    tiles = recut(chunked(seqs, size, 0), window).join(lengths, F.col("chrom") == F.col("of")).where(F.col("start") + window < F.col("length"))
+    tiles = tiles.select("chrom", "start", (F.col("start") + window).alias("end"), gc_count(F.col("piece")).alias("gc"))
+    tail = seqs.where(length > 0).select("chrom", (F.floor((length - 1) / window) * window).alias("start"), length.alias("end"), gc_count(F.right("seq", F.lit(window))).alias("gc"))
+    return tiles.unionByName(tail)
+
+
 #: Code of each base, 64 for all other signs.
 CODES = np.full(256, 64, np.int64)
 CODES[[ord(b) for b in BASES]] = range(4)

@@ -48,8 +48,13 @@ def at_home(intervals: DataFrame, width: int = BIN) -> tuple[DataFrame, list[int
     return rows, sorted(r[0] for r in rows.select("bin_level").distinct().collect())
 
 
+def strictly_inside(points: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
+    """Points with the intervals that hold them beyond their first base: start < pos < end."""
+    return points_in_intervals(points, intervals, "inner", width).where(F.col("pos") > F.col("start"))
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, how: str = "inner", width: int = BIN) -> DataFrame:
-    """Join (inner or left) of points (chrom, pos, ...) with the intervals that hold them: start <= pos < end.
+    """Join (inner, left or left_semi) of points (chrom, pos, ...) with the intervals that hold them: start <= pos < end.
 
     An interval lies in one or two bins of its level, however long it is; a point is looked
     up in one bin of each level in use.
@@ -61,11 +66,13 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, how: str = "inn
     hit = (F.col("chrom") == F.col("i_chrom")) & (F.col("p_of.bin_level") == F.col("i_level")) & (F.col("p_of.bin") == F.col("i_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
     if how == "inner" or len(levels) < 2:
         return p.join(i, hit, how).drop("i_chrom", "i_level", "i_bin", "p_of")
-    # what one level doesn't hold another may; a place that none holds stays with nulls
+    # what one level doesn't hold another may, so places are judged over all levels
+    places = lambda rows: rows.select(F.col("chrom").alias("h_chrom"), F.col("pos").alias("h_pos")).distinct()
+    same = (F.col("chrom") == F.col("h_chrom")) & (F.col("pos") == F.col("h_pos"))
+    if how == "left_semi":
+        return points.join(places(p.join(i, hit, "left_semi")), same, "left_semi")
     found = checkpointed(p.join(i, hit).drop("i_chrom", "i_level", "i_bin", "p_of"))
-    held = found.select(F.col("chrom").alias("h_chrom"), F.col("pos").alias("h_pos")).distinct()
-    rest = points.join(held, (F.col("chrom") == F.col("h_chrom")) & (F.col("pos") == F.col("h_pos")), "left_anti")
-    return found.unionByName(rest, allowMissingColumns=True)
+    return found.unionByName(points.join(places(found), same, "left_anti"), allowMissingColumns=True)
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
@@ -191,6 +198,24 @@ def shifted(rows: DataFrame, value: str, by: int, name: str, key: str = "chrom",
     return copies.withColumn(name, before).where(F.col("stretch") == own).drop("stretch")
 
 
+def quantised_runs(rows: DataFrame, value: str, blocks: int = 10, key: str = "chrom", least: float = 1e-12) -> DataFrame:
+    """key, first, last, level: runs of neighbouring places (``numbered``) whose values lie in one of ``blocks`` equal ranges.
+
+    The ranges go from the least to the largest value of the key that is at least ``least``
+    of its sum; smaller values belong to no run. ``level`` is where the range begins.
+    """
+    sums = rows.groupBy(F.col(key).alias("of")).agg(F.sum(value).cast("double").alias("total"))
+    known = rows.select(key, "place", F.col(value).cast("double").alias("x")).join(sums, F.col(key) == F.col("of")).where(F.col("x") >= F.lit(least) * F.col("total"))
+    ends = known.groupBy(F.col(key).alias("of")).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    edges = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.col("low") + (i / F.lit(float(blocks))) * (F.col("high") - F.col("low")))
+    levels = known.drop("of").join(ends, F.col(key) == F.col("of")).select(key, "place", F.array_max(F.filter(edges, lambda e: e <= F.col("x"))).alias("level"))
+    order = [F.col("place")]
+    rows = carried(by_bins(levels, "place", key), F.struct("place", "level"), "previous", order, key=key)
+    first = F.col("previous").isNull() | (F.col("previous.place") < F.col("place") - 1) | (F.col("previous.level") != F.col("level"))
+    marked = carried(rows, F.when(first, F.col("place")), "first", order, strict=False, key=key)
+    return marked.groupBy(key, "first").agg(F.max("place").alias("last"), F.max("level").alias("level"))
+
+
 def runs_of(seqs: DataFrame, pattern: str = "[^ACGTU]+", size: int = 65_536) -> DataFrame:
     """Maximal runs that match a one-sign pattern: chrom, start, end (from chrom, seq).
 

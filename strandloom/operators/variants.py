@@ -121,6 +121,16 @@ def random_heterozygous(key: list[Column | str | int], ploidy: int) -> Column:
     return wp_string(F.array(uniform_int(ploidy, *key).cast("int")), ploidy)
 
 
+def called_genotype(records: DataFrame, ploidy: int = 2, seed: int = 0, order: list[str] | None = None) -> DataFrame:
+    """``records`` (of the VCF reader) with ``gt``: the first sample's genotype, or that of INFO where there are no samples.
+
+    Where none is given one ploid, drawn by the record's place and alleles, has the variant.
+    """
+    given = F.when(F.col("format").isNotNull(), format_value(F.col("format"), F.col("sample"), "GT")).otherwise(genotype(F.col("info")))
+    given = F.when(~F.coalesce(given, F.lit(".")).isin(".", "", "./.", ".|."), given)
+    return records.withColumn("gt", F.coalesce(given, random_heterozygous([F.lit("gt"), F.lit(seed), *[F.col(c) for c in order or ["chrom", "pos", "ref", "alt"]]], ploidy)))
+
+
 def frequency_class(af: Column) -> Column:
     """Allele frequency in twentieths, 0 to 20."""
     return F.least(F.greatest(F.floor(af * 20), F.lit(0)), F.lit(20)).cast("int")

@@ -110,6 +110,7 @@ ROUND_TRIPS = {
     "tsv_variants_roundtrip": with_(VARIANTS_SQL, "SELECT 'c' || chrom AS chrom, pos, ref, alt, count(*) AS n FROM variants GROUP BY ALL"),
     "bed_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, "end", 'mut_rate=0.' || (o_orderkey % 7) AS name FROM intervals"""),
     "rates_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, "end", round(least(CAST('0.' || (o_orderkey % 7) AS DOUBLE), 0.3), 9) AS rate FROM intervals WHERE "end" - start > 1"""),
+    "bed_track_lengths": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, count(*) AS n, CAST(sum("end" - start + 1) AS BIGINT) AS track_len FROM intervals GROUP BY chrom"""),
     "mappable_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, "end" FROM intervals WHERE o_orderkey % 100 >= 50"""),
     "depth_roundtrip": with_(INTERVALS_SQL, """SELECT 'c' || chrom AS chrom, start, start + 1 AS "end", CAST(o_orderkey % 50 AS DOUBLE) AS depth FROM intervals"""),
     "sam_roundtrip": f"WITH {READS} SELECT name, CAST(CASE mate WHEN 1 THEN 65 ELSE 129 END AS INT) AS flag, 'c' || c AS ref, pos, cigar, seq, qual FROM reads",
@@ -216,6 +217,15 @@ done AS (SELECT chrom, piece, arg_max(start, rn) AS start, arg_max("end", rn) AS
         **ROUND_TRIPS,
         "merge_intervals": with_(INTERVALS_SQL, MERGED.format(source="intervals")),
         "points_in_intervals": with_(f"{VARIANTS_SQL}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]}", 'SELECT o_orderkey, count(*) AS n FROM variants v JOIN intervals i ON v.chrom = i.chrom AND v.pos >= i.start AND v.pos < i."end" GROUP BY o_orderkey'),
+        "points_strictly_inside": with_(f"{VARIANTS_SQL}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]}", 'SELECT o_orderkey, count(*) AS n FROM variants v JOIN intervals i ON v.chrom = i.chrom AND v.pos > i.start AND v.pos < i."end" GROUP BY o_orderkey'),
+        "coverage_levels": with_(f"""{INTERVALS_SQL},
+placed AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY start, o_orderkey) - 1 AS place, CAST("end" - start AS DOUBLE) AS x, sum("end" - start) OVER (PARTITION BY chrom) AS total FROM intervals),
+known AS (SELECT *, min(x) OVER (PARTITION BY chrom) AS low, max(x) OVER (PARTITION BY chrom) AS high FROM placed WHERE x >= 1e-12 * total),
+level AS (SELECT chrom, place, list_max(list_filter(list_transform(range(10), lambda i: low + (i / 10.0::DOUBLE) * (high - low)), lambda e: e <= x)) AS level FROM known),
+marked AS (SELECT *, CASE WHEN lag(place) OVER w = place - 1 AND lag(level) OVER w = level THEN 0 ELSE 1 END AS new FROM level WINDOW w AS (PARTITION BY chrom ORDER BY place)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY place) AS run FROM marked)""", "SELECT chrom, min(place) AS first, max(place) AS last, round(max(level), 6) AS level FROM run GROUP BY chrom, run"),
+        "gc_profile": with_(f"""{CONTIGS_SQL},
+w AS (SELECT chrom, seq, length, unnest(range(0, length, 100)) AS start FROM contigs)""", """SELECT chrom, start, least(start + 100, length) AS "end", length(regexp_replace(CASE WHEN start + 100 < length THEN substr(seq, start + 1, 100) ELSE right(seq, 100) END, '[^GC]', '', 'g')) AS gc FROM w"""),
         "interval_overlap_bp": with_(INTERVALS_SQL, """SELECT a.chrom, count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS bases
 FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.o_orderkey % 2 = 0 AND b.o_orderkey % 2 = 1 AND a.start < b."end" AND b.start < a."end" GROUP BY a.chrom"""),
         "model_jaccard": with_(f"""{CALLS_SQL}, {INTERVALS_SQL[len(CONTIGS_SQL) + 2:]},

@@ -13,6 +13,7 @@ from strandloom.functions.random import draw, normal_lengths, poisson, random_dn
 from strandloom.functions.sequence import (
     carriers, cigar_compact, cigar_expand, encode_qualities, error_to_phred, gc_count, info_value, mask_low_quality, non_n_length, phred_to_error, reg2bin, reverse_complement, sam_flag, wp_string,
 )
+from strandloom.operators import chunks
 from strandloom.operators import intervals as iv
 from strandloom.operators import variants as vs
 from strandloom.operators.chunks import bases_at, piece_trinucleotides, recut, trinucleotide_counts
@@ -291,6 +292,25 @@ def points_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def points_strictly_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = iv.strictly_inside(d.variants(spark, sf_dir).select("chrom", "pos"), d.intervals(spark, sf_dir))
+    return hit.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def coverage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of intervals, along each chromosome, whose lengths lie in one of ten ranges."""
+    i = iv.numbered(d.intervals(spark, sf_dir).withColumn("bases", F.col("end") - F.col("start")), "start", [F.col("start"), F.col("o_orderkey")])
+    return iv.quantised_runs(i, "bases").withColumn("level", F.round("level", 6))
+
+
+@query
+def gc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G and C in windows of 100 bases; what is left at a contig's end has those of its last 100."""
+    return chunks.gc_profile(d.contigs(spark, sf_dir), 100)
+
+
 @query
 def interval_overlap_bp(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = d.intervals(spark, sf_dir)
@@ -699,6 +719,12 @@ def rates_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.mutation_rates(written_bed(spark, sf_dir, rate_name())).withColumn("rate", F.round("rate", 9))
 
 
+@query
+def bed_track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = text.track_lengths(written_bed(spark, sf_dir, rate_name()))
+    return lengths.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("track_len").alias("track_len"))
+
+
 @query
 def mappable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.mappable(written_bed(spark, sf_dir, (F.col("o_orderkey") % 100).cast("string")), 50)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.plans.simulate import fastq_lines, fastq_records, sam_lines
 from strandloom.sources import fastq
+from strandloom.sources.ranges import files, located
 
 VCF_HEADER = (
     "##fileformat=VCFv4.1\n"
@@ -59,8 +61,16 @@ def write_bed(regions: DataFrame, path: str) -> None:
     regions.select("chrom", "start", "end", "name").write.csv(path, sep="\t")
 
 
-def cached(spark, path: str, make: Callable[[], DataFrame]) -> DataFrame:  # noqa: ANN001
-    """The table at ``path``, made and written first if it isn't there."""
+def content_key(path: str) -> str:
+    """A name for what a file or folder holds now: it changes with names, sizes and times of the files."""
+    store, _ = located(path)
+    found = [(name, size, store.get_file_info(located(name)[1]).mtime_ns) for name, size in files(path)]
+    return hashlib.md5(repr(found).encode()).hexdigest()
+
+
+def cached(spark, path: str, make: Callable[[], DataFrame], source: str | None = None) -> DataFrame:  # noqa: ANN001
+    """The table at ``path``, made and written first if it isn't there; with ``source``, made again if those files change."""
+    path = path if source is None else f"{path}/{content_key(source)}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:

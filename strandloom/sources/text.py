@@ -34,7 +34,7 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos (0-based), id, ref, alt, qual, filter, info, format, samples (map by name).
+    """chrom, pos (0-based), id, ref, alt, qual, filter, info, format, samples (map by name), sample (the first one's fields).
 
     Columns are found by the #CHROM line; a record with another number of columns has
     a null chrom (``malformed``).
@@ -55,6 +55,7 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
         F.when(ok, cell("QUAL").try_cast("double")).alias("qual"),
         *[F.when(ok, cell(n.upper())).alias(n) for n in ("filter", "info", "format")],
         F.when(ok, by_name).alias("samples"),
+        F.when(ok, F.get("c", F.lit(9))).alias("sample") if samples else F.lit(None).cast("string").alias("sample"),
         (~ok).alias("malformed"),
     )
 
@@ -71,6 +72,11 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("c")[0].alias("chrom"), F.col("c")[1].cast("long").alias("start"), F.col("c")[2].cast("long").alias("end"), F.get("c", F.lit(3)).alias("name"))
 
 
+def track_lengths(regions: DataFrame) -> DataFrame:
+    """``regions`` with ``track_len``, which counts both ends."""
+    return regions.withColumn("track_len", F.col("end") - F.col("start") + 1)
+
+
 def mutation_rates(regions: DataFrame) -> DataFrame:
     """BED regions longer than a base whose name has mut_rate=, clamped to 0 .. 0.3: chrom, start, end, rate."""
     rate: Column = F.regexp_extract("name", r"mut_rate=([^;]*)", 1).try_cast("double")

@@ -281,3 +281,27 @@ def test_fastq_in_blocks(spark, tmp_path, single):
     if single:
         assert gzip.decompress(Path(path).read_bytes()).decode().splitlines()[::4] == [f"@r{i}/1" for i in range(20_000)]
     assert ranges(path, 5000)
+
+
+def test_cache_follows_the_content(spark, tmp_path):
+    from strandloom.sources import sinks
+
+    (tmp_path / "x.fa").write_text(">a\nAC\n")
+    made = []
+    table = lambda: made.append(1) or spark.range(len(made))
+    for _ in range(2):
+        assert sinks.cached(spark, str(tmp_path / "cache"), table, str(tmp_path / "x.fa")).count() == 1
+    (tmp_path / "x.fa").write_text(">a\nACGT\n")
+    assert sinks.cached(spark, str(tmp_path / "cache"), table, str(tmp_path / "x.fa")).count() == 2 and len(made) == 2
+
+
+def test_first_sample_and_missing_genotypes(spark, tmp_path):
+    from strandloom.operators import variants as vs
+    from strandloom.sources import text
+
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tZ\tA\n"
+    (tmp_path / "x.vcf").write_text(head + "".join(f"c\t{i + 1}\t.\tA\tG\t.\tPASS\t.\t{f}\t{s}\t1/1\n" for i, (f, s) in enumerate([("GT:DP", "0|1:3"), ("DP", "4"), ("GT", "./."), ("GT", ".")])))
+    got = [r.gt for r in vs.called_genotype(text.vcf(spark, str(tmp_path / "x.vcf"))).orderBy("pos").collect()]
+    assert got[0] == "0|1" and all(g in ("0/1", "1/0") for g in got[1:])
+    (tmp_path / "y.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nc\t1\t.\tA\tG\t.\tPASS\tGT=1/1\nc\t2\t.\tA\tG\t.\tPASS\tWP=0/1;GT=1/1\n")
+    assert [r.gt for r in vs.called_genotype(text.vcf(spark, str(tmp_path / "y.vcf"))).orderBy("pos").collect()] == ["1/1", "0/1"]

@@ -195,6 +195,8 @@ def test_joins_of_intervals_of_all_lengths(spark):
     outer = iv.points_in_intervals(df, spark.createDataFrame(right, schema), "left").select("point", "id").collect()
     missing = [(p, None) for c, x, p in points if not any(c == d and s <= x < e for d, s, e, _ in right)]
     assert sorted(map(tuple, outer), key=str) == sorted(hits + missing, key=str)
+    semi = iv.points_in_intervals(df, spark.createDataFrame(right, schema), "left_semi").select("point").collect()
+    assert sorted(r.point for r in semi) == sorted(p for c, x, p in points if any(c == d and s <= x < e for d, s, e, _ in right))
     none = spark.createDataFrame([], schema)
     assert iv.points_in_intervals(df, none, "left").count() == len(points) and iv.points_in_intervals(df, none).count() == 0
 
