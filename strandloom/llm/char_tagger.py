@@ -27,6 +27,12 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
 
 
+def log_product(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logarithm of exp(x) @ weights, row by row."""
+    m = x.max(1, keepdims=True)
+    return np.log(np.exp(x - m) @ weights) + m
+
+
 @dataclass
 class Tagger:
     """Parameters by name; texts are (batch, time) codes, tags are (batch, time) numbers."""
@@ -43,63 +49,71 @@ class Tagger:
             p[f"{side}c"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])  # gates: in, forget, out, new
         return cls(p)
 
-    def _lstm(self, x: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        b, t, _ = x.shape
-        wh = self.p[f"{side}h"]
-        n = wh.shape[0]
-        pre = x @ self.p[f"{side}x"] + self.p[f"{side}c"]
-        h, c = np.zeros((b, n)), np.zeros((b, n))
-        out, kept = np.zeros((b, t, n)), [None] * t
-        for k in range(t) if side == "f" else range(t - 1, -1, -1):
-            a = pre[:, k] + h @ wh
-            g = sigmoid(a[:, : 3 * n])
-            new = np.tanh(a[:, 3 * n :])
+    def _sides(self, name: str) -> np.ndarray:
+        """A parameter of both directions."""
+        return np.stack([self.p[f"f{name}"], self.p[f"b{name}"]])
+
+    def _lstm(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """Outputs of both directions at once, by time (the second one's runs from the end): (time, 2, batch, hidden)."""
+        both = np.stack([x, x[:, ::-1]]).transpose(2, 0, 1, 3)
+        wh = self._sides("h")
+        n = wh.shape[1]
+        pre = both @ self._sides("x") + self._sides("c")[:, None]
+        t, _, b, _ = pre.shape
+        h, c = np.zeros((2, b, n), x.dtype), np.zeros((2, b, n), x.dtype)
+        out, kept = np.zeros((t, 2, b, n), x.dtype), []
+        for k in range(t):
+            a = pre[k] + h @ wh
+            g = sigmoid(a[..., : 3 * n])
+            new = np.tanh(a[..., 3 * n :])
             before = (h, c)
-            c = g[:, n : 2 * n] * c + g[:, :n] * new
+            c = g[..., n : 2 * n] * c + g[..., :n] * new
             tc = np.tanh(c)
-            h = g[:, 2 * n :] * tc
-            out[:, k] = h
-            kept[k] = (*before, g, new, tc)
+            h = g[..., 2 * n :] * tc
+            out[k] = h
+            kept.append((*before, g, new, tc))
         return out, kept
 
-    def _lstm_back(self, x: np.ndarray, dout: np.ndarray, kept: list, side: str, grad: dict) -> np.ndarray:
-        b, t, _ = x.shape
-        wh = self.p[f"{side}h"]
-        n = wh.shape[0]
-        da = np.zeros((b, t, 4 * n))
-        dh, dc = np.zeros((b, n)), np.zeros((b, n))
-        gh = np.zeros_like(wh)
-        for k in range(t - 1, -1, -1) if side == "f" else range(t):
+    def _lstm_back(self, x: np.ndarray, dout: np.ndarray, kept: list, grad: dict) -> np.ndarray:
+        """Gradients of both directions' parameters, and of ``x``; ``dout`` is by time like the outputs."""
+        both = np.stack([x, x[:, ::-1]]).transpose(2, 0, 1, 3)
+        wh = self._sides("h")
+        n = wh.shape[1]
+        t, _, b, _ = dout.shape
+        da = np.zeros((t, 2, b, 4 * n), x.dtype)
+        dh, dc, gh = np.zeros((2, b, n), x.dtype), np.zeros((2, b, n), x.dtype), np.zeros_like(wh)
+        for k in range(t - 1, -1, -1):
             h0, c0, g, new, tc = kept[k]
-            i, f, o = g[:, :n], g[:, n : 2 * n], g[:, 2 * n :]
-            dh = dh + dout[:, k]
+            i, f, o = g[..., :n], g[..., n : 2 * n], g[..., 2 * n :]
+            dh = dh + dout[k]
             dc = dc + dh * o * (1 - tc * tc)
-            d = np.concatenate([dc * new * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - new * new)], axis=1)
-            da[:, k] = d
-            gh += h0.T @ d
-            dh, dc = d @ wh.T, dc * f
-        flat = da.reshape(-1, 4 * n)
-        grad[f"{side}h"], grad[f"{side}x"], grad[f"{side}c"] = gh, x.reshape(len(flat), -1).T @ flat, flat.sum(0)
-        return da @ self.p[f"{side}x"].T
+            d = da[k]
+            d[..., :n], d[..., n : 2 * n], d[..., 2 * n : 3 * n], d[..., 3 * n :] = dc * new * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - new * new)
+            gh += h0.transpose(0, 2, 1) @ d
+            dh, dc = d @ wh.transpose(0, 2, 1), dc * f
+        dx = (da @ self._sides("x").transpose(0, 2, 1)).transpose(1, 2, 0, 3)
+        for s, side in enumerate("fb"):
+            flat = da[:, s].reshape(-1, 4 * n)
+            grad[f"{side}h"], grad[f"{side}x"], grad[f"{side}c"] = gh[s], both[:, s].reshape(len(flat), -1).T @ flat, flat.sum(0)
+        return dx[0] + dx[1][:, ::-1]
 
     def emissions(self, codes: np.ndarray) -> tuple[np.ndarray, tuple]:
         x = self.p["embed"][codes]
-        f, kf = self._lstm(x, "f")
-        b, kb = self._lstm(x, "b")
-        h = np.concatenate([f, b], axis=2)
-        return h @ self.p["out"] + self.p["bias"], (x, h, kf, kb)
+        out, kept = self._lstm(x)
+        h = np.concatenate([out[:, 0].transpose(1, 0, 2), out[::-1, 1].transpose(1, 0, 2)], axis=2)
+        return h @ self.p["out"] + self.p["bias"], (x, h, kept)
 
     def _alpha(self, e: np.ndarray) -> np.ndarray:
-        out = np.empty_like(e)
+        out, move = np.empty_like(e), np.exp(self.p["move"])
         out[:, 0] = e[:, 0]
         for k in range(1, e.shape[1]):
-            out[:, k] = e[:, k] + logsumexp(out[:, k - 1, :, None] + self.p["move"], 1)
+            out[:, k] = e[:, k] + log_product(out[:, k - 1], move)
         return out
 
     def _beta(self, e: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(e)
+        out, move = np.zeros_like(e), np.exp(self.p["move"].T)
         for k in range(e.shape[1] - 2, -1, -1):
-            out[:, k] = logsumexp(self.p["move"] + (e[:, k + 1] + out[:, k + 1])[:, None, :], 2)
+            out[:, k] = log_product(e[:, k + 1] + out[:, k + 1], move)
         return out
 
     def marginals(self, e: np.ndarray) -> np.ndarray:
@@ -109,7 +123,7 @@ class Tagger:
 
     def loss_and_gradient(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tag sequences."""
-        e, (x, h, kf, kb) = self.emissions(codes)
+        e, (x, h, kept) = self.emissions(codes)
         n, t, kinds = e.shape
         move = self.p["move"]
         a, b = self._alpha(e), self._beta(e)
@@ -118,20 +132,25 @@ class Tagger:
         gold = e[rows, places, tags].sum() + move[tags[:, :-1], tags[:, 1:]].sum()
         de = np.exp(a + b - z[:, None, None])
         de[rows, places, tags] -= 1
-        pair = np.exp(a[:, :-1, :, None] + move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
+        # chances of two tags in a row, summed over all places: a product of two lists of vectors
+        here, there = a[:, :-1], e[:, 1:] + b[:, 1:]
+        most = here.max(2, keepdims=True), there.max(2, keepdims=True)
+        scale = np.exp(most[0] + most[1] - z[:, None, None])
+        pair = np.exp(move) * ((np.exp(here - most[0]) * scale).reshape(-1, kinds).T @ np.exp(there - most[1]).reshape(-1, kinds))
         np.subtract.at(pair, (tags[:, :-1], tags[:, 1:]), 1)
         de /= n
         grad = {"move": pair / n, "out": h.reshape(-1, h.shape[2]).T @ de.reshape(-1, kinds), "bias": de.sum((0, 1))}
         dh = de @ self.p["out"].T
-        half = kf[0][0].shape[1]
-        dx = self._lstm_back(x, dh[:, :, :half], kf, "f", grad) + self._lstm_back(x, dh[:, :, half:], kb, "b", grad)
+        half = h.shape[2] // 2
+        dx = self._lstm_back(x, np.stack([dh[:, :, :half], dh[:, ::-1, half:]]).transpose(2, 0, 1, 3), kept, grad)
         grad["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(grad["embed"], codes, dx)
         return float(z.sum() - gold) / n, grad
 
     def fit(self, codes: np.ndarray, tags: np.ndarray, rounds: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 2) -> list[float]:
-        """Adam on shuffled batches; the mean loss of each round."""
+        """Adam on shuffled batches, in single precision; the mean loss of each round."""
         r = np.random.default_rng(seed)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         u = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, losses = 0, []
@@ -144,7 +163,7 @@ class Tagger:
                 norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
                 step += 1
                 for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / (norm + 1e-9))
+                    g = g * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
                     m[k] = 0.9 * m[k] + 0.1 * g
                     u[k] = 0.999 * u[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.999**step)) + 1e-8)

@@ -28,6 +28,8 @@ SYMBOLS = 1 << SYMBOL_BITS
 OWN = 60_000
 #: Documents of each language to learn from (expected number); fewer, but FEWEST at least, where all languages together would exceed TOTAL.
 EACH, FEWEST, TOTAL = 300, 20, 60_000
+#: Languages that are learned at most, the most frequent ones; letters of the piece by which a text of over LEARN_BYTES is learned from.
+LANGUAGES, PIECE = 1_000, 16_384
 #: Numbers that the cache of log-probabilities holds, and that one step of scoring makes.
 CACHED, STEP = 1 << 22, 1 << 22
 #: Share of a language's own texts that may be rejected.
@@ -201,14 +203,22 @@ def train(samples: dict[str, list[str]]) -> Identifier:
 
 
 def fit(docs: DataFrame, each: int = EACH) -> Identifier:
-    """Learn every language from about ``each`` of its documents, chosen by a hash of id and text; texts of over LEARN_BYTES aren't read."""
+    """Learn every language from about ``each`` of its documents, chosen by a hash of id and text.
+
+    Of texts of over LEARN_BYTES a piece is read, somewhere by their hash. Where there are more
+    than LANGUAGES the most frequent ones are learned (ties: the first by name), so what comes
+    to the driver is bounded.
+    """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(MODULUS) != HELD) & learnable())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = max(1, sizes.count())
-    share = F.lit(float(max(FEWEST, min(each, TOTAL // languages)))) / F.col("n")
-    # one row a language
-    chosen = known.join(F.broadcast(sizes), "lang").where(hash_share(11, "doc_id", "text") < share)
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(MODULUS) != HELD))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return train({})
+    share = F.lit(float(max(FEWEST, min(each, TOTAL // len(sizes))))) / F.col("n")
+    kept = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, n long"))  # LANGUAGES rows at most
+    chosen = known.join(kept, "lang").where(hash_share(11, "doc_id", "text") < share)
+    begin = F.pmod(F.xxhash64("text", F.lit(12)), F.greatest(F.char_length("text") - PIECE, F.lit(1))).cast("int") + 1
+    chosen = chosen.withColumn("text", F.when(learnable(), F.col("text")).otherwise(F.substring(F.col("text"), begin, F.lit(PIECE))))
     samples: dict[str, list[str]] = {}
     for lang, text in chosen.groupBy("lang", F.xxhash64("text").alias("of")).agg(F.min("text").alias("text")).select("lang", "text").collect():
         samples.setdefault(lang, []).append(text)

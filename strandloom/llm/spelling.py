@@ -33,9 +33,8 @@ LEAST_LENGTH, LEAST_NUMBER, SPOILT, TIMES = 5, 3, 97, 2
 LETTERS = bytes([*range(97, 123), *range(0xC0, 0x100)])
 #: Each byte's fold: A to Z to a to z, letters to themselves, all else to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in LETTERS else 32 for b in range(256))
-#: Number of each letter, 0 for the signs that fill up.
-NUMBER = np.zeros(256, np.int64)
-NUMBER[list(LETTERS)] = np.arange(1, len(LETTERS) + 1)
+#: Number of each letter as a byte.
+NUMBER = bytes(LETTERS.index(b) + 1 if b in LETTERS else 0 for b in range(256))
 BASE = len(LETTERS) + 1
 GRAMS = BASE**Q
 #: Distinct words that a task counts before it hands them on, and words that a block's index holds at most (about).
@@ -79,8 +78,8 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 def grams_of(word: bytes) -> list[int]:
     """The numbers of a word's grams, from left to right."""
-    x = np.concatenate((np.zeros(Q - 1, np.int64), NUMBER[np.frombuffer(word, np.uint8)], np.zeros(Q - 1, np.int64)))
-    return ((x[:-2] * BASE + x[1:-1]) * BASE + x[2:]).tolist()
+    x = bytes(Q - 1) + word.translate(NUMBER) + bytes(Q - 1)
+    return [(a * BASE + b) * BASE + c for a, b, c in zip(x, x[1:], x[2:], strict=False)]
 
 
 def gram_numbers(words: DataFrame) -> np.ndarray:

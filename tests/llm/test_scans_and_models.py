@@ -541,3 +541,15 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_languages_of_long_texts_and_too_many_languages(spark, monkeypatch):
+    """A language whose texts are all long is learned from pieces; of very many languages the most frequent ones are."""
+    words = {"aa": "kalo mire tosa velu", "bb": "strumpf krank zwölf pfeil", "cc": "ngwe mbali nkosi dlala"}
+    rows = [(i, " ".join(words[lang].split()[(i + k) % 4] for k in range(40_000 if lang == "cc" else 60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [(1000 + i, "x y", f"rare{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    model = language_id.fit(df)
+    assert sorted(model.names) == ["aa", "bb", "cc"]
+    assert model.predict([" ".join(w.split()[::-1]) for w in words.values()])[0] == ["aa", "bb", "cc"]
