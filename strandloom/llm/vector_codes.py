@@ -82,7 +82,7 @@ def whole(lists: pa.Array, dims: int, width: int) -> tuple[np.ndarray, np.ndarra
     kept[row[~np.isfinite(flat)]] = False
     usual = kept & (size == dims)
     with np.errstate(over="ignore"):
-        numbers = np.clip(np.floor(flat[usual[row]] * SCALE), -LARGEST, LARGEST).astype(np.int64).reshape(-1, dims)
+        numbers = np.clip(np.floor(flat[usual[row]] * SCALE), -LARGEST, LARGEST).astype(np.int64).reshape(int(usual.sum()), dims)
     padded = np.zeros((len(numbers), PARTS * width), np.int64)
     padded[:, :dims] = numbers
     return np.flatnonzero(kept), np.flatnonzero(usual), padded
