@@ -222,13 +222,17 @@ def dense_regions(variants: DataFrame, gap: int = 2000, pad: int = 2000, snap: i
     return dense.where(F.col("density") >= F.lit(cut))
 
 
+#: Regions of a run that its rate is folded from.
+FOLDED = 128
+
+
 def merged_regions(regions: DataFrame) -> DataFrame:
     """Overlapping regions of a chromosome folded from the right: chrom, start, end, rate.
 
     Of two that overlap, the later one's end stays and the rates are averaged, so the
     result depends on the order. A fold's region begins where the next one did, so neighbours
-    alone say which regions run together, and a run's rate is a sum: halves, quarters and so
-    on from its first region, the last counted twice. No region's neighbours are gathered.
+    alone say which regions run together. A region's share of the rate halves with each one
+    before it, so that of those after the first FOLDED of a run is nothing in a double.
     """
     order = [F.col(c) for c in ("start", "end", "density")]
     one = F.struct(*order)
@@ -237,9 +241,11 @@ def merged_regions(regions: DataFrame) -> DataFrame:
     place = F.coalesce("place", F.lit(0).cast("long"))
     apart = F.col("previous").isNull() | (F.col("previous.end") < F.col("start"))
     runs = carried(rows.withColumn("place", place), F.when(apart, F.col("place")), "first", [F.col("place")], strict=False)
-    part = F.col("density") * F.pow(F.lit(0.5), F.col("place") - F.col("first") + 1)
-    folded = runs.groupBy("chrom", "first").agg(F.min("start").alias("start"), F.max_by("end", "place").alias("end"), F.sum(part).alias("parts"), F.max_by(part, "place").alias("last"))
-    return folded.select("chrom", "start", "end", (F.col("parts") + F.col("last")).alias("rate"))
+    near = F.when(F.col("place") - F.col("first") < FOLDED, F.struct("place", "density"))
+    folded = runs.groupBy("chrom", "first").agg(F.min("start").alias("start"), F.max_by("end", "place").alias("end"), F.reverse(F.array_sort(F.collect_list(near))).alias("near"))
+    densities = F.transform("near", lambda x: x["density"])
+    rate = F.aggregate(F.slice(densities, F.lit(2), F.lit(FOLDED)), densities[0], lambda later, own: (own + later) / 2)
+    return folded.select("chrom", "start", "end", rate.alias("rate"))
 
 
 def substitution_heatmaps(contexts: DataFrame) -> DataFrame:
