@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -106,18 +105,22 @@ def dealt(words: DataFrame, frequency, indexed: int) -> DataFrame:  # noqa: ANN0
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequency.value
+        often = frequency.value.tolist()
         for b in frames:
             out: list[tuple] = []
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = word.encode("latin-1")
-                nth: Counter[int] = Counter()
-                keyed = []
-                for g in grams_of(w):
-                    keyed.append((int(often[g]), g, nth[g]))
-                    nth[g] += 1
+                grams = grams_of(w)
+                if len(set(grams)) == len(grams):
+                    keyed = [(often[g], g, 0) for g in grams]
+                else:
+                    nth: Counter[int] = Counter()
+                    keyed = []
+                    for g in grams:
+                        keyed.append((often[g], g, nth[g]))
+                        nth[g] += 1
                 before: list[int] = []
-                for count, g, k in heapq.nsmallest(FIRST, keyed):
+                for count, g, k in sorted(keyed)[:FIRST]:
                     slices = 1 + count // indexed
                     home = zlib.crc32(w) % slices
                     for s in range(slices):
@@ -145,46 +148,49 @@ class Index:
 
     def __init__(self) -> None:
         self.words: list[tuple] = []
+        self.keys: list[frozenset[int]] = []
         self.at: dict[int, list[int]] = {}
 
     def add(self, row: tuple, keys: list[int]) -> None:
+        n = len(self.words)
         for k in keys:
-            self.at.setdefault(k, []).append(len(self.words))
+            if k in self.at:
+                self.at[k].append(n)
+            else:
+                self.at[k] = [n]
         self.words.append(row)
+        self.keys.append(frozenset(keys))
 
     def common(self, keys: list[int], longer: bool) -> Iterator[int]:
         """Numbers of the words that have enough grams in common with one whose grams and places are ``keys``.
 
         A word may lack Q of its grams, so a near one is in the postings of one of the Q + 1
-        rarest. These are merged with a heap; the others are searched for what came out.
+        rarest. These are merged with a heap, and the grams in common with what comes out
+        are counted. A longer word's grams stand where they do in the shorter one, or a place later.
         """
-        at = self.at
-        if longer:  # a longer word's grams stand where they do in the shorter one, or a place later
-            lists = [[x for x in (at.get(k), at.get(k - GRAMS)) if x] for k in keys]
+        get = self.at.get
+        if longer:
+            both = [(get(k), get(k - GRAMS)) for k in keys]
+            if both.count((None, None)) > Q:
+                return
+            both.sort(key=lambda ab: len(ab[0] or ()) + len(ab[1] or ()))
+            rare = [x for ab in both[: Q + 1] for x in ab if x]
+            shifted = [k - GRAMS for k in keys]
         else:
-            lists = [[x] if (x := at.get(k)) else [] for k in keys]
-        if lists.count([]) > Q:
-            return
-        lists.sort(key=lambda xs: sum(map(len, xs)))
-        rare, rest = lists[: Q + 1], lists[Q + 1 :]
-        heap = [(x[0], g, 0, x) for g, xs in enumerate(rare) for x in xs]
-        heapq.heapify(heap)
-        while heap:
-            word, seen = heap[0][0], set()
-            while heap and heap[0][0] == word:
-                _, g, i, x = heap[0]
-                seen.add(g)
-                if i + 1 < len(x):
-                    heapq.heapreplace(heap, (x[i + 1], g, i + 1, x))
-                else:
-                    heapq.heappop(heap)
-            lacking = Q + 1 - len(seen)
-            for xs in rest:
-                if lacking > Q:
-                    break
-                lacking += not any((i := bisect_left(x, word)) < len(x) and x[i] == word for x in xs)
-            if lacking <= Q:
-                yield word
+            lists = [get(k, ()) for k in keys]
+            if lists.count(()) > Q:
+                return
+            lists.sort(key=len)
+            rare = [x for x in lists[: Q + 1] if x]
+        own, least, last = frozenset(keys), len(keys) - Q, -1
+        for word in heapq.merge(*rare) if len(rare) > 1 else rare[0] if rare else ():
+            if word != last:
+                last, other = word, self.keys[word]
+                n = len(own & other)
+                if longer:
+                    n += len(other.intersection(shifted))
+                if n >= least:
+                    yield word
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
