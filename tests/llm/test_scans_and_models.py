@@ -312,6 +312,53 @@ def test_quality_ranks_like_plain_descent_over_all_pairs():
     assert ((model.score(texts) >= 0.7) == (y == 1)).all()
 
 
+def pairs_gradient(model, x, y):
+    """Gradient of the mean loss of all pairs at the model's weights, pair by pair."""
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    p = 1 / (1 + np.exp((good @ model.weight)[:, None] - (bad @ model.weight)[None, :]))
+    return 1e-3 * model.weight - (p.sum(1) @ good - p.sum(0) @ bad) / p.size
+
+
+def noisy(k):
+    """A text whose class (k % 2) its signs tell only mostly."""
+    odd = k % 2 if RND.random() < 0.8 else 1 - k % 2
+    return " ".join(RND.choice(["alpha", "beta", "gamma.", "Delta"], 6)) + " !!!" * (odd * int(RND.integers(1, 4))) + " x1" * int(RND.integers(0, 4))
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    rows = [(k, noisy(k)) for k in range(7400)] + [(k, f"long text {k} " * 8000) for k in range(7400, 7408)]
+    docs = spark.createDataFrame([*rows, (None, "no id"), (9000, "no label")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([*((k, 1 - k % 2) for k, _ in rows), (9001, 1), (None, 0)], "doc_id long, quality int")
+    ours = quality.fit(docs, labels)
+    known = [(t, 1 - k % 2) for k, t in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    x, y = np.array([quality.features(t) for t, _ in known], np.float64), np.array([c for _, c in known])
+    assert np.bincount(y).min() > 2500 and max(len(t) for t, _ in known) > 65_536
+    assert np.allclose(ours.mean, x.mean(0), rtol=1e-6, atol=1e-12)
+    assert np.abs(pairs_gradient(ours, x, y)).max() < 1e-7
+    s = ours.rank(x)
+    below, above = np.sort(s)[[(y == 0).sum() - 1, (y == 0).sum()]]
+    assert abs(ours.cut - (below + above) / 2) < 1e-12
+    same = quality.train(list(x.astype(np.float32)), y, np.bincount(y) / len(y))
+    assert (same.weight == ours.weight).all() and abs(same.cut - ours.cut) < 1e-12
+
+
+def test_sums_over_pairs_in_slices(monkeypatch):
+    x, y = np.array([quality.features(noisy(k)) for k in range(120)]), np.array([1 - k % 2 for k in range(120)])
+    whole = quality.train(list(x), y, np.array([0.5, 0.5]))
+    assert np.abs(pairs_gradient(whole, x.astype(np.float64), y)).max() < 1e-7
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    assert np.allclose(quality.train(list(x), y, np.array([0.5, 0.5])).weight, whole.weight, rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 9])
+def test_sums_by_key_of_no_rows_and_few(spark, rows):
+    data = [(k % 2, np.array([k, 1.0], "<f4").tobytes()) for k in range(rows)]
+    got = labelled.totals(spark.createDataFrame(data, "label int, features binary").repartition(4), lambda x, y: (y, quality.with_ones(x)), 2)
+    sums = {int(k): v.tolist() for k, v in zip(*got, strict=True)}
+    assert sums == {c: [len(range(c, rows, 2)), sum(range(c, rows, 2)), len(range(c, rows, 2))] for c in range(min(2, rows))}
+
+
 def plain_margin(model, text):
     ts = toxicity.terms(text)
     return model.bias + sum(model.weight[i] for i in ts) + sum(float(model.vectors[i] @ model.vectors[j]) for i, j in combinations(ts, 2))
