@@ -15,6 +15,10 @@ from strandloom.operators.chunks import bases_at
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTANNTAC"
 #: Letters of the shortest text that can hold a variant.
 LEAST_CONTIG = 4
+#: Most texts whose lengths are sent to all tasks (16 bytes each); the lengths of more are dealt out with what they meet.
+SENT_LENGTHS = 1 << 20
+#: Bases of a block, a multiple of three.
+BLOCK = 3072
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +37,26 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contig_number(spark: SparkSession, sf_dir: str, key: Column) -> Column:
-    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")).first()[0]
-    return F.pmod(key, F.lit(n))
+    return F.pmod(key, F.lit(n_documents(spark, sf_dir)))
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variant records on the contigs: an SNP or a padded indel for each line item on a contig."""
+def n_documents(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")).first()[0]
+
+
+def variants(spark: SparkSession, sf_dir: str, front: bool = False) -> DataFrame:
+    """Variant records on the contigs: an SNP or a padded indel for each line item on a contig; with ``front``, the base ahead of each."""
     seqs = contigs(spark, sf_dir)
-    items = table(spark, sf_dir, "lineitem").withColumn("chrom", contig_number(spark, sf_dir, F.col("l_orderkey")))
+    n, lengths = n_documents(spark, sf_dir), seqs.select("chrom", "length")
+    items = table(spark, sf_dir, "lineitem").withColumn("chrom", F.pmod("l_orderkey", F.lit(n)))
     at = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber") * 7 + F.col("l_orderkey") * 13) % (F.col("length") - 3) + 1
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     used = ["chrom", "pos", "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_extendedprice", *keys]
     # only short pieces of the sequences are joined with the many items
-    placed = bases_at(items.join(seqs.select("chrom", "length"), "chrom").withColumn("pos", at).select(used), seqs, before=0, length=4, size=256)
+    placed = items.join(F.broadcast(lengths) if n <= SENT_LENGTHS else lengths, "chrom").withColumn("pos", at).select(used)
+    placed = bases_at(placed, seqs, before=int(front), length=4 + front, size=256)
     size = F.when(F.col("l_linenumber") % 4 == 0, (F.col("l_suppkey") % 3 + 2).cast("int")).otherwise(F.lit(1))
-    ref = F.left("around", size)
+    ref = F.substring("around", F.lit(1 + front), size)
     kind = F.col("l_linenumber") % 4
     base = F.left(F.col("ref"), F.lit(1))
     alt = (
@@ -56,7 +65,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.translate("ref", "ACGTN", "GTACA"))
         .otherwise(F.translate("ref", "ACGTN", "CATGA"))
     )
-    return placed.select("chrom", "pos", ref.alias("ref"), *used[2:]).withColumn("alt", alt)
+    ahead = [F.left("around", F.lit(1)).alias("front")] if front else []
+    return placed.select("chrom", "pos", ref.alias("ref"), *used[2:], *ahead).withColumn("alt", alt)
 
 
 CONTIGS_SQL = f"""
@@ -116,8 +126,37 @@ q_long AS (SELECT event_id AS read_id, i AS pos, ascii(md5(event_id || ':' || i)
 def call_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Golden and called variants: two overlapping hashed subsets of the distinct variants."""
     distinct = variants(spark, sf_dir).select("chrom", "pos", "ref", "alt").distinct()
-    u = lambda seed: uniform(seed, F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))
-    return distinct.where(u("golden") < 0.8), distinct.where(u("called") < 0.7)
+    return distinct.where(in_golden()), distinct.where(in_called())
+
+
+def hashed_variant(seed: str) -> Column:
+    return uniform(seed, F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))
+
+
+def in_golden() -> Column:
+    return hashed_variant("golden") < 0.8
+
+
+def in_called() -> Column:
+    return hashed_variant("called") < 0.7
+
+
+def shifted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, block, pos, ref, alt, g of golden variants (g) and calls; some golden ones are called, too, with one more base in front.
+
+    Derived once: each distinct variant says in which sets it is, and the base ahead of it
+    comes with its own. Rows are dealt out by block, which holds a variant at a multiple
+    of three and the place before it, so groups of a block's rows need no further shuffle.
+    """
+    rows = variants(spark, sf_dir, front=True).select("chrom", F.floor((F.col("pos") + 1) / BLOCK).alias("block"), "pos", "ref", "alt", "front")
+    distinct = rows.repartition("chrom", "block").distinct()
+    one = lambda pos, ref, alt, g: F.struct(pos.alias("pos"), ref.alias("ref"), alt.alias("alt"), F.lit(g).alias("g"))
+    pos, ref, alt, front = (F.col(c) for c in ("pos", "ref", "alt", "front"))
+    # the explode of one value has the draws worked out once
+    marked = distinct.select("*", F.inline(F.array(F.struct(in_golden().alias("golden"), in_called().alias("called")))))
+    shifted = F.when(F.col("golden") & (pos > 1) & (pos % 3 == 0), one(pos - 1, F.concat(front, ref), F.concat(front, alt), False))
+    rows = F.array_compact(F.array(F.when(F.col("golden"), one(pos, ref, alt, True)), F.when(F.col("called"), one(pos, ref, alt, False)), shifted))
+    return marked.where("golden or called").select("chrom", "block", F.explode(rows).alias("of")).select("chrom", "block", "of.*")
 
 
 def uniform_sql(*key: str) -> str:

@@ -361,12 +361,8 @@ def fn_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vcf_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that state a golden variant with one more base in front, beside calls that don't."""
-    golden, called = d.call_sets(spark, sf_dir)
-    seqs = d.contigs(spark, sf_dir)
-    shifted = bases_at(golden.where("pos > 1 and pos % 3 = 0"), seqs, before=1, length=1)
-    front = F.col("around")
-    calls = shifted.select("chrom", (F.col("pos") - 1).alias("pos"), F.concat(front, "ref").alias("ref"), F.concat(front, "alt").alias("alt"))
-    return compare.equivalents(*compare.missed_and_wrong(golden, called.unionByName(calls)), seqs)
+    rest = compare.judged_rows(d.shifted_calls(spark, sf_dir), "block").where(~F.col("solved"))
+    return compare.equivalents_among(compare.sided(rest), d.contigs(spark, sf_dir))
 
 
 @query

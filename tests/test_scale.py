@@ -1,6 +1,7 @@
 """Operators that work bin by bin against plain walks of the whole chromosome, and work in proportion to length."""
 
 import random
+import re
 import time
 
 import pytest
@@ -255,3 +256,47 @@ def test_counters_come_with_the_records(spark):
     kept, counted = vs.screened(df)
     assert sorted(r.pos for r in kept.collect()) == [6]
     assert counted.get == {"kept": 1, "no_variant": 2, "filtered": 2, "no_position": 1, "not_carried": 1}
+
+
+def equal_haplotypes(missed, wrong, calls, seq, reach=50):
+    """Those of the calls (and sizes of their missed sets) whose two sets, put into the sequence whole, give the same string."""
+    found = []
+    for call in calls:
+        texts = []
+        for side in (missed, wrong):
+            near = sorted(v for v in side if v[0] < call[0] + reach + 1 and v[0] + len(v[1]) > call[0] - reach)
+            at, out, fits = 0, "", bool(near)
+            for pos, ref, alt in near:
+                fits &= pos >= at and seq[pos : pos + len(ref)] == ref
+                out, at = out + seq[at:pos] + alt, pos + len(ref)
+            texts.append((out + seq[at:]) if fits else None)
+            n = len(near) if side is missed else n
+        if texts[0] is not None and texts[0] == texts[1]:
+            found.append((*call, n))
+    return sorted(found)
+
+
+def test_equivalents_equal_whole_strings(spark):
+    """Also across edges of bins, and where thousands of variants lie in one neighbourhood; no pairs of them are made."""
+    r = random.Random(12)
+    seq = "".join(r.choice("AACGT") for _ in range(9000))
+    missed, wrong = set(), set()
+    for i, at in enumerate([*range(290, 8800, 160), 4093, 8190]):
+        pos, n = at + r.randrange(20), r.randrange(1, 4)
+        alt = r.choice(["A", "C", seq[pos] + "GA", seq[pos]])
+        missed.add((pos, seq[pos : pos + n], alt))
+        if i % 3:
+            wrong.add((pos - 1, seq[pos - 1 : pos + n], seq[pos - 1] + alt))
+        if i % 7 == 0:
+            wrong.add((pos + r.randrange(9, 60), "A", "T"))
+        if i % 5 == 0:
+            missed.add((pos + r.randrange(-55, 55), "A", "AC"))
+    crowd = {(100 + i % 50, seq[100 + i % 50] + "C" * (i // 50), "T") for i in range(3000)}
+    missed |= crowd
+    wrong |= crowd
+    frame = lambda rows: spark.createDataFrame([("c", *v) for v in rows], SCHEMA)
+    got = compare.equivalents(frame(missed), frame(wrong), spark.createDataFrame([("c", seq)], "chrom string, seq string"))
+    want = equal_haplotypes(missed, wrong, [v for v in wrong if v[0] > 250], seq)
+    assert len(want) > 10
+    assert sorted((v.pos, v.ref, v.alt, v.n_missed) for v in got.collect()) == want
+    assert len(re.findall(r"\bJoin\b", got._jdf.queryExecution().optimizedPlan().toString())) == 1  # with the sequence
