@@ -11,14 +11,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.random import draw, normal_lengths, random_dna, uniform, uniform_int
-from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, apply_variants, gc_count, haplotype_cigar, reverse_complement, sam_flag, wp_string
+from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, apply_variants, haplotype_cigar, reverse_complement, wp_string
 from strandloom.operators.chunks import chunked
 from strandloom.operators.intervals import BIN, islands, overlaps, points_in_intervals
+from strandloom.plans import reads as reads_
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,42 @@ def window_plan(regions: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.select("chrom", "win", begin.alias("start"), core.alias("core_end"), F.least(core + overlap, F.col("e")).alias("end"))
 
 
+#: Bases of the pieces that are sent on at once.
+SENT = 1 << 22
+
+
+def window_pieces(seqs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """``window_plan`` of whole sequences (chrom, seq) with ``piece``, the bases from ``start`` to ``end``: cut in one pass, without a join."""
+    kind = dict(seqs.dtypes)["chrom"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chrom", "win", "start", "core_end", "end", "piece"]
+        for b in batches:
+            rows, held = [], 0
+
+            def out(rows: list, b: pa.RecordBatch = b) -> pa.RecordBatch:
+                of, *columns = zip(*rows, strict=True)
+                kinds = [*[pa.int64()] * 4, pa.string()]
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+            for i, text in enumerate(b.column(1)):
+                text = text.as_py() or ""
+                n = max(len(text) // size, 1)
+                step = len(text) // n
+                for win in range(n if text else 0):
+                    core_end = len(text) if win == n - 1 else (win + 1) * step
+                    end = min(core_end + overlap, len(text))
+                    rows.append((i, win, win * step, core_end, end, text[win * step : end]))
+                    held += end - win * step
+                    if held >= SENT:
+                        yield out(rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    return seqs.select("chrom", "seq").mapInArrow(run, f"chrom {kind}, win long, start long, core_end long, end long, piece string")
+
+
 #: Greatest rate that one Poisson draw has.
 POISSON_RATE = 300
 
@@ -125,12 +162,13 @@ def stretches(spans: DataFrame, seqs: DataFrame, begin: str, end: str, keys: lis
 
 def poisson_count(u: Column, rate: Column) -> Column:
     """Inverse distribution function of a Poisson count whose rate is a column, POISSON_RATE at most."""
-    held = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.lit(0).alias("k"))
+    # the state holds rate and u, which would be worked out again at each step
+    held = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.lit(0).alias("k"), rate.alias("rate"), u.alias("u"))
     ks = F.sequence(F.lit(1), F.ceil(rate * 3 + 20).cast("int"))
 
     def step(s: Column, k: Column) -> Column:
-        p = s["p"] * rate / k
-        return F.struct(p.alias("p"), (s["cum"] + p).alias("cum"), F.when(s["cum"] <= u, k).otherwise(s["k"]).alias("k"))
+        p = s["p"] * s["rate"] / k
+        return F.struct(p.alias("p"), (s["cum"] + p).alias("cum"), F.when(s["cum"] <= s["u"], k).otherwise(s["k"]).alias("k"), s["rate"].alias("rate"), s["u"].alias("u"))
 
     return F.aggregate(ks, held, step, lambda s: s["k"])
 
@@ -147,25 +185,32 @@ def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, p
 
     Places come from a Poisson process of the highest rate any place has, thinned to each
     one's own, which gives exactly the biased process. ``rates`` (chrom, start, end,
-    rate, not overlapping) hold in their intervals, the model's rate elsewhere.
+    rate, not overlapping) hold in their intervals, the model's rate elsewhere. Windows
+    that come with their ``piece`` need no sequence.
     """
     top = max(model.bias.values()) or 1.0
     most = model.rate if rates is None else max(model.rate, rates.agg(F.max("rate")).first()[0] or 0.0)
-    core = stretches(windows, seqs, "start", "core_end", ["win"]).select("chrom", "win", "start", "piece")
+    if "piece" in windows.columns:
+        core = once(windows.select("chrom", "win", "start", "core_end", F.col("piece").alias("reaching")), F.left("reaching", (F.col("core_end") - F.col("start")).cast("int")).alias("piece")).drop("core_end", "reaching")
+    else:
+        core = stretches(windows, seqs, "start", "core_end", ["win"]).select("chrom", "win", "start", "piece")
     key = lambda what: ("mut", seed, what, F.col("chrom"), F.col("win"), F.col("k"))
-    n = F.char_length("piece")
+    n = F.col("n")
     count = poisson_sum(n * F.lit(most * top), "mut", seed, "n", F.col("chrom"), F.col("win"))
-    rows = core.where(n > 2).withColumn("count", count).where(F.col("count") > 0)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("count")))).withColumn("off", (uniform_int(n - 2, *key("pos")) + 1).cast("int"))
+    rows = once(once(core, F.char_length("piece").alias("n")).where(n > 2), count.alias("count")).where(F.col("count") > 0)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    # from here on a variant has its own few bases, from the one ahead of it to where the longest deletion ends
+    rows = once(rows, (uniform_int(n - 2, *key("pos")) + 1).cast("int").alias("off"))
+    rows = once(rows, F.substring("piece", F.col("off"), F.lit(max(model.deletion_lengths) + 2)).alias("near")).drop("piece", "n", "count")
     weight = F.create_map(*[F.lit(x) for t, w in model.bias.items() for x in (t, w / top)])
-    tri = F.substring("piece", F.col("off"), F.lit(3))
+    tri = F.left("near", F.lit(3))
     local = F.lit(model.rate / most if most else 0.0)
     if rates is not None:
         rows = points_in_intervals(rows.withColumn("pos", F.col("start") + F.col("off")).withColumnRenamed("start", "w_start"), rates.select("chrom", "start", "end", "rate"), "left")
         rows = rows.drop("start", "end").withColumnRenamed("w_start", "start")
         local = F.coalesce("rate", F.lit(model.rate)) / F.lit(most or 1.0)
     rows = rows.where(uniform(*key("thin")) < local * F.coalesce(F.try_element_at(weight, tri), F.lit(0.0)))
-    base = F.substring("piece", F.col("off") + 1, F.lit(1))
+    base = F.substring("near", F.lit(2), F.lit(1))
     other = F.translate(base, "ACGT", "GTAC")
     snp = F.when(uniform(*key("alt")) < model.transition, other).when(uniform(*key("tv")) < 0.5, F.translate(base, "ACGT", "CAAA")).otherwise(F.translate(base, "ACGT", "TGTG"))
     if model.substitutions is not None:
@@ -175,18 +220,21 @@ def random_variants(windows: DataFrame, seqs: DataFrame, model: MutationModel, p
         snp = F.element_at(F.array(*map(F.lit, BASES)), F.size(F.filter(F.try_element_at(low, tri), lambda c: c <= drawn)))
     inserted = F.concat(base, random_dna(draw(uniform(*key("len")), list(model.insertion_lengths), list(model.insertion_lengths.values())), *key("ins")))
     gone = draw(uniform(*key("len")), list(model.deletion_lengths), list(model.deletion_lengths.values()))
-    deleted = F.substring("piece", F.col("off") + 1, gone + 1)
-    is_indel, is_ins = uniform(*key("type")) < model.indel, uniform(*key("ins?")) < model.insertion
+    deleted = F.substring("near", F.lit(2), gone + 1)
+    rows = once(rows, (uniform(*key("type")) < model.indel).alias("is_indel"), (uniform(*key("ins?")) < model.insertion).alias("is_ins"))
+    is_indel, is_ins = F.col("is_indel"), F.col("is_ins")
     one = F.array(uniform_int(ploidy, *key("ploid")).cast("int"))
     every = F.sequence(F.lit(0), F.lit(ploidy - 1))
-    return rows.select(
-        "chrom",
-        "win",
-        (F.col("start") + F.col("off")).alias("pos"),
-        F.when(is_indel & ~is_ins, deleted).otherwise(base).alias("ref"),
-        F.when(is_indel & is_ins, inserted).when(is_indel, base).otherwise(snp).alias("alt"),
-        F.when(uniform(*key("hom")) < model.homozygous, every).otherwise(one).alias("ploids"),
-    ).where((F.col("ref") != F.col("alt")) & F.col("ref").rlike("^[ACGT]+$"))
+    ref = F.when(is_indel & ~is_ins, deleted).otherwise(base)
+    alt = F.when(is_indel & is_ins, inserted).when(is_indel, base).otherwise(snp)
+    placed = once(rows, ref.alias("ref"), alt.alias("alt"), F.when(uniform(*key("hom")) < model.homozygous, every).otherwise(one).alias("ploids"))
+    found = placed.select("chrom", "win", (F.col("start") + F.col("off")).alias("pos"), "ref", "alt", "ploids")
+    return found.where((F.col("ref") != F.col("alt")) & F.col("ref").rlike("^[ACGT]+$"))
+
+
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with columns that are worked out once a row, as the explode of one value; else Spark does so wherever they are used."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def without_conflicts(variants: DataFrame, ploids: str | None = None) -> DataFrame:
@@ -220,227 +268,57 @@ def haplotypes(windows: DataFrame, seqs: DataFrame, variants: DataFrame, ploidy:
     inside = inside.where((F.col("r_start") >= F.col("start")) & (F.col("r_end") <= F.col("end")))
     v = F.struct((F.col("r_start") - F.col("start")).cast("int").alias("off"), F.col("r_ref").alias("ref"), F.col("r_alt").alias("alt"), F.col("r_ploids").alias("ploids"))
     grouped = inside.groupBy("chrom", "win").agg(F.array_sort(F.collect_list(v)).alias("variants"))
-    piece = stretches(windows, seqs, "start", "end", ["win"]).select("chrom", "win", "start", "piece")
+    return spelled(stretches(windows, seqs, "start", "end", ["win"]).select("chrom", "win", "start", "piece").join(grouped, ["chrom", "win"], "left"), ploidy)
+
+
+def window_haplotypes(windows: DataFrame, variants: DataFrame, ploidy: int) -> DataFrame:
+    """The same from ``window_pieces`` and variants that know the window (``win``) in whose core they begin.
+
+    A window shares bases with the one before it alone, so a variant goes to these two.
+    """
+    two = variants.select("chrom", F.explode(F.sequence(F.greatest(F.col("win") - 1, F.lit(0)), F.col("win"))).alias("win"), "pos", "ref", "alt", "ploids")
+    grouped = two.groupBy("chrom", "win").agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt", "ploids"))).alias("variants"))
+    every = windows.select("chrom", "win", "start", "end", "piece").join(grouped, ["chrom", "win"], "left")
+    whole = F.filter("variants", lambda v: (v["pos"] >= F.col("start")) & (v["pos"] + F.char_length(v["ref"]) <= F.col("end")))
+    placed = F.transform(whole, lambda v: F.struct((v["pos"] - F.col("start")).cast("int").alias("off"), v["ref"].alias("ref"), v["alt"].alias("alt"), v["ploids"].alias("ploids")))
+    return spelled(every.withColumn("variants", placed).drop("end"), ploidy)
+
+
+def spelled(every: DataFrame, ploidy: int) -> DataFrame:
+    """chrom, win, ploid, start, seq, cigar, variants of windows with ``piece`` and the variants in it."""
     none = F.array().cast("array<struct<off:int,ref:string,alt:string,ploids:array<int>>>")
-    every = piece.join(grouped, ["chrom", "win"], "left").withColumn("ploid", F.explode(F.sequence(F.lit(0), F.lit(ploidy - 1))))
+    every = every.withColumn("ploid", F.explode(F.sequence(F.lit(0), F.lit(ploidy - 1))))
     mine = F.filter(F.coalesce("variants", none), lambda x: F.array_contains(x["ploids"], F.col("ploid")))
     every = every.withColumn("variants", mine)
     return every.select("chrom", "win", "ploid", "start", apply_variants(F.col("piece"), F.col("variants")).alias("seq"), haplotype_cigar(F.char_length("piece"), F.col("variants")).alias("cigar"), "variants")
 
 
-def fragments(haps: DataFrame, reads: ReadModel, gc_scalars: list[float] | None = None, tile: int = 50) -> DataFrame:
-    """A row for each fragment: chrom, win, k, ploid, off, size, template, cigar, start.
-
-    Starts are drawn tile by tile, each tile weighted by its GC content's coverage scalar.
-    """
-    scalars = gc_scalars or [1.0] * (tile + 1)
-    of_tile = lambda i: F.element_at(F.array(*[F.lit(float(s)) for s in scalars]), gc_count(F.substring("seq", i * tile + 1, F.lit(tile))) + 1)
-    n_tiles = F.greatest(F.floor((F.char_length("seq") - reads.span) / tile), F.lit(0)).cast("int")
-    weights = F.transform(F.sequence(F.lit(0), n_tiles), of_tile)
-    cum = F.aggregate(weights, F.array(F.lit(0.0)), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w)))
-    bases = reads.length * (2 if reads.paired else 1)
-    n = (F.char_length("seq") * F.lit(reads.coverage / reads.ploidy / bases)).cast("int") + 1
-    rows = haps.where(F.char_length("seq") >= reads.span).withColumn("cum", cum).where(F.element_at("cum", -1) > 0).withColumn("k", F.explode(F.sequence(F.lit(1), n)))
-    key = lambda what: ("read", reads.seed, what, F.col("chrom"), F.col("win"), F.col("ploid"), F.col("k"))
-    u = uniform(*key("tile")) * F.element_at("cum", -1)
-    at = F.size(F.filter("cum", lambda c: c <= u)) - 1
-    size = F.lit(reads.length)
-    if reads.paired:
-        values, p = reads.lengths()
-        size = draw(uniform(*key("size")), values, p)
-    rows = rows.withColumns({"size": F.least(size, F.char_length("seq")).cast("int"), "tile": at})
-    off = F.least(F.col("tile") * tile + uniform_int(tile, *key("off")), F.char_length("seq") - F.col("size")).cast("int")
-    rows = rows.withColumn("off", off)
-    spare = 20
-    return rows.select("chrom", "win", "ploid", "k", "start", "off", "size", "cigar", F.substring("seq", F.col("off") + 1, F.lit(reads.length + spare)).alias("left"), F.substring("seq", F.greatest(F.col("off") + F.col("size") - reads.length - spare, F.lit(0)) + 1, F.least(F.col("off") + F.col("size"), F.lit(reads.length + spare))).alias("right"))
-
-
-def hashed_uniform(keys: np.ndarray, salt: int, n: int) -> np.ndarray:
-    """(len(keys), n) numbers in [0, 1) that depend on key, salt and column only."""
-    x = keys.astype(np.uint64)[:, None] + (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 20))[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-
-
-def quality_chains(keys: np.ndarray, model: ReadModel) -> np.ndarray:
-    """(reads, length) qualities of a Markov chain that starts at the best one."""
-    q = np.array(model.qualities)
-    n = len(q)
-    u, v = hashed_uniform(keys, 1, model.length), hashed_uniform(keys, 2, model.length)
-    if model.chain is not None:
-        first, moves = model.chain  # (n,), (places, n, n); a read longer than the model is stretched over it
-        out = np.empty((len(keys), model.length), np.int64)
-        state = np.minimum((u[:, :1] >= np.cumsum(first)[None, :]).sum(1), n - 1)
-        for k in range(model.length):
-            if k:
-                at = min(len(moves) - 1, (k - 1) * len(moves) // max(1, model.length - 1))
-                state = np.minimum((u[:, k, None] >= np.cumsum(moves[at], axis=1)[state]).sum(1), n - 1)
-            out[:, k] = q[state]
-        return out
-    state = np.full(len(keys), n - 1)
-    out = np.empty((len(keys), model.length), np.int64)
-    for k in range(model.length):
-        move = (u[:, k] >= model.stay) & (k > 0)
-        state = np.where(move, np.minimum((v[:, k] * n).astype(int), n - 1), state)
-        out[:, k] = q[state]
-    return out
-
-
-def slice_cigar(runs: list[tuple[int, str]], off: int, length: int) -> tuple[int, list[str]]:
-    """Reference offset and one operation for each step (M, I or D) of haplotype bases off .. off + length."""
-    ref = hap = 0
-    begin, out = None, []
-    for n, op in runs:
-        if op == "D":
-            if off < hap < off + length:
-                out += ["D"] * n
-            ref += n
-            continue
-        first, last = max(off, hap), min(off + length, hap + n)
-        if first < last:
-            if begin is None:
-                begin = ref + (first - hap if op == "M" else 0)
-            out += [op] * (last - first)
-        hap += n
-        ref += n if op == "M" else 0
-        if hap >= off + length:
-            break
-    return (begin if begin is not None else ref), out
+READS = "win long, ploid int, k int, mate int, pos long, cigar string, seq string, qual string, flag int, mapq int, mate_pos long, tlen long"
 
 
-def compact(ops: list[str]) -> str:
-    out, last, n = [], "", 0
-    for op in [*ops, ""]:
-        if op == last:
-            n += 1
-            continue
-        if n:
-            out.append(f"{n}{last}")
-        last, n = op, 1
-    return "".join(out)
+def named_reads(made: DataFrame, prefix: str) -> DataFrame:
+    name = F.concat(F.lit(prefix), *[x for c in ("chrom", "win", "ploid", "k") for x in (F.lit("-"), F.col(c).cast("string"))])
+    return made.select(name.alias("name"), "mate", "chrom", "pos", "cigar", "seq", "qual", "flag", "mapq", "mate_pos", "tlen")
 
 
-def with_errors(template: str, ops: list[str], q: np.ndarray, u: np.ndarray, v: np.ndarray, model: ReadModel) -> tuple[str, list[str]]:
-    """``length`` read bases with sequencing errors, and their operations.
+def sampled_reads(haps: DataFrame, model: ReadModel, gc_scalars: list[float] | None = None, tile: int = 50, prefix: str = "sim") -> DataFrame:
+    """Reads of fragments drawn from haplotypes (chrom, win, ploid, start, seq, cigar): name, mate, chrom, pos, cigar, seq, qual, flag, mapq, mate_pos, tlen.
 
-    A base errs with the probability its quality states. Errors are substitutions or,
-    never side by side and not at the ends, inserted or deleted stretches; bases that a
-    deletion uses up come from the template's spare ones, and none is made without them.
+    Fragments, qualities and errors are drawn as arrays of Arrow batches (``reads``).
     """
-    n, seq, out = model.length, [], []
-    sizes, longest, spare = model.error_lengths[0], max(model.error_lengths[0]), len(template) - n
-    shares = np.cumsum(model.error_lengths[1]) / sum(model.error_lengths[1])
-    steps = iter(zip(template, [o for o in ops if o != "D"], strict=False))
-    gaps: dict[int, int] = {}
-    at = 0
-    for o in ops:
-        if o == "D":
-            gaps[at] = gaps.get(at, 0) + 1
-        else:
-            at += 1
-    used, last = 0, -9
-    chance = np.minimum(1.0, model.error_scale * 10.0 ** (-q / 10.0))
-    err = u < chance
-
-    def taken() -> tuple[str, str]:
-        nonlocal used, out
-        if seq:
-            out += ["D"] * gaps.get(used, 0)
-        used += 1
-        return next(steps, ("N", "M"))
-
-    while len(seq) < n:
-        base, op = taken()
-        k = len(seq)
-        if err[k] and k != last and base in BASES:  # a deletion leaves k as it is, and has spent its error
-            kind = v[k]
-            if kind < model.indel_error and 0 < k < n - 1 - longest and k - last > 1:
-                size = sizes[min(int((u[k] / chance[k] >= shares).sum()), len(sizes) - 1)]
-                if kind < model.indel_error * model.insertion_error:
-                    last = k
-                    seq += [base, *(BASES[(int(u[k] * 1e6) >> (2 * i)) % 4] for i in range(size))]
-                    out += [op] + ["I"] * size
-                    spare += size
-                    continue
-                if size <= spare:
-                    last = k
-                    spare -= size
-                    for i in range(size):
-                        gone = op if i == 0 else taken()[1]
-                        out += ["D"] * (gone == "M")
-                    continue
-            seq.append([b for b in BASES if b != base][int(kind * 997) % 3])
-        else:
-            seq.append(base)
-        out.append(op)
-    return "".join(seq[:n]), out
+    of = F.concat_ws(":", *[F.col(c).cast("string") for c in ("chrom", "win", "ploid")])
+    rows = haps.select("chrom", "win", "ploid", of.alias("of"), F.xxhash64(F.lit(model.seed), "chrom", "win", "ploid").alias("hash"), "start", "seq", "cigar")
+    kind = dict(haps.dtypes)["chrom"]
+    return named_reads(rows.mapInArrow(lambda batches: reads_.sampled_batches(batches, model, gc_scalars, tile), f"chrom {kind}, {READS}"), prefix)
 
 
 def read_records(frags: DataFrame, model: ReadModel, prefix: str = "sim") -> DataFrame:
-    """Reads of fragments: name, mate, chrom, pos, cigar, seq, qual, flag, mapq, mate_pos, tlen.
-
-    Per-read chains and errors need Python; reads go through it in Arrow batches, each on its own.
-    """
-    paired = model.paired
-    key = F.xxhash64(F.lit(model.seed), "chrom", "win", "ploid", "k")
+    """The same of fragments that come with both ends: chrom, win, ploid, k, start, off, size, cigar, left, right."""
     swap = uniform("strand", model.seed, F.col("chrom"), F.col("win"), F.col("ploid"), F.col("k")) < 0.5
-    rows = frags.select("*", key.alias("key"), swap.alias("swap"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if f.empty:
-                continue
-            out = []
-            keys = f["key"].to_numpy().view(np.uint64)
-            sides = (0, 1) if paired else (0,)
-            chain = {s: quality_chains(keys + np.uint64(s * 7919), model) for s in sides}
-            draws = {s: (hashed_uniform(keys + np.uint64(s * 7919), 3, model.length), hashed_uniform(keys + np.uint64(s * 7919), 4, model.length)) for s in sides}
-            for i, r in enumerate(f.itertuples(index=False)):
-                runs, n = [], ""
-                for c in r.cigar:
-                    if c.isdigit():
-                        n += c
-                    else:
-                        runs.append((int(n), c))
-                        n = ""
-                made = []
-                for s in sides:
-                    q, u, v = chain[s][i], draws[s][0][i], draws[s][1][i]
-                    if s == 0:
-                        ref, ops = slice_cigar(runs, r.off, len(r.left))
-                        seq, ops = with_errors(r.left, ops, q, u, v, model)
-                    else:  # the right mate is read from its far end
-                        ref, whole = slice_cigar(runs, r.off + r.size - len(r.right), len(r.right))
-                        seq, ops = with_errors(r.right[::-1], whole[::-1], q, u, v, model)
-                        seq, ops, q = seq[::-1], ops[::-1], q[::-1]
-                        ref += sum(o != "I" for o in whole) - sum(o != "I" for o in ops)
-                    if model.mask_below is not None:
-                        seq = "".join("N" if x <= model.mask_below else b for b, x in zip(seq, q, strict=True))
-                    made.append((int(r.start + ref), ops, seq, "".join(chr(33 + x) for x in q)))
-                lost = ["M" not in m[1] for m in made]
-                for s, (_, ops, seq, qual) in enumerate(made):
-                    second = paired and s != r.swap
-                    if paired:
-                        names = ["paired", "second" if second else "first", "reverse" if s else "mate_reverse", *(["mate_unmapped"] if lost[1 - s] else []), *([] if any(lost) else ["proper"])]
-                    else:
-                        names = ["reverse"] if r.swap else []
-                    at = [m[0] for m in made]
-                    if sum(lost) == 1 and paired:  # the one without a place stands where its mate does
-                        at = [at[lost.index(False)]] * 2
-                    tlen = self_tlen(made, s, model.length) if paired and not any(lost) else 0
-                    out.append((f"{prefix}-{r.chrom}-{r.win}-{r.ploid}-{r.k}", 2 if second else 1, r.chrom, at[s], compact(ops), seq, qual, names + ["unmapped"] * lost[s], 0 if lost[s] else 70, at[1 - s] if paired else None, tlen))
-            yield pd.DataFrame(out, columns=["name", "mate", "chrom", "pos", "cigar", "seq", "qual", "flags", "mapq", "mate_pos", "tlen"])
-
+    key = F.xxhash64(F.lit(model.seed), "chrom", "win", "ploid", "k")
+    rows = frags.select("chrom", F.col("win").cast("long"), F.col("ploid").cast("int"), F.col("k").cast("int"), key.alias("key"), swap.alias("swap"), "start", "off", "size", "cigar", "left", "right")
     kind = dict(frags.dtypes)["chrom"]
-    found = rows.mapInPandas(run, f"name string, mate int, chrom {kind}, pos long, cigar string, seq string, qual string, flags array<string>, mapq int, mate_pos long, tlen long")
-    return found.select("name", "mate", "chrom", "pos", "cigar", "seq", "qual", sam_flag(F.col("flags")).alias("flag"), "mapq", "mate_pos", "tlen")
-
-
-def self_tlen(made: list, side: int, length: int) -> int:
-    """Template length: positive for the left mate, negative for the right one."""
-    size = made[1][0] - made[0][0] + length
-    return size if side == 0 else -size
+    return named_reads(rows.mapInArrow(lambda batches: reads_.fragment_batches(batches, model), f"chrom {kind}, {READS}"), prefix)
 
 
 def simulate(
@@ -464,18 +342,20 @@ def simulate(
     """
     regions = seqs.select("chrom", F.lit(0).cast("long").alias("start"), F.char_length("seq").cast("long").alias("end"))
     windows = window_plan(regions, 100 * reads.span, reads.span)
+    cut = window_pieces(seqs, 100 * reads.span, reads.span)
     t = None if targets is None else targets.select("chrom", "start", "end")
     if t is not None and not off_target:
         windows = overlaps(windows, t).select(windows.columns).distinct()
-    drawn = random_variants(windows, seqs, mutations, reads.ploidy, reads.seed, rates)
+        cut = cut.join(windows.select("chrom", "win"), ["chrom", "win"], "left_semi")
+    drawn = random_variants(cut, seqs, mutations, reads.ploidy, reads.seed, rates)
     if given is not None:
         placed = points_in_intervals(given, windows.select("chrom", "win", "start", F.col("core_end").alias("end"))).select("chrom", "win", "pos", "ref", "alt", "ploids")
         reach = lambda df: df.select("*", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end"))
         taken = overlaps(reach(drawn), reach(placed).select("chrom", "start", "end")).select("chrom", "pos", "ref", "alt").distinct()
         drawn = placed.unionByName(drawn.join(taken, ["chrom", "pos", "ref", "alt"], "left_anti").select(placed.columns))
     variants = without_conflicts(drawn, "ploids")
-    haps = haplotypes(windows, seqs, variants, reads.ploidy)
-    made = read_records(fragments(haps, reads, gc_scalars), reads)
+    haps = window_haplotypes(cut, variants, reads.ploidy)
+    made = sampled_reads(haps, reads, gc_scalars)
     if t is not None:
         ends = made.select("name", "mate", "chrom", F.explode(F.array(F.col("pos"), F.col("pos") + reads.length)).alias("pos"))
         hit = points_in_intervals(ends, t, "left_semi").select("name", "mate").distinct().withColumn("hit", F.lit(True))
