@@ -98,3 +98,20 @@ def test_windows_are_cut_without_a_join(spark):
     haps = simulate.window_haplotypes(got, variants, 2)
     assert {(h.chrom, h.win, h.ploid): h.cigar for h in haps.collect() if "D" in h.cigar} == {("a", 2, 0): "1130M1D25M", ("a", 3, 0): "4M1D1122M"}
     assert len(re.findall(r"\bJoin\b", haps._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fastq_lines_of_reads_as_arrays(spark):
+    """The four lines of each read, with those of the reverse strand turned back; rows never pass Python one by one."""
+    made = simulate.sampled_reads(spark.createDataFrame([("c", 0, 0, 0, "ACGTTGCAAC" * 40, "400M")], HAPS), MODELS[0][0])
+    want = []
+    for r in made.collect():
+        back = r.flag & 16
+        seq, qual = (r.seq[::-1].translate(str.maketrans("ACGTN", "TGCAN")), r.qual[::-1]) if back else (r.seq, r.qual)
+        want.append(f"@{r.name}/{r.mate}\n{seq}\n+\n{qual}")
+    lines = simulate.fastq_lines(made)
+    assert len(want) > 60 and sorted(r.value for r in lines.collect()) == sorted(want)
+    assert "MapInPandas" not in plan_of(lines) and "MapInArrow" in plan_of(lines)
