@@ -115,3 +115,11 @@ def test_fastq_lines_of_reads_as_arrays(spark):
     lines = simulate.fastq_lines(made)
     assert len(want) > 60 and sorted(r.value for r in lines.collect()) == sorted(want)
     assert "MapInPandas" not in plan_of(lines) and "MapInArrow" in plan_of(lines)
+
+
+def test_sam_lines_of_reads_as_arrays(spark):
+    made = simulate.sampled_reads(spark.createDataFrame([("c", 0, 1, 70, "ACGTTGCAAC" * 40, "200M10D200M")], HAPS), MODELS[0][0])
+    want = ["\t".join(map(str, (r.name, r.flag, r.chrom, r.pos + 1, r.mapq, r.cigar, "=", r.mate_pos + 1, r.tlen, r.seq, r.qual))) for r in made.collect()]
+    lines = simulate.sam_lines(made).select("value")
+    assert any("10D" in w for w in want) and sorted(r.value for r in lines.collect()) == sorted(want)
+    assert "MapInPandas" not in plan_of(lines) and "MapInArrow" in plan_of(lines)
