@@ -24,7 +24,7 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def gc_count(seq: Column) -> Column:
-    return F.char_length(F.regexp_replace(seq, "[^GC]", ""))
+    return 2 * F.char_length(seq) - sum((F.char_length(F.replace(seq, F.lit(b), F.lit(""))) for b in "GC"), F.lit(0))
 
 
 def non_n_length(seq: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, common_prefix, gc_count, is_trinucleotide, non_n_length, phred_to_error
 from strandloom.operators.chunks import bases_at, chunked, trinucleotide_counts
-from strandloom.operators.intervals import by_bins, carried, gap_clusters, overlaps, points_in_intervals
+from strandloom.operators.intervals import by_bins, carried, gap_clusters, points_in_intervals
 from strandloom.operators.lineage import checkpointed
 from strandloom.operators.statistics import median_and_deviation, normalised, quantiles
 
@@ -33,16 +33,25 @@ def fragment_lengths(reads: DataFrame, least_reads: int = 100, deviations: float
 # coverage bias by GC content
 
 
+#: Windows of a stretch that are named at once.
+AT_ONCE = 4096
+
+
 def gc_windows(seqs: DataFrame, depth: DataFrame, window: int = 50) -> DataFrame:
     """chrom, start, gc, depth of every full window without N; depth (chrom, start, end, depth) are stretches."""
     return gc_tiles(chunked(seqs, window, 0), depth, window)
 
 
 def gc_tiles(pieces: DataFrame, depth: DataFrame, window: int = 50) -> DataFrame:
-    """The same from pieces (chrom, start, piece) of ``window`` bases."""
+    """The same from pieces (chrom, start, piece) of ``window`` bases, which begin at its multiples."""
     tiles = pieces.where((F.char_length("piece") == window) & (F.instr("piece", "N") == 0))
-    tiles = tiles.select("chrom", "start", (F.col("start") + window).alias("end"), gc_count(F.col("piece")).alias("gc"))
-    covered = overlaps(tiles.select("chrom", "start", "end"), depth).groupBy("chrom", "start").agg(F.sum(F.col("overlap") * F.col("r_depth")).alias("bases"))
+    tiles = tiles.select("chrom", "start", gc_count(F.col("piece")).alias("gc"))
+    # a stretch names the windows that it meets, some at a time, so they are found by their start
+    first, last = F.greatest(F.floor(F.col("start") / window), F.lit(0)), F.floor((F.col("end") - 1) / window)
+    some = depth.where((F.col("end") > F.col("start")) & (F.col("end") > 0)).select("*", F.explode(F.sequence(first, last, F.lit(AT_ONCE).cast("long"))).alias("low"))
+    each = some.withColumn("tile", F.explode(F.sequence("low", F.least(F.col("low") + AT_ONCE - 1, last)))).withColumn("tile", F.col("tile") * window)
+    bases = F.least(F.col("end"), F.col("tile") + window) - F.greatest(F.col("start"), F.col("tile"))
+    covered = each.groupBy("chrom", F.col("tile").alias("start")).agg(F.sum(bases * F.col("depth")).alias("bases"))
     return tiles.join(covered, ["chrom", "start"], "left").select("chrom", "start", "gc", (F.coalesce("bases", F.lit(0)) / window).alias("depth"))
 
 

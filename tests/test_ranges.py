@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators.chunks import piece_trinucleotides, recut, trinucleotide_counts
-from strandloom.plans import validate
+from strandloom.plans import learners, validate
 from strandloom.sources import bam, bgzf, fasta, fastq
 from strandloom.sources.ranges import Range, located, ranges
 
@@ -305,3 +305,39 @@ def test_first_sample_and_missing_genotypes(spark, tmp_path):
     assert got[0] == "0|1" and all(g in ("0/1", "1/0") for g in got[1:])
     (tmp_path / "y.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nc\t1\t.\tA\tG\t.\tPASS\tGT=1/1\nc\t2\t.\tA\tG\t.\tPASS\tWP=0/1;GT=1/1\n")
     assert [r.gt for r in vs.called_genotype(text.vcf(spark, str(tmp_path / "y.vcf"))).orderBy("pos").collect()] == ["1/1", "0/1"]
+
+
+class Counted:
+    """A file that counts the bytes that are read."""
+
+    def __init__(self, text):
+        self.text, self.n = text, 0
+
+    def read_at(self, n, at):
+        self.n += len(self.text[at : at + n])
+        return self.text[at : at + n]
+
+
+def test_headers_are_found_in_what_was_read():
+    """Bytes read for an index are those of the range, whatever the number of contigs; a longer last line is told."""
+    text = b"".join(b">c%d\nACGTACGT\nACG\n" % i for i in range(2000))
+    f = Counted(text)
+    rows = list(fasta.runs(f, 0, len(text), len(text)))
+    assert len(rows) == 2000 and all(r[4:7] == (8, 9, 11) for r in rows)
+    assert f.n < 2 * len(text)
+    for cut in range(0, 60):
+        both = [*fasta.runs(f, 0, cut, len(text)), *fasta.runs(f, cut, len(text), len(text))] if cut else rows
+        assert [r[2:6] for r in both if r[1] is not None] == [r[2:6] for r in rows] and sum(r[6] for r in both) == 22_000
+
+
+def test_windows_find_stretches_by_their_start(spark):
+    """Depth of windows equals base by base sums, also of stretches that begin ahead of the sequence or end beyond it; one join."""
+    seq = "".join(random.Random(3).choice("ACGT") for _ in range(1030))
+    depth = [("c", random.Random(i).randrange(-80, 1000), 1 + i % 5, i) for i in range(40)] + [("c", -10, 2, 1040), ("c", 5, 9, 0), ("c", -60, 7, -3)]
+    rows = [(c, s, s + n if i < 40 else n, d) for i, (c, s, d, n) in enumerate(depth)]
+    df = spark.createDataFrame([*rows, ("c", 0, 100_000, 1)], "chrom string, start long, end long, depth long")
+    got = learners.gc_windows(spark.createDataFrame([("c", seq)], "chrom string, seq string"), df)
+    every = [*rows, ("c", 0, 100_000, 1)]
+    want = [("c", at, seq[at : at + 50].count("G") + seq[at : at + 50].count("C"), sum(d for _, s, e, d in every for p in range(max(s, at), min(e, at + 50))) / 50) for at in range(0, 1000, 50)]
+    assert sorted(map(tuple, got.collect())) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
