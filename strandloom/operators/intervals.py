@@ -109,6 +109,37 @@ def by_bins(rows: DataFrame, pos: str, key: str = "chrom", width: int = BIN) ->
     return rows.withColumn("bin", F.floor(F.col(pos) / width)).repartition(key, "bin")
 
 
+def whole_bins(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Batches ordered by chrom and bin, as tables of whole bins of about ``least`` rows in all."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(starts_of_bins(table)[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        n = table.num_rows - cut
+        least = max(least, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def starts_of_bins(table: pa.Table) -> np.ndarray:
+    """Numbers of the rows with which a bin begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in ("chrom", "bin"):
+        codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
 def carried(rows: DataFrame, value: Column, name: str, order: list[Column], strict: bool = True, key: str = "chrom", fold: Callable[[Column | str], Column] = F.max, back: bool = False) -> DataFrame:
     """``rows`` (of ``by_bins``) with ``fold`` of ``value`` over the chromosome's rows ahead (and, unless ``strict``, the row itself).
 

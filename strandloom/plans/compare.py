@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.intervals import BIN, merge, overlaps, points_in_intervals
+from strandloom.operators.intervals import BIN, merge, overlaps, points_in_intervals, starts_of_bins, whole_bins
 
 ALLELE = ["chrom", "pos", "ref", "alt"]
 #: Bases on each side of a wrong call within which missed variants may say the same.
@@ -115,37 +115,6 @@ def equivalents_among(rows: DataFrame, seqs: DataFrame, reach: int = NEIGHBOURHO
     return framed.where(same).select(*ALLELE, F.size("missed").cast("long").alias("n_missed"))
 
 
-def whole_bins(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
-    """Batches ordered by chrom and bin, as tables of whole bins of about ``least`` rows in all."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        cut = int(starts_of_bins(table)[-1])
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).to_batches()
-        n = table.num_rows - cut
-        least = max(least, 2 * n)
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def starts_of_bins(table: pa.Table) -> np.ndarray:
-    """Numbers of the rows with which a bin begins."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for c in ("chrom", "bin"):
-        codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
-
-
 class Side:
     """The variants of one side, ordered by bin and position, and sums along them."""
 

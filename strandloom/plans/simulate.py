@@ -7,18 +7,19 @@ need nothing from each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.random import draw, normal_lengths, random_dna, uniform, uniform_int
 from strandloom.functions.sequence import BASES, TRINUCLEOTIDES, apply_variants, haplotype_cigar, reverse_complement, wp_string
 from strandloom.operators.chunks import chunked
-from strandloom.operators.intervals import BIN, islands, overlaps, points_in_intervals
+from strandloom.operators.intervals import BIN, overlaps, points_in_intervals, starts_of_bins, whole_bins
 from strandloom.plans import reads as reads_
 
 
@@ -243,20 +244,127 @@ def without_conflicts(variants: DataFrame, ploids: str | None = None) -> DataFra
     Variants are applied by position, of those at one place indels first, as they mask
     SNPs. Only what is applied blocks: of a chain whose second one meets the first and
     the third, the first and the third stay. With ``ploids`` (an array column) each
-    variant keeps the ploids in which it is applied. Runs of overlapping variants are
-    folded on their own, so no task walks a chromosome.
+    variant keeps the ploids in which it is applied. Bins are folded apart, so no task
+    walks a chromosome (``applied_in_bins``); what hangs on the bin before, a few rows at
+    its beginning, is told afterwards (``told_by_bins``). The rows are dealt out once.
     """
     kept = [c for c in variants.columns if c not in ("chrom", "pos", "ref", "alt", ploids)]
-    rows = variants.withColumn("ploid", F.explode(ploids) if ploids else F.lit(0))
-    runs = islands(rows.select("*", F.col("pos").alias("start"), (F.col("pos") + F.char_length("ref")).alias("end")), touch=False)
-    one = F.struct("pos", (F.char_length("ref") == F.char_length("alt")).cast("int").alias("plain"), "ref", "alt", *kept)
-    held = F.struct(F.array().cast(f"array<{runs.select(one.alias('v')).schema['v'].dataType.simpleString()}>").alias("out"), F.lit(-1).cast("long").alias("reach"))
-    step = lambda s, v: F.when(v["pos"] < s["reach"], s).otherwise(F.struct(F.concat(s["out"], F.array(v)).alias("out"), (v["pos"] + F.char_length(v["ref"])).cast("long").alias("reach")))
-    folded = runs.groupBy("chrom", "island", "ploid").agg(F.array_sort(F.collect_list(one)).alias("vs")).select("chrom", "ploid", F.explode(F.aggregate("vs", held, step, lambda s: s["out"])).alias("v"))
-    applied = folded.select("chrom", "ploid", "v.*").drop("plain")
-    if ploids is None:
-        return applied.select(*variants.columns)
-    return applied.groupBy("chrom", "pos", "ref", "alt", *kept).agg(F.array_sort(F.collect_list("ploid")).alias(ploids)).select(*variants.columns)
+    on = ploids or "on_ploids"
+    rows = variants if ploids else variants.withColumn(on, F.array(F.lit(0)))
+    end = F.col("pos") + F.greatest(F.char_length("ref"), F.lit(1))
+    names = ["chrom", "pos", "ref", "alt", *kept, on]
+    placed = rows.select(*names, F.explode(F.sequence(F.floor(F.col("pos") / BIN), F.floor((end - 1) / BIN))).alias("bin"))
+    plain = (F.char_length("ref") == F.char_length("alt")).cast("int")
+    dealt = placed.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "pos", plain, "ref", "alt", *kept)
+    schema = ", ".join(f"`{c}` {k}" for c, k in rows.select(*names).dtypes)
+    folded = dealt.mapInArrow(lambda batches: applied_in_bins(batches, names), f"{schema}, bin long, kind int, told array<struct<ploid:int,into:long,out:long>>")
+    later = folded.where("kind > 0").repartition("chrom").sortWithinPartitions("chrom", "bin", "kind")
+    found = folded.where("kind = 0").select(*names).unionByName(later.mapInArrow(lambda batches: told_by_bins(batches, names), schema))
+    return found.select(*variants.columns)
+
+
+#: Where the bases taken in the bin before end: none reach into this one, or it is all the same.
+NONE, ANY = -1, -2
+
+
+def applied_in_bins(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by chrom, bin and position, with the ploids in which they are applied (kind 0).
+
+    A bin has copies of the rows that reach into it, so it knows all places where the
+    bases taken before may end, and is folded for each of them. The ways soon become one;
+    rows before that (kind 1) say in ``told`` for which ploids and places they are
+    applied. Kind 2 says where a bin's own taken bases end, if that is in the next one.
+    """
+    on = names[-1]
+    for t in whole_bins(batches):
+        pos, size = t.column("pos").to_pylist(), pa.compute.utf8_length(t.column("ref")).to_pylist()
+        bins, lists = t.column("bin").to_pylist(), t.column(on).combine_chunks().fill_null([])
+        flat, edges = lists.flatten().to_pylist(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy()))).tolist()
+        ploids = [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        again = same_as_before(t, ["bin", "pos", "ref", "alt", *names[4:-1]])
+        begins = [*starts_of_bins(t).tolist(), len(pos)]
+        out: list[tuple] = []  # row, ploids, kind, told
+        for low, high in zip(begins, begins[1:], strict=False):
+            start, stop = bins[low] * BIN, (bins[low] + 1) * BIN
+            ways: dict[int, dict[int, int]] = {}
+            reach: dict[int, int] = {}
+            i = low
+            while i < high and pos[i] < start:
+                for p in ploids[i]:
+                    ways.setdefault(p, {NONE: NONE})[pos[i] + size[i]] = pos[i] + size[i]
+                i += 1
+            while i < high:
+                at, row, mine = pos[i], i, ploids[i]
+                end = at + size[i]
+                i += 1
+                while i < high and again[i]:  # the same variant on other ploids
+                    mine, i = [*mine, *ploids[i]], i + 1
+                sure, told = [], []
+                for p in sorted(set(mine)) if len(mine) > 1 else mine:
+                    if p not in ways:
+                        if at >= reach.get(p, NONE):
+                            sure.append(p)
+                            reach[p] = end
+                        continue
+                    way = ways[p]
+                    free = [k for k, r in way.items() if at >= r]
+                    way.update(dict.fromkeys(free, end))
+                    if len(free) == len(way):
+                        sure.append(p)
+                    else:
+                        told += [(p, k, None) for k in free]
+                    if len(set(way.values())) == 1:
+                        reach[p] = next(iter(way.values()))
+                        del ways[p]
+                if sure or told:
+                    out.append((row, sure, int(bool(told)), told))
+            after = [(p, ANY, r) for p, r in reach.items() if r > stop] + [(p, k, r) for p, way in ways.items() for k, r in way.items() if r > stop]
+            if after:
+                out.append((low, [], 2, after))
+        if out:
+            row, sure, kind, told = zip(*out, strict=True)
+            take = pa.array(row)
+            columns = [t.column(c).combine_chunks().take(take) for c in (*names[:-1], "bin")]
+            columns.insert(len(names) - 1, listed(sure, t.schema.field(on).type))
+            told = listed([[{"ploid": p, "into": k, "out": r} for p, k, r in x] if x else x for x in told], pa.list_(pa.struct([("ploid", pa.int32()), ("into", pa.int64()), ("out", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind, pa.int32()), told], names=[*names, "bin", "kind", "told"])
+
+
+def listed(values: Sequence[list], kind: pa.ListType) -> pa.ListArray:
+    """A list column of Python lists."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in values])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([y for x in values for y in x], kind.value_type), type=kind)
+
+
+def same_as_before(t: pa.Table, names: list[str]) -> list[bool]:
+    """Whether each row has the values of the one before it."""
+    same = np.zeros(t.num_rows, bool)
+    same[1:] = True
+    for c in names:
+        codes = t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        same[1:] &= codes[1:] == codes[:-1]
+    return same.tolist()
+
+
+def told_by_bins(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of kinds 1 and 2, by chrom, bin and kind: each with the ploids in which it is applied after all."""
+    last, into, after = None, {}, {}
+    for b in batches:
+        rows, found = [], []
+        columns = (b.column(c).to_pylist() for c in ("chrom", "bin", "kind", names[-1], "told"))
+        for i, (chrom, bin_, kind, sure, told) in enumerate(zip(*columns, strict=True)):
+            if last != (chrom, bin_):
+                into = after if last == (chrom, bin_ - 1) else {}
+                last, after = (chrom, bin_), {}
+            hit = [x for x in told if x["into"] == ANY or into.get(x["ploid"], NONE) == x["into"]]
+            if kind == 2:
+                after = {x["ploid"]: x["out"] for x in hit}
+            elif sure or hit:
+                rows.append(i)
+                found.append(sorted({*sure, *(x["ploid"] for x in hit)}))
+        if rows:
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names[:-1]), pa.array(found, b.schema.field(names[-1]).type)], names=names)
 
 
 def haplotypes(windows: DataFrame, seqs: DataFrame, variants: DataFrame, ploidy: int) -> DataFrame:

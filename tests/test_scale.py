@@ -300,3 +300,21 @@ def test_equivalents_equal_whole_strings(spark):
     assert len(want) > 10
     assert sorted((v.pos, v.ref, v.alt, v.n_missed) for v in got.collect()) == want
     assert len(re.findall(r"\bJoin\b", got._jdf.queryExecution().optimizedPlan().toString())) == 1  # with the sequence
+
+
+@pytest.mark.parametrize("crowd", [0.2, 3.0])
+def test_conflicts_across_bins_equal_one_fold(spark, crowd):
+    """Runs that reach over the edges of bins, and variants longer than a bin, give what one pass along the chromosome gives; one shuffle of the rows."""
+    r = random.Random(9)
+    rows = [("c", r.randrange(20_000), "A" * r.choice([1, 2, 5, 40]), r.choice("CG"), r.choice([[0], [1], [0, 1]])) for _ in range(int(20_000 * crowd / 10))]
+    rows += [("c", 4090, "A" * 20, "T", [0, 1]), ("c", 8000, "A" * 9000, "C", [1]), ("c", 8190, "AA", "G", [0]), ("c", 8190, "AA", "G", [1])]
+    reach, want = {}, {}
+    for _, p, ref, alt, ploids in sorted(rows, key=lambda x: (x[1], len(x[2]) == len(x[3]), x[2], x[3])):
+        for k in ploids:
+            if p >= reach.get(k, 0):
+                reach[k] = p + len(ref)
+                want.setdefault((p, ref, alt), set()).add(k)
+    got = simulate.without_conflicts(spark.createDataFrame(rows, SCHEMA + ", ploids array<int>").repartition(5), "ploids")
+    assert sorted((v.pos, v.ref, v.alt, v.ploids) for v in got.collect()) == sorted((*v, sorted(k)) for v, k in want.items())
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Exchange hashpartitioning(chrom" in x and ", bin" in x and "Reused" not in x for x in plan.splitlines()) == 1
